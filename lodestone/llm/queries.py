@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from lodestone.llm.langid import op10_word_backoff_language_id
 from lodestone.llm.minhash import op1_superminhash_near_dedup
+from lodestone.llm.mixing import op8_pareto_source_mixing
+from lodestone.llm.sharding import op9_feistel_sharding
+from lodestone.llm.winnowing import op2_winnowing_fingerprints
+
+QUERIES = [
+    op1_superminhash_near_dedup,
+    op2_winnowing_fingerprints,
+    op8_pareto_source_mixing,
+    op9_feistel_sharding,
+    op10_word_backoff_language_id,
+]
 
 
 def queries() -> dict:
-    found = [op1_superminhash_near_dedup]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
