@@ -8,7 +8,8 @@ a band are compared in two steps:
 1. every member of a band's bucket with the bucket's hub, the member that shares most buckets with others: in a
    family of edited copies this is the text nearest to all;
 2. in buckets that still hold several components, every member outside the largest component with all members of
-   the bucket, filtered inside the join by size and by a 256-bit sketch of the signature.
+   the bucket, filtered inside the join by an exact bound on the overlap (shingles that no other member of these
+   buckets has can't be shared) and by a 256-bit sketch of the signature.
 
 Both steps are confirmed on full shingle sets.  Members that one component already holds are not compared again,
 which changes no component, so a bucket of near copies costs about its size and not its square.
@@ -144,6 +145,13 @@ def _sets(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([ids.slice(row, len(same)).filter(pa.array(same)), pa.array(blobs, pa.binary())], names=["rep", "members"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rep, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(members.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rep, np.int64)), pa.array(x)], names=["rep", "element"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -201,15 +209,18 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     placed = live.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     shares = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
     mixed = shares.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
-    rows = placed.join(mixed, "key").join(wanted.select("rep", "n", "sketch"), "rep")
-    rows = cut(rows.select("key", "rep", "part", "main", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)]), "minhash-mixed")
+    rows = cut(placed.join(mixed, "key"), "minhash-mixed")
+    elements = sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_elements, "rep long, element long")
+    lonely = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    about = wanted.join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
+    rows = cut(rows.join(about.where(100 * F.col("m") >= p.percent * F.col("n")), "rep"), "minhash-compared")
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
     differ = F.bit_count(F.expr("(x.s0 ^ y.s0) | (x.s2 ^ y.s2)")) + F.bit_count(F.expr("(x.s1 ^ y.s1) | (x.s3 ^ y.s3)"))
     near = (
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.part") != F.col("y.part"))
         & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (100 * F.least("x.n", "y.n") >= p.percent * F.greatest("x.n", "y.n"))
+        & (100 * F.least("x.m", "y.m") >= p.percent * (F.col("x.n") + F.col("y.n") - F.least("x.m", "y.m")))
         & (differ <= p.sketch_differences)
     )
     second = x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
