@@ -150,7 +150,7 @@ class Codec:
             return out
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
         self._table("tokens", piece=np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), pos=(np.arange(len(flat)) - starts).astype(np.int32), tok=flat)
-        unknown = self.db.execute("SELECT count(*) FROM tokens ANTI JOIN vocabulary USING (tok)").fetchone()[0]
+        unknown = self.db.execute("SELECT count(*) FROM tokens ANTI JOIN vocabulary USING (tok)").fetchall()[0][0]
         if unknown:
             raise ValueError(f"{unknown} ids are not in the vocabulary")
         found = self.db.sql(_DECODE).to_arrow_table()
@@ -181,15 +181,16 @@ class Codec:
         return out
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def _codec(shared: Broadcast) -> Codec:
     """One codec for each Python worker and vocabulary."""
-    if shared.id not in _codecs:
+    name, ranks, pattern = shared.value
+    if name not in _codecs:
         _codecs.clear()
-        _codecs[shared.id] = Codec(*shared.value)
-    return _codecs[shared.id]
+        _codecs[name] = Codec(ranks, pattern)
+    return _codecs[name]
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -238,7 +239,9 @@ def _decode(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     """The rank file at path, read on the driver.  Its size is that of the public vocabulary (some 50,000 entries)."""
-    return spark.sparkContext.broadcast((read_ranks(path), pattern))
+    ranks = read_ranks(path)
+    name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+    return spark.sparkContext.broadcast((name, ranks, pattern))
 
 
 def _apply(docs: DataFrame, function, column, names: dict[str, str]) -> DataFrame:
