@@ -20,17 +20,19 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.materialize import cut
+
 LETTER = re.compile(r"[^\W\d_]")
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 ORDERS = (4, 3, 2, 1)
 #: Words whose scores a Python worker keeps at hand; beyond these it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 @dataclass(frozen=True)
 class LanguageModelBounds:
     #: Labelled documents of a language that the fit reads at most, chosen by a hash of their id.
-    sample_docs: int = 4000
+    sample_docs: int = 1500
     #: Languages (the most frequent), words and n-grams (the most frequent) that the model holds at most.
     languages: int = 500
     words: int = 100_000
@@ -38,46 +40,62 @@ class LanguageModelBounds:
 
 
 class BackoffModel:
-    """Languages, and for each word or n-gram (padded with spaces) its row of log frequencies by language."""
+    """A table of log frequencies (a row for each word or n-gram, a column for each language) and the rows' places."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        self.languages, self.words, self.grams = languages, words, grams
+    def __init__(self, languages: list[str], table: np.ndarray, words: dict[str, int], grams: dict[str, int]):
+        self.languages, self.table, self.words, self.grams = languages, table, words, grams
 
-    def score(self, word: str) -> np.ndarray | None:
-        """Log scores by language; None for a word without letters."""
-        word = _EDGE.sub("", word.lower())
+    def rows_of(self, raw: bytes) -> list[int]:
+        """The rows whose mean scores a word: its own, or those of its longest known n-grams; none without letters."""
+        word = _EDGE.sub("", raw.decode("utf-8", "replace").lower())
         if not word:
-            return None
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        padded = f" {word} "
+            return []
+        at = self.words.get(word)
+        if at is not None:
+            return [at]
+        padded, known = f" {word} ", self.grams.get
         for n in ORDERS:
-            table = self.grams[n]
-            rows = [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table and g != " "]
+            rows = [r for i in range(len(padded) - n + 1) if (r := known(padded[i : i + n])) is not None]
             if rows:
-                return sum(rows[1:], rows[0]) / len(rows)
-        return None
+                return rows
+        return []
+
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """Log scores by word and language; zeros for a word that says nothing."""
+        rows = [self.rows_of(w) for w in words]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.fromiter((r for x in rows for r in x), np.int64, int(sizes.sum()))
+            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            out[some] = np.add.reduceat(self.table[flat], starts, axis=0) / sizes[some, None]
+        return out
 
 
 class _Rows(dict):
-    """Word to row number, scored when first met.  Row 0 is for words that say nothing."""
+    """Word to row number; new words wait until fill() scores them together."""
 
     def __init__(self, model: BackoffModel):
-        self.model, self.used = model, 1
-        self.table = np.zeros((1024, len(model.languages)), np.float32)
+        self.model, self.waiting, self.done = model, [], 0
+        self.table = np.zeros((1 << 16, len(model.languages)), np.float32)
 
     def __missing__(self, word: bytes) -> int:
-        row = self.model.score(word.decode("utf-8", "replace"))
-        at = 0
-        if row is not None:
-            at, self.used = self.used, self.used + 1
-            if at == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[at] = row
-        self[word] = at
+        at = self[word] = self.done + len(self.waiting)
+        self.waiting.append(word)
         return at
 
+    def fill(self) -> None:
+        if not self.waiting:
+            return
+        end = self.done + len(self.waiting)
+        if end > len(self.table):
+            grown = np.zeros((max(end, 2 * len(self.table)), self.table.shape[1]), np.float32)
+            grown[: self.done] = self.table[: self.done]
+            self.table = grown
+        self.table[self.done : end] = self.model.scores(self.waiting)
+        self.done, self.waiting = end, []
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, gram, count); n is 0 for words."""
@@ -112,47 +130,57 @@ def fit(labelled: DataFrame, bounds: LanguageModelBounds = LanguageModelBounds()
     sizes = sorted(((r["c"], r["l"]) for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l").limit(bounds.languages).collect()), key=lambda x: x[1])
     languages = [lang for _, lang in sizes]
     if not languages:
-        return BackoffModel([], {}, {n: {} for n in ORDERS})
+        return BackoffModel([], np.zeros((0, 0), np.float32), {}, {})
     chance = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[x for c, lang in sizes for x in (F.lit(lang), F.lit(bounds.sample_docs / c))])[F.col(lang_col)]
     sample = rows.where(chance < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
     counts = sample.mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     by_gram = counts.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"), F.sum("c").alias("c")).where("c > 1 or n > 0")
+    by_gram = cut(by_gram, "language-counts")
     kept = [by_gram.where("n = 0").orderBy(F.desc("c"), "gram").limit(bounds.words), by_gram.where("n > 0").orderBy(F.desc("c"), "gram").limit(bounds.grams)]
     at = {lang: i for i, lang in enumerate(languages)}
-    found: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
+    tables, places = [], []
     for part in kept:
-        for n, gram, by in part.select("n", "gram", "by").toLocalIterator():
-            row = found[n][gram] = np.zeros(len(languages), np.float32)
+        found = [(n, gram, by) for n, gram, by in part.select("n", "gram", "by").toLocalIterator()]
+        counts = np.zeros((len(found), len(languages)))
+        for i, (_, _, by) in enumerate(found):
             for lang, c in by.items():
-                row[at[lang]] = c
-    for table in found.values():
-        total = sum(table.values(), np.zeros(len(languages), np.float64))
-        for gram, row in table.items():
-            table[gram] = np.log((row + 0.5) / (total + 0.5 * (len(table) + 1))).astype(np.float32)
-    return BackoffModel(languages, found.pop(0), found)
+                counts[i, at[lang]] = c
+        orders = np.array([n for n, _, _ in found], np.int64)
+        for n in np.unique(orders):  # words, and the n-grams of each length, are distributions of their own
+            mine = orders == n
+            counts[mine] = np.log((counts[mine] + 0.5) / (counts[mine].sum(0) + 0.5 * (mine.sum() + 1)))
+        places.append({gram: i + sum(map(len, tables)) for i, (_, gram, _) in enumerate(found) if gram.strip()})
+        tables.append(counts.astype(np.float32))
+    return BackoffModel(languages, np.concatenate(tables), *places)
 
 
 def _identify(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     model = shared.value
     rows = _Rows(model)
     for batch in batches:
-        names, scores = [], []
+        at: list[np.ndarray | None] = []
         for text in batch.column(batch.num_columns - 1):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             if not model.languages or not LETTER.search(raw.decode("utf-8", "replace")):
+                at.append(None)
+                continue
+            words = raw.split()
+            at.append(np.fromiter(map(rows.__getitem__, words), np.int32, len(words)))
+        rows.fill()
+        names, scores = [], []
+        for found in at:
+            if found is None:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            words = raw.split()
-            if len(rows) > CACHE:
-                rows = _Rows(model)
-            at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-            total = rows.table[at].sum(0, dtype=np.float64)
-            total = (total - total.max()) / max(1.0, np.count_nonzero(at) / 10)
-            best = int(total.argmax())
-            names.append(model.languages[best])
+            mine = rows.table[found]
+            total = mine.sum(0, dtype=np.float64)
+            total = (total - total.max()) / max(1.0, np.count_nonzero(mine[:, 0]) / 10)
+            names.append(model.languages[int(total.argmax())])
             scores.append(float(1 / np.exp(total).sum()))
+        if len(rows) > CACHE:
+            rows = _Rows(model)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
 
