@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from lodestone.llm.bpe import op4_duckdb_byte_bpe
 from lodestone.llm.langid import op10_word_backoff_language_id
 from lodestone.llm.minhash import op1_superminhash_near_dedup
 from lodestone.llm.mixing import op8_pareto_source_mixing
+from lodestone.llm.neighbours import op7_additive_quantisation_ann
 from lodestone.llm.sharding import op9_feistel_sharding
+from lodestone.llm.substrings import op6_debruijn_substring_dedup
 from lodestone.llm.winnowing import op2_winnowing_fingerprints
 
 QUERIES = [
     op1_superminhash_near_dedup,
     op2_winnowing_fingerprints,
+    op4_duckdb_byte_bpe,
+    op6_debruijn_substring_dedup,
+    op7_additive_quantisation_ann,
     op8_pareto_source_mixing,
     op9_feistel_sharding,
     op10_word_backoff_language_id,
