@@ -36,8 +36,10 @@ class AdditiveQuantiser:
     #: Vectors that training reads at most, chosen by a hash of their id.
     sample: int = 10_000
     rounds: int = 8
-    #: Candidates of each index group that are scored exactly.
+    #: Candidates of each index group that are scored exactly, at least; and all whose looked-up score is less than
+    #: so many standard errors below the k-th best, so that a dense group of almost equal vectors is ranked exactly.
     rerank: int = 600
+    errors: float = 2.5
     seed: int = 7
 
 
@@ -98,7 +100,7 @@ def _matrix(column: pa.Array, d: int, kind: type) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch], shared: Broadcast, beam: int) -> Iterator[pa.RecordBatch]:
-    """(id, vector) to (id, vector, codes, ratio); the ratio scales <q, sum of codewords> to the vector's own length along it."""
+    """(id, vector) to (id, vector, codes, ratio, rest): the factor that gives the decoded sum the vector's length along it, and the square of what the sum misses."""
     books = shared.value
     for batch in batches:
         x = _matrix(batch.column(1), books.shape[2], np.float64)
@@ -106,8 +108,10 @@ def _index(batches: Iterator[pa.RecordBatch], shared: Broadcast, beam: int) -> I
         made = decode(codes, books).astype(np.float64)
         along = (x * made).sum(1)
         ratio = np.where(along > 0, (x * x).sum(1) / np.where(along > 0, along, 1), 1.0)
+        left = ((x - made * ratio[:, None]) ** 2).sum(1)
         blobs = pa.array([c.tobytes() for c in codes], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blobs, pa.array(ratio.astype(np.float32))], names=["id", "vector", "codes", "ratio"])
+        norms = [pa.array(v.astype(np.float32)) for v in (ratio, left)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blobs, *norms], names=["id", "vector", "codes", "ratio", "rest"])
 
 
 def _search(key: tuple, left: pa.Table, right: pa.Table, shared: Broadcast, q: AdditiveQuantiser, k: int) -> pa.Table:
@@ -125,17 +129,17 @@ def _search(key: tuple, left: pa.Table, right: pa.Table, shared: Broadcast, q: A
         ratio = left["ratio"].to_numpy()
         asked, queries = right["qid"].to_numpy(), _matrix(column(right, "query"), d, np.float64)
         tables = (queries.astype(np.float32) @ books.reshape(m * words, d).T).reshape(len(queries), m, words)
-        take = min(q.rerank + 1, len(ids))
+        take, best = min(q.rerank + 1, len(ids)), min(k, len(ids) - 1)
+        margin = q.errors * np.sqrt(left["rest"].to_numpy().mean() / d) * np.sqrt((queries * queries).sum(1))
         for at in range(0, len(queries), 64):
             score = np.zeros((len(queries[at : at + 64]), len(ids)), np.float32)
             for b in range(m):
                 score += tables[at : at + 64, b][:, codes[:, b]]
             score *= ratio
-            limit = -np.partition(-score, take - 1, axis=1)[:, take - 1]
-            for row, bound in enumerate(limit):
-                above = np.flatnonzero(score[row] > bound)
-                equal = np.flatnonzero(score[row] == bound)[: take - len(above)]  # ids are sorted: the smaller first
-                found = np.concatenate([above, equal])
+            ranked = -np.partition(-score, sorted({take - 1, best}), axis=1)
+            bounds = np.minimum(ranked[:, take - 1], ranked[:, best] - margin[at : at + 64])
+            for row, bound in enumerate(bounds):
+                found = np.flatnonzero(score[row] >= bound)
                 found = found[ids[found] != asked[at + row]]
                 exact = (vectors[found] * queries[at + row]).sum(1)
                 order = np.lexsort((ids[found], -exact))[:k]
@@ -171,7 +175,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, q: AdditiveQuan
     shared = spark.sparkContext.broadcast(train(_matrix(sample, d, np.float64), q))
     among = Window.partitionBy("vector").orderBy("id")
     distinct = base.withColumn("same", F.row_number().over(among)).where(F.col("same") <= k + 1).drop("same")
-    index = cut(distinct.mapInArrow(partial(_index, shared=shared, beam=q.beam), "id long, vector array<double>, codes binary, ratio float"), "ann-index")
+    index = cut(distinct.mapInArrow(partial(_index, shared=shared, beam=q.beam), "id long, vector array<double>, codes binary, ratio float, rest float"), "ann-index")
 
     asked = usable(queries, id_col, vector_col).select(F.col("id").alias("qid"), F.col("vector").alias("query")).dropDuplicates(["qid"])
     asked = asked.where(F.size("query") == d)
