@@ -45,11 +45,11 @@ def _cleanup() -> None:
             return
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Write df to a new table in the shared folder and return a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
