@@ -244,28 +244,28 @@ def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast((name, ranks, pattern))
 
 
-def _apply(docs: DataFrame, function, column, names: dict[str, str]) -> DataFrame:
-    rest = [c for c in docs.columns if c not in names]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields]
-    return docs.select(*rest, column.alias("__in")).mapInArrow(function, ", ".join([*fields, *(f"{k} {v}" for k, v in names.items())]))
+def _apply(rows: DataFrame, function, column, keep: list[str], names: dict[str, str]) -> DataFrame:
+    rest = [c for c in keep if c not in names]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema.fields]
+    return rows.select(*rest, column.alias("__in")).mapInArrow(function, ", ".join([*fields, *(f"{k} {v}" for k, v in names.items())]))
 
 
-def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", keep_text: bool = True, digests: bool = False) -> DataFrame:
-    """docs with n_tokens and ids (array<int>), or with digests of ids and decoded bytes instead of the ids.
+_KINDS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>"}
+
+
+def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", keep_text: bool = True, want: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
+    """docs with the wanted ones of n_tokens, ids (array<int>), ids_sha256 and decoded_sha256.
 
     A null or empty text has no ids.  Special tokens are ordinary text.  Columns of docs with these names are
-    replaced; all others stay.
+    replaced; all others stay, the text only if asked.
     """
-    made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if digests else {"n_tokens": "bigint", "ids": "array<int>"}
-    column = F.col(text_col).cast("binary")
-    kept = docs if keep_text else docs.withColumn("__text", column).drop(text_col)
-    out = _apply(kept, partial(_encode, shared=shared, names=list(made)), column if keep_text else F.col("__text"), made)
-    return out if keep_text else out.drop("__text")
+    rest = [c for c in docs.columns if keep_text or c != text_col]
+    return _apply(docs, partial(_encode, shared=shared, names=list(want)), F.col(text_col).cast("binary"), rest, {w: _KINDS[w] for w in want})
 
 
 def decode(rows: DataFrame, shared: Broadcast, ids_col: str = "ids") -> DataFrame:
     """rows with the decoded bytes of their ids; null ids decode to nothing, an unknown id is an error."""
-    return _apply(rows, partial(_decode, shared=shared), F.col(ids_col).cast("array<int>"), {"decoded": "binary"})
+    return _apply(rows, partial(_decode, shared=shared), F.col(ids_col).cast("array<int>"), rows.columns, {"decoded": "binary"})
 
 
 def op4_duckdb_byte_bpe(spark, sf_dir: str) -> DataFrame:
@@ -273,5 +273,5 @@ def op4_duckdb_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     shared = vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("__in"))
-    return docs.mapInArrow(partial(_encode, shared=shared, names=["n_tokens", "ids_sha256", "decoded_sha256"]), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return encode(docs, shared, keep_text=False, want=("n_tokens", "ids_sha256", "decoded_sha256"))

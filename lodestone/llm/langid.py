@@ -155,7 +155,7 @@ def fit(labelled: DataFrame, bounds: LanguageModelBounds = LanguageModelBounds()
     return BackoffModel(languages, np.concatenate(tables), *places)
 
 
-def _identify(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+def _identify(batches: Iterator[pa.RecordBatch], shared: Broadcast, keep: int) -> Iterator[pa.RecordBatch]:
     model = shared.value
     rows = _Rows(model)
     for batch in batches:
@@ -181,7 +181,7 @@ def _identify(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[
             scores.append(float(1 / np.exp(total).sum()))
         if len(rows) > CACHE:
             rows = _Rows(model)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:keep], "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: BackoffModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -192,11 +192,13 @@ def identify(docs: DataFrame, model: BackoffModel, text_col: str = "text", keep_
     the sums, flattened for long texts; it lies between 0 and 1.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
-    schema = docs.select(*rest).schema
-    ready = docs.select(*rest, F.col(text_col).cast("binary").alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "lang_pred string, score double"])
-    return ready.mapInArrow(partial(_identify, shared=shared), fields)
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score", text_col)]
+    ready = docs.select(*rest, F.col(text_col).cast("binary").alias(text_col))  # the last column, as bytes
+    kept = [*ready.schema.fields] if keep_text else ready.schema.fields[:-1]
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"]
+    out = ready.mapInArrow(partial(_identify, shared=shared, keep=len(kept)), ", ".join(fields))
+    order = [c for c in docs.columns if c in rest or keep_text and c == text_col]
+    return out.select(*[F.col(c).cast("string").alias(c) if c == text_col else c for c in order], "lang_pred", "score")
 
 
 def op10_word_backoff_language_id(spark, sf_dir: str) -> DataFrame:

@@ -242,11 +242,18 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
 
 
 def keep_one(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest; rows with a null id are kept, repeated kept rows once."""
+    """docs with one document of each group: the one of the smallest id.
+
+    If ids are null or repeated, rows get numbers of their own and the first row of a group stays.  Documents
+    without words are in no group and stay.
+    """
+    ids = docs.select(F.col(id_col).alias("i")).groupBy("i").agg(F.count("*").alias("c"))
+    if ids.where("i is null or c > 1").limit(1).count():
+        numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "minhash-numbered")
+        return keep_one(numbered, p, "__row", text_col).drop("__row")
     groups = near_duplicates(docs.select(id_col, text_col), p, id_col, text_col)
-    drop = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(drop, id_col, "left_anti").dropDuplicates([id_col])
-    return with_id.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    drop = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
 
 
 def op1_superminhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from lodestone.llm.langid import op10_word_backoff_language_id
 from lodestone.llm.minhash import op1_superminhash_near_dedup
 from lodestone.llm.mixing import op8_pareto_source_mixing
 from lodestone.llm.neighbours import op7_additive_quantisation_ann
+from lodestone.llm.quality import op5_random_indexing_quality
+from lodestone.llm.scoring import op3_attention_lm_scoring
 from lodestone.llm.sharding import op9_feistel_sharding
 from lodestone.llm.substrings import op6_debruijn_substring_dedup
 from lodestone.llm.winnowing import op2_winnowing_fingerprints
@@ -14,7 +16,9 @@ from lodestone.llm.winnowing import op2_winnowing_fingerprints
 QUERIES = [
     op1_superminhash_near_dedup,
     op2_winnowing_fingerprints,
+    op3_attention_lm_scoring,
     op4_duckdb_byte_bpe,
+    op5_random_indexing_quality,
     op6_debruijn_substring_dedup,
     op7_additive_quantisation_ann,
     op8_pareto_source_mixing,
@@ -23,8 +27,15 @@ QUERIES = [
 ]
 
 
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
