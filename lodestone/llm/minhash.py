@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     fame = live.groupBy("rep").agg(F.sum("c").alias("fame"))
     hubs = live.join(fame, "rep").groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("hub"))
     first = cut(live.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "minhash-stars")
-    wanted = fame.select("rep").join(classes.select("rep", "d0", "d1", "n", "sketch"), "rep")
+    wanted = fame.select("rep").join(classes.select("rep", "d0", "d1", "n", "bands", "sketch"), "rep")
     wanted = cut(wanted, "minhash-wanted")
     sets = cut(
         texts.join(wanted.select(F.col("rep").alias("id"), "d0", "d1"), "id").select("id", "text", "d0", "d1").mapInArrow(partial(_sets, p=p), "rep long, members binary").dropDuplicates(["rep", "members"]),
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     rows = cut(placed.join(mixed, "key"), "minhash-mixed")
     elements = sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_elements, "rep long, element long")
     lonely = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    about = wanted.join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
+    about = wanted.join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
     rows = cut(rows.join(about.where(100 * F.col("m") >= p.percent * F.col("n")), "rep"), "minhash-compared")
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
     differ = F.bit_count(F.expr("(x.s0 ^ y.s0) | (x.s2 ^ y.s2)")) + F.bit_count(F.expr("(x.s1 ^ y.s1) | (x.s3 ^ y.s3)"))
@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
         & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
         & (100 * F.least("x.m", "y.m") >= p.percent * (F.col("x.n") + F.col("y.n") - F.least("x.m", "y.m")))
         & (differ <= p.sketch_differences)
+        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # a pair once, whatever it shares
     )
     second = x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     links = cut(linked.union(_verify(second, sets, p.percent)), "minhash-all-links")
