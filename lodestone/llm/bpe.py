@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Pieces sent to one recursive query, and pieces that a task remembers before it starts anew.
 QUERY_PIECES = 50_000
-CACHE = 800_000
+CACHE = 500_000
 #: Bytes of a piece above which contraction, one pair a step over all rows of the piece, would grow with the
 #: square of its length.  Such pieces (long runs without any space) go through a heap with the same result.
 LONG_PIECE = 256  # positions take 9 bits in the query

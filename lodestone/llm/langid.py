@@ -26,7 +26,7 @@ LETTER = re.compile(r"[^\W\d_]")
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 ORDERS = (4, 3, 2, 1)
 #: Words whose scores a Python worker keeps at hand; beyond these it starts anew.
-CACHE = 1_000_000
+CACHE = 250_000
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for n in ORDERS:
                         for i in range(len(padded) - n + 1):
                             total[lang, n, padded[i : i + n]] += c
-            if len(total) > 500_000:
+            if len(total) > 200_000:
                 yield flushed()
     if total:
         yield flushed()
