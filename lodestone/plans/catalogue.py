@@ -186,8 +186,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from lodestone.plans import catalogue_tables  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from lodestone.plans import catalogue_tables  # noqa: F401  registers its queries
+
     return dict(SQL)
