@@ -73,6 +73,33 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return left, right, rank
 
 
+class Runs:
+    """Many short arrays behind each other in one that grows."""
+
+    def __init__(self, kind: type):
+        self.values, self.ends, self.count = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, runs: list[np.ndarray]) -> None:
+        """Appends at least one run to a list whose first run, number 0, is empty."""
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        first = int(self.ends[self.count])
+        ends = first + np.cumsum(lengths)
+        if ends[-1] > len(self.values):
+            self.values = np.concatenate([self.values[:first], np.zeros(max(int(ends[-1]), 2 * len(self.values)) - first, self.values.dtype)])
+        if self.count + len(runs) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(runs), len(self.ends)), np.int64)])
+        self.values[first : ends[-1]] = np.concatenate(runs)
+        self.ends[self.count + 1 : self.count + 1 + len(runs)] = ends
+        self.count += len(runs)
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        """The runs of these numbers (from 1), joined."""
+        starts, ends = self.ends[numbers - 1], self.ends[numbers]
+        lengths = ends - starts
+        done = np.cumsum(lengths)
+        return self.values[np.repeat(starts - done + lengths, lengths) + np.arange(int(done[-1]) if len(done) else 0)]
+
+
 class Codec:
     """Encodes and decodes distinct pieces in a DuckDB database of its own."""
 
@@ -90,9 +117,8 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.decoded: list[bytes] = []
+        self.number: dict[str, int] = {}  # of each piece met, from 1
+        self.ids, self.decoded = Runs(np.int32), Runs(np.uint8)
 
     def _table(self, name: str, **columns: np.ndarray) -> None:
         self.db.register(name, pa.table({k: pa.array(v) for k, v in columns.items()}))
@@ -170,14 +196,14 @@ class Codec:
             for i, piece in enumerate(pieces):
                 at = known.get(piece)
                 if at is None:
-                    at = known[piece] = len(known)
+                    at = known[piece] = len(known) + 1
                     new.append(piece)
                 numbers[i] = at
             out.append(numbers)
         for i in range(0, len(new), QUERY_PIECES):
             ids = self.encode_pieces([p.encode() for p in new[i : i + QUERY_PIECES]])
-            self.ids += ids
-            self.decoded += self.decode_sequences(ids)
+            self.ids.add(ids)
+            self.decoded.add([np.frombuffer(b, np.uint8) for b in self.decode_sequences(ids)])
         return out
 
 
@@ -214,16 +240,14 @@ def _encode(batches: Iterator[pa.RecordBatch], shared: Broadcast, names: list[st
     for batch in batches:
         rest, row = batch.columns[:-1], 0
         for texts in _runs(_texts(batch.column(batch.num_columns - 1))):
-            ids = []
-            decoded = []
-            for numbers in codec.pieces_of(texts):
-                ids.append(np.concatenate([codec.ids[i] for i in numbers.tolist()]) if len(numbers) else np.zeros(0, np.uint32))
-                decoded.append(b"".join([codec.decoded[i] for i in numbers.tolist()]))
+            numbers = codec.pieces_of(texts)
+            ids = [codec.ids.take(n) for n in numbers]
+            decoded = [codec.decoded.take(n) for n in numbers] if "decoded_sha256" in names else []
             made = {
                 "n_tokens": lambda ids=ids: pa.array([len(x) for x in ids], pa.int64()),
                 "ids_sha256": lambda ids=ids: pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                "decoded_sha256": lambda d=decoded: pa.array([hashlib.sha256(x).hexdigest() for x in d], pa.string()),
-                "ids": lambda ids=ids: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32))),
+                "decoded_sha256": lambda d=decoded: pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in d], pa.string()),
+                "ids": lambda ids=ids: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.array(np.concatenate(ids))),
             }
             yield pa.RecordBatch.from_arrays([*(c.slice(row, len(texts)) for c in rest), *(made[n]() for n in names)], names=[*batch.schema.names[:-1], *names])
             row += len(texts)
