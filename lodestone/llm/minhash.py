@@ -11,8 +11,9 @@ a band are compared in two steps:
    the bucket, filtered inside the join by an exact bound on the overlap (shingles that no other member of these
    buckets has can't be shared) and by a 256-bit sketch of the signature.
 
-Both steps are confirmed on full shingle sets.  Members that one component already holds are not compared again,
-which changes no component, so a bucket of near copies costs about its size and not its square.
+Both steps are confirmed on full shingle sets, and the second is taken twice, first for the closest sketches alone.
+Members that one component already holds are not compared again, which changes no component, so a bucket of near
+copies costs about its size and not its square.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ class NearDuplicates:
     rows: int = 4
     #: Lanes (of 128) whose 2-bit sketches may differ; a pair of similarity 0.8 differs in more once in 1e7 pairs.
     sketch_differences: int = 42
+    #: Pairs that differ in no more are tried first: they join most of what can be joined.
+    sketch_first: int = 18
 
     @property
     def lanes(self) -> int:
@@ -172,6 +175,38 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
 
 
+def _mixed(live: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, rep, part, main): the members of buckets that hold several components, and the bucket's largest."""
+    placed = live.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    shares = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
+    return placed.join(mixed, "key")
+
+
+def _bounds(rows: DataFrame, wanted: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(rep, n, m, bands, s0 .. s3): m of the n shingles occur in another member's set; who can't reach the similarity with m is left out."""
+    elements = sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_elements, "rep long, element long")
+    alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    m = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")
+    about = wanted.join(alone, "rep", "left").select("rep", "n", m, "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
+    return about.where(100 * F.col("m") >= p.percent * F.col("n"))
+
+
+def _candidates(rows: DataFrame, p: NearDuplicates, limit: int) -> DataFrame:
+    """The pairs (a, b) of different components in one bucket that bounds and sketches allow, each once."""
+    x, y = rows.where("part <> main").alias("x"), rows.alias("y")
+    differ = F.bit_count(F.expr("(x.s0 ^ y.s0) | (x.s2 ^ y.s2)")) + F.bit_count(F.expr("(x.s1 ^ y.s1) | (x.s3 ^ y.s3)"))
+    near = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.part") != F.col("y.part"))
+        & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & (100 * F.least("x.m", "y.m") >= p.percent * (F.col("x.n") + F.col("y.n") - F.least("x.m", "y.m")))
+        & (differ <= limit)
+        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # in the first band that it shares
+    )
+    return x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, class_size, links) for each row of docs.
 
@@ -179,8 +214,8 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     equal shingle set; links counts the confirmed links of the row's class to other classes (at least those that
     join its component).  Texts that are null, empty or blank have no shingles and link with nothing: their
     component is their own id.  Rows with a null id keep a null component unless an equal set has an id.  Rows
-    that repeat an id are each classified by their own text.  Other columns of docs, whatever their names, are
-    not read.
+    that repeat an id are one node: what any of their texts links to is in one component.  Other columns of docs,
+    whatever their names, are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     features = cut(texts.mapInArrow(partial(_features, p=p), FEATURES), "minhash-features")
@@ -189,7 +224,6 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
         .groupBy("d0", "d1")
         .agg(F.min("id").alias("rep"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    # a repeated id can stand for several classes; a class then needs a name of its own
     classes = cut(classes, "minhash-classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -203,30 +237,16 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
         texts.join(wanted.select(F.col("rep").alias("id"), "d0", "d1"), "id").select("id", "text", "d0", "d1").mapInArrow(partial(_sets, p=p), "rep long, members binary").dropDuplicates(["rep", "members"]),
         "minhash-sets",
     )
-    linked = cut(_verify(first, sets, p.percent), "minhash-links")
-    parts = cut(connected_components(linked), "minhash-parts")
-
-    placed = live.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    shares = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
-    rows = cut(placed.join(mixed, "key"), "minhash-mixed")
-    elements = sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_elements, "rep long, element long")
-    lonely = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    about = wanted.join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
-    rows = cut(rows.join(about.where(100 * F.col("m") >= p.percent * F.col("n")), "rep"), "minhash-compared")
-    x, y = rows.where("part <> main").alias("x"), rows.alias("y")
-    differ = F.bit_count(F.expr("(x.s0 ^ y.s0) | (x.s2 ^ y.s2)")) + F.bit_count(F.expr("(x.s1 ^ y.s1) | (x.s3 ^ y.s3)"))
-    near = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.part") != F.col("y.part"))
-        & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (100 * F.least("x.m", "y.m") >= p.percent * (F.col("x.n") + F.col("y.n") - F.least("x.m", "y.m")))
-        & (differ <= p.sketch_differences)
-        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # a pair once, whatever it shares
-    )
-    second = x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = cut(linked.union(_verify(second, sets, p.percent)), "minhash-all-links")
-    release(first, sets, live, rows, linked)
+    links, tried, about = cut(_verify(first, sets, p.percent), "minhash-links"), first, None
+    for limit in (p.sketch_first, p.sketch_differences):
+        parts = cut(connected_components(links), "minhash-parts")
+        rows = cut(_mixed(live, parts), "minhash-mixed")
+        if about is None:
+            about = cut(_bounds(rows, wanted, sets, p), "minhash-bounds")
+        pairs = cut(_candidates(cut(rows.join(about, "rep"), "minhash-compared"), p, limit).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        tried = tried.union(pairs)
+        links = cut(links.union(_verify(pairs, sets, p.percent)), "minhash-links")
+    release(sets, live)
     found = connected_components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     named = classes.select("d0", "d1", "rep", "class_size").join(found, "rep", "left").join(degree, "rep", "left")
