@@ -280,4 +280,4 @@ def keep_one(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_col: str
 def op1_superminhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The near-duplicate component of each document at 4-word shingles and similarity 0.8."""
     groups = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), NearDuplicates(shingle_words=4))
-    return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_size", "links")
+    return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -38,5 +38,29 @@ def queries() -> dict:
     return {f.__name__: f for f in [*QUERIES, pipeline]}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: What SQL can state in full.  The other queries depend on hashes of this library or on trained models.
+SQL = {
+    "op1_superminhash_near_dedup": f"""WITH RECURSIVE
+w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+pair AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(d, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT d, b FROM reach JOIN pair ON a = r),
+c AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.d = w.doc_id""",
+    "op6_debruijn_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) t(i) WHERE len(ws) >= 35),
+r AS (SELECT s FROM x GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM x SEMI JOIN r USING (s) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+sha256(coalesce(array_to_string([ws[i] FOR i IN range(1, len(ws) + 1) IF NOT list_contains(coalesce(gone, []), i)], ' '), '')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
