@@ -2,7 +2,7 @@
 
 Every run of GRAM characters is hashed; of each WINDOW consecutive hashes the smallest is marked, the rightmost
 of equal ones.  Two texts that share any passage of WINDOW + GRAM - 1 characters share a mark.  A mark is one
-bigint: the 32-bit hash above, and 2**31 - 1 - position below, so that the smallest mark of a window is the
+bigint: 32 bits of the hash above, and 2**31 - 1 - position below, so that the smallest mark of a window is the
 rightmost of the smallest hashes and positions stay known.  Window minima come from doubling steps
 (log2(WINDOW) passes over the array), so the work is linear in the text's length.
 """
@@ -16,22 +16,37 @@ GRAM = 16
 WINDOW = 32
 #: Shared passages of so many characters are found for certain.
 GUARANTEE = GRAM + WINDOW - 1
-_LOW = 0x7FFFFFFF
+_LOW, _HIGH = 0x7FFFFFFF, 0x7FFFFFFF80000000
+#: Starts of grams in a piece of the text.
+PIECE = 32
 #: Rows that a task orders to find each document's neighbour, and the fan-out of the boundary search.
 ROWS_PER_RANGE = 2000
 FANOUT = 64
 
 
+def _packed(text: Column) -> Column:
+    """Hash and position of every gram.  The text is cut into overlapping pieces of PIECE starts, within which a gram is found at once."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{1,%d})).{1,%d}" % (PIECE + GRAM - 1, PIECE)), F.lit(1))
+
+    def grams(piece: Column, j: Column) -> Column:
+        count = F.least(F.lit(PIECE), F.length(piece) - (GRAM - 1))
+        high = F.lit(_LOW).cast("long") - j * PIECE  # the low half of the piece's first mark
+        lows = F.sequence(high, high - count + 1, F.lit(-1).cast("long"))
+        packed = F.transform(lows, lambda low, i: F.xxhash64(F.substring(piece, i + 1, F.lit(GRAM))).bitwiseAND(F.lit(_HIGH)).bitwiseOR(low))
+        return F.when(count > 0, packed).otherwise(F.array().cast("array<bigint>"))
+
+    return F.flatten(F.transform(pieces, grams))
+
+
 def marks(text: Column) -> Column:
     """The marks of a text in order of position.  A text shorter than GRAM has one mark, of the whole text; an empty or null text none."""
-    pack = lambda gram, i: F.shiftleft(F.xxhash64(gram).bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(_LOW).cast("long") - i)
-    grams = F.regexp_extract_all(text, F.lit(r"(?s)(?![\uDC00-\uDFFF])(?=(.{%d}))" % GRAM), F.lit(1))
     steps = F.array(*[F.lit(1 << i) for i in range(WINDOW.bit_length() - 1)])
     lower = lambda acc, s: F.zip_with(acc, F.slice(acc, s + 1, F.size(acc)), lambda x, y: F.least(x, y))
     whole = lambda acc: F.array_distinct(F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - (WINDOW - 1))))
-    long = F.aggregate(steps, F.transform(grams, pack), lower, whole)
+    long = F.aggregate(steps, _packed(text), lower, whole)
     none = F.array().cast("array<bigint>")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.length(text) < GRAM, F.array(pack(text, F.lit(0)))).otherwise(long)
+    short = F.array(F.xxhash64(text).bitwiseAND(F.lit(_HIGH)).bitwiseOR(F.lit(_LOW).cast("long")))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.length(text) < GRAM, short).otherwise(long)
 
 
 def position(mark: Column) -> Column:
