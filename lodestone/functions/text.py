@@ -96,7 +96,9 @@ def flip_name(name: Column) -> Column:
 
 def prefixed_query(text: Column, model: str) -> Column:
     """The query as an embedding model expects it: some want a task prefix."""
-    templates = {"nomic-embed": "search_query: %s", "qwen3-embedding": "Instruct: Given a search query, retrieve relevant passages\nQuery: %s"}
+    templates = {  # fixed values
+        "qwen3-embedding": "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery: %s",
+    }
     for prefix, template in templates.items():
         if model.startswith(prefix):
             return F.format_string(template, text)

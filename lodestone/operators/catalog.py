@@ -23,8 +23,9 @@ KINDS = ("tag", "author", "doctype")
 AUTO, GRAY = 0.97, 0.80
 #: Spelling ratio of names from which a merge is proposed.
 FUZZY = 0.84
-#: Document types that say nothing.
-GENERIC = frozenset({"misc", "other", "document", "unknown", "text", "file", "pdf", "general", "none", "n/a"})
+# Document types that say nothing, and what else a query may call its documents.
+GENERIC = frozenset({"misc", "miscellaneous", "other", "document", "documents", "text", "file", "general", "unknown", "n/a", "none"})
+GENERIC_IN_QUERIES = GENERIC | {"paper", "papers", "article", "articles", "publication", "publications", "work", "works", "study", "studies"}
 
 ENTITIES = "kind string, name string, usage long"
 ALIASES = "kind string, alias string, name string"

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from typing import Any
 
 from lodestone.functions.text import fold_text
-from lodestone.operators.catalog import GENERIC
+from lodestone.operators.catalog import GENERIC_IN_QUERIES
 
 Call = Callable[[str], str | None]
 
@@ -47,7 +47,7 @@ def parse_query(call: Call, query: str, groups: Callable[[str, str], list[str]]
     for kind, key in (("tag", "tags"), ("author", "authors"), ("doctype", "doc_types")):
         for entry in answer.get(key) or []:
             name, weight = str(entry.get("name", "")).strip(), clamp_weight(entry.get("weight"))
-            if name and weight > 0 and not (kind == "doctype" and fold_text(name) in GENERIC):
+            if name and weight > 0 and not (kind == "doctype" and fold_text(name) in GENERIC_IN_QUERIES):
                 facets.append({"terms": groups(kind, name), "weight": weight, "kind": kind})
     year = lambda k: answer[k] if isinstance(answer.get(k), int) else None
     return {"semantic_query": answer.get("semantic_query") or query, "facets": facets, "year_from": year("year_from"), "year_to": year("year_to")}
