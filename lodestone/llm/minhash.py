@@ -11,7 +11,7 @@ a band are compared in two steps:
    the bucket, filtered inside the join by an exact bound on the overlap (shingles that no other member of these
    buckets has can't be shared) and by a 256-bit sketch of the signature.
 
-Both steps are confirmed on full shingle sets, and the second is taken twice, first for the closest sketches alone.
+Both steps are confirmed on full shingle sets.
 Members that one component already holds are not compared again, which changes no component, so a bucket of near
 copies costs about its size and not its square.
 """
@@ -48,8 +48,6 @@ class NearDuplicates:
     rows: int = 4
     #: Lanes (of 128) whose 2-bit sketches may differ; a pair of similarity 0.8 differs in more once in 1e7 pairs.
     sketch_differences: int = 42
-    #: Pairs that differ in no more are tried first: they join most of what can be joined.
-    sketch_first: int = 18
 
     @property
     def lanes(self) -> int:
@@ -192,7 +190,7 @@ def _bounds(rows: DataFrame, wanted: DataFrame, sets: DataFrame, p: NearDuplicat
     return about.where(100 * F.col("m") >= p.percent * F.col("n"))
 
 
-def _candidates(rows: DataFrame, p: NearDuplicates, limit: int) -> DataFrame:
+def _candidates(rows: DataFrame, p: NearDuplicates) -> DataFrame:
     """The pairs (a, b) of different components in one bucket that bounds and sketches allow, each once."""
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
     differ = F.bit_count(F.expr("(x.s0 ^ y.s0) | (x.s2 ^ y.s2)")) + F.bit_count(F.expr("(x.s1 ^ y.s1) | (x.s3 ^ y.s3)"))
@@ -201,7 +199,7 @@ def _candidates(rows: DataFrame, p: NearDuplicates, limit: int) -> DataFrame:
         & (F.col("x.part") != F.col("y.part"))
         & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
         & (100 * F.least("x.m", "y.m") >= p.percent * (F.col("x.n") + F.col("y.n") - F.least("x.m", "y.m")))
-        & (differ <= limit)
+        & (differ <= p.sketch_differences)
         & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # in the first band that it shares
     )
     return x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
@@ -237,15 +235,12 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
         texts.join(wanted.select(F.col("rep").alias("id"), "d0", "d1"), "id").select("id", "text", "d0", "d1").mapInArrow(partial(_sets, p=p), "rep long, members binary").dropDuplicates(["rep", "members"]),
         "minhash-sets",
     )
-    links, tried, about = cut(_verify(first, sets, p.percent), "minhash-links"), first, None
-    for limit in (p.sketch_first, p.sketch_differences):
-        parts = cut(connected_components(links), "minhash-parts")
-        rows = cut(_mixed(live, parts), "minhash-mixed")
-        if about is None:
-            about = cut(_bounds(rows, wanted, sets, p), "minhash-bounds")
-        pairs = cut(_candidates(cut(rows.join(about, "rep"), "minhash-compared"), p, limit).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        tried = tried.union(pairs)
-        links = cut(links.union(_verify(pairs, sets, p.percent)), "minhash-links")
+    links = cut(_verify(first, sets, p.percent), "minhash-links")
+    parts = cut(connected_components(links), "minhash-parts")
+    rows = cut(_mixed(live, parts), "minhash-mixed")
+    compared = cut(rows.join(_bounds(rows, wanted, sets, p), "rep"), "minhash-compared")
+    pairs = _candidates(compared, p).join(first, ["a", "b"], "left_anti")
+    links = cut(links.union(_verify(pairs, sets, p.percent)), "minhash-all-links")
     release(sets, live)
     found = connected_components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
