@@ -10,9 +10,9 @@ Windows of WINDOW words overlap by OVERLAP; the first window of a text scores al
 the overlap, so each word is scored once.  Windows are stacked into batches under one causal mask.
 
 The corpus is tokenized once into blocks (a few thousand texts with a vocabulary of their own, words by 64-bit hashes).  Counts are summed
-over block vocabularies, so a frequent word costs one row for each block.  Each task trains on a fixed share of its
-own windows from the same start, and the tasks' weights are averaged, for ROUNDS rounds: what is learned from grows
-with the corpus.
+over block vocabularies, so a frequent word costs one row for each block.  Each task trains on a lot of its own
+windows from the same start, and the tasks' weights are averaged, for as many rounds as there are lots: every window
+of the training texts is learned from.
 """
 
 from __future__ import annotations
@@ -48,15 +48,14 @@ BLOCK_ROWS, BLOCK_BYTES = 10_000, 8 << 20
 
 @dataclass(frozen=True)
 class Training:
-    dim: int = 16
-    #: One in so many windows of the training texts is learned from in each round.
-    share: int = 32
+    dim: int = 24
+    #: The windows of the training texts are dealt into so many lots, and each round learns from one of them: all are learned from.
     rounds: int = 2
     batch: int = 64
     rate: float = 0.01
     #: Steps that a task makes at least in a round, on more of its first block's windows or, in up to so many passes,
     #: on these again; and steps that all tasks make at least, so that a small corpus is trained on for long enough.
-    steps: int = 120
+    steps: int = 150
     all_steps: int = 1000
     passes: int = 8
     seed: int = 3
@@ -325,7 +324,7 @@ def _transitions(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterat
 
 
 def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, turn: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(weight, weights): this task's model after its share of windows."""
+    """(weight, weights): this task's model after this round's lot of its windows."""
     classes, outcomes, start = shared.value
     model = Attention(t.dim, outcomes, t.seed)
     if start is not None:
@@ -334,9 +333,9 @@ def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, tu
     for row in _each(batches):
         b = Block(row, classes)
         text, begin, _ = windows(b.sizes.astype(np.int64) + 1)
-        share = t.share if seen else max(1, min(t.share, int((~b.held[text]).sum()) // (least * t.batch)))
-        lot = mix(mix(b.ids.astype(U64)[text]) + begin.astype(U64)) % U64(share)
-        mine = np.flatnonzero(~b.held[text] & (lot == U64(turn % share)))
+        lots = t.rounds if seen else max(1, min(t.rounds, int((~b.held[text]).sum()) // (least * t.batch)))
+        lot = mix(mix(b.ids.astype(U64)[text]) + begin.astype(U64)) % U64(lots)
+        mine = np.flatnonzero(~b.held[text] & (lot == U64(turn % lots)))
         if not len(mine):
             continue
         rng = np.random.default_rng(t.seed + turn)
