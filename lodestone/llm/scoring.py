@@ -12,7 +12,7 @@ the overlap, so each word is scored once.  Windows are stacked into batches unde
 The corpus is tokenized once into blocks (a few thousand texts with a vocabulary of their own, words by 64-bit hashes).  Counts are summed
 over block vocabularies, so a frequent word costs one row for each block.  Each task trains on a lot of its own
 windows from the same start, and the tasks' weights are averaged, for as many rounds as there are lots: every window
-of the training texts is learned from.
+of the training texts is learned from once, whatever its block and the size of the corpus.
 """
 
 from __future__ import annotations
@@ -53,11 +53,6 @@ class Training:
     rounds: int = 2
     batch: int = 64
     rate: float = 0.01
-    #: Steps that a task makes at least in a round, on more of its first block's windows or, in up to so many passes,
-    #: on these again; and steps that all tasks make at least, so that a small corpus is trained on for long enough.
-    steps: int = 150
-    all_steps: int = 1000
-    passes: int = 8
     seed: int = 3
 
 
@@ -323,7 +318,7 @@ def _transitions(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen].astype(np.int64))], names=["cell", "n"])
 
 
-def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, turn: int, least: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, turn: int) -> Iterator[pa.RecordBatch]:
     """(weight, weights): this task's model after this round's lot of its windows."""
     classes, outcomes, start = shared.value
     model = Attention(t.dim, outcomes, t.seed)
@@ -333,16 +328,14 @@ def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, tu
     for row in _each(batches):
         b = Block(row, classes)
         text, begin, _ = windows(b.sizes.astype(np.int64) + 1)
-        lots = t.rounds if seen else max(1, min(t.rounds, int((~b.held[text]).sum()) // (least * t.batch)))
-        lot = mix(mix(b.ids.astype(U64)[text]) + begin.astype(U64)) % U64(lots)
-        mine = np.flatnonzero(~b.held[text] & (lot == U64(turn % lots)))
+        lot = mix(mix(b.ids.astype(U64)[text]) + begin.astype(U64)) % U64(t.rounds)
+        mine = np.flatnonzero(~b.held[text] & (lot == U64(turn)))
         if not len(mine):
             continue
         rng = np.random.default_rng(t.seed + turn)
-        for _ in range(1 if seen else min(t.passes, max(1, -(-least // -(-len(mine) // t.batch))))):
-            for _, first, last, target, counted, _ in b.batches(rng.permutation(mine), t.batch):
-                n = int(counted.sum())
-                adam.apply(model.gradients(first, last, target, counted), max(1, n))
+        for _, first, last, target, counted, _ in b.batches(rng.permutation(mine), t.batch):
+            n = int(counted.sum())
+            adam.apply(model.gradients(first, last, target, counted), max(1, n))
         seen += len(mine)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.flat()], pa.list_(pa.float32()))], names=["weight", "weights"])
@@ -440,11 +433,10 @@ def score_texts(docs: DataFrame, ranks_path: str, pattern: str, t: Training = Tr
     inside = np.log((moves + 5 * plain) / (moves.sum(1, keepdims=True) + 5)).astype(np.float32)
 
     weights = None
-    tasks = max(1, blocks.rdd.getNumPartitions())
+    heaps = math.isqrt(max(1, blocks.rdd.getNumPartitions())) + 1
     for turn in range(t.rounds):
         shared = spark.sparkContext.broadcast((classes, outcomes, weights))
-        parts = blocks.select(*names).mapInArrow(partial(_train, shared=shared, t=t, turn=turn, least=max(t.steps, t.all_steps // tasks)), "weight double, weights array<float>")
-        heaps = math.isqrt(tasks) + 1
+        parts = blocks.select(*names).mapInArrow(partial(_train, shared=shared, t=t, turn=turn), "weight double, weights array<float>")
         parts = parts.withColumn("heap", F.pmod(F.spark_partition_id(), F.lit(heaps))).groupBy("heap").applyInArrow(_by_heap, "weight double, weights array<float>").toArrow()
         if len(parts):
             weights = _mean(parts)["weights"][0].values.to_numpy()

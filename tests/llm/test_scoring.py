@@ -26,7 +26,7 @@ def blocks(monkeypatch):
     return made, np.arange(max(ranks.values()) + 1) % scoring.CLASSES
 
 
-def learned(monkeypatch, made, classes, t, turn, **more):
+def learned(monkeypatch, made, classes, t, turn):
     """How many outcomes a task learned from in a round, and its weight."""
     counts = []
     gradients = scoring.Attention.gradients
@@ -37,7 +37,7 @@ def learned(monkeypatch, made, classes, t, turn, **more):
 
     monkeypatch.setattr(scoring.Attention, "gradients", counting)
     shared = SimpleNamespace(value=(classes, np.ones(scoring.CLASSES + 1), None))
-    weight = sum(b["weight"][0].as_py() for b in scoring._train(iter(made), shared, t, turn, **more))
+    weight = sum(b["weight"][0].as_py() for b in scoring._train(iter(made), shared, t, turn))
     monkeypatch.setattr(scoring.Attention, "gradients", gradients)
     return sum(counts), weight
 
@@ -46,4 +46,12 @@ def test_every_training_window_is_learned_from(monkeypatch, blocks):
     made, classes = blocks
     t = scoring.Training()
     want = sum(int((b.sizes[~b.held] + 1).sum()) for b in (scoring.Block(r) for r in scoring._each(iter(made))))
-    assert sum(learned(monkeypatch, made, classes, t, turn, least=1)[0] for turn in range(t.rounds)) == want
+    assert sum(learned(monkeypatch, made, classes, t, turn)[0] for turn in range(t.rounds)) == want
+
+
+def test_a_block_is_learned_from_alike_in_every_place(monkeypatch, blocks):
+    made, classes = blocks
+    t = scoring.Training()
+    for turn in range(t.rounds):
+        alone = [learned(monkeypatch, [b], classes, t, turn) for b in made]
+        assert learned(monkeypatch, made, classes, t, turn) == tuple(map(sum, zip(*alone, strict=True)))
