@@ -50,6 +50,14 @@ def fold_titles(spark, sf_dir):
     return d.select("doc_id", tx.fold(F.col("text")).alias("folded"))
 
 
+def fold_documents(spark, sf_dir):
+    """Folded texts of all documents (DuckDB's strip_accents isn't NFKD, so fold_titles alone has SQL; unit tests check this)."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.fold(F.col("text")).alias("folded"))
+
+
+query()(fold_documents)
+
+
 # ---------------------------------------------------------------- facets and results
 
 
