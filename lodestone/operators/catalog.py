@@ -7,20 +7,25 @@ mentions of one kind are folded in order by one task (a kind is one group; catal
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold, fold_text, given_compatible, given_words, strip_variants, surname
-from lodestone.functions.vectors import cosine
 
 KINDS = ("tag", "author", "doctype")
 #: Similarity from which a new term is an alias, and from which an adjudicator is asked.
 AUTO, GRAY = 0.97, 0.80
+#: Terms that are sent to the tasks at once; more are answered block by block.
+TERM_BLOCK = 4096
+_NEAREST = "term string, name string, similarity double"
 #: Spelling ratio of names from which a merge is proposed.
 FUZZY = 0.84
 # Document types that say nothing, and what else a query may call its documents.
@@ -72,16 +77,54 @@ def listing(c: Catalog, kind: str) -> DataFrame:
     return c.entities.where(F.col("kind") == kind).join(spellings, "name", "left").select("usage", "name", F.coalesce("aliases", F.lit("")).alias("aliases")).orderBy(F.desc("usage"), "name")
 
 
+def _best(batches: Iterator[pa.RecordBatch], shared: Broadcast, n: int) -> Iterator[pa.RecordBatch]:
+    """(term, name, similarity): the n best names of this task for each asked vector, kept while the batches go by."""
+    asked = shared.value
+    best = {dim: (np.zeros((len(terms), 0)), np.zeros((len(terms), 0), str)) for dim, (terms, _) in asked.items()}
+    for batch in batches:
+        names, sizes = batch.column(0).to_numpy(zero_copy_only=False).astype(str), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for dim, (_, queries) in asked.items():
+            mine = np.flatnonzero(sizes == dim)
+            for at in range(0, len(mine), 2048):
+                part = mine[at : at + 2048]
+                scores = np.concatenate([best[dim][0], np.round(queries @ _unit(batch.column(1).take(pa.array(part)), dim).T, 12)], 1)
+                here = np.concatenate([best[dim][1], np.broadcast_to(names[part], (len(queries), len(part)))], 1)
+                place = np.searchsorted(np.unique(np.concatenate([best[dim][1].reshape(-1), names[part]])), here)
+                order = np.lexsort((place, -scores), axis=1)[:, :n]
+                best[dim] = np.take_along_axis(scores, order, 1), np.take_along_axis(here, order, 1)
+    for dim, (terms, _) in asked.items():
+        scores, names = best[dim]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(terms, scores.shape[1]), pa.string()), pa.array(names.reshape(-1).tolist(), pa.string()), pa.array(scores.reshape(-1), from_pandas=True)], names=["term", "name", "similarity"])
+
+
+def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
+
 def nearest(terms: DataFrame, vectors: DataFrame, n: int = 5) -> DataFrame:
-    """(term, name, similarity, rank): the n entities nearest to each term's vector.
+    """(term, name, similarity, rank): the n entities nearest to each term's vector, ties to the name that sorts first.
 
-    terms is (term, vec), the asked side; vectors the vocabulary of one kind.  Every term meets every entity, the
-    smaller side being broadcast by Spark's own size estimate.
+    terms is (term, vec), the asked side; vectors the vocabulary of one kind.  Every term meets every entity whose
+    vector is as long: entities are read once for each block of TERM_BLOCK terms and never shuffled, and each task
+    returns n rows a term.
     """
-    pairs = terms.select("term", "vec").join(vectors.select("name", F.col("vec").alias("other")), F.size("vec") == F.size("other"))
-    scored = pairs.select("term", "name", F.round(cosine(F.col("vec"), F.col("other")), 12).alias("similarity"))
+    spark = terms.sparkSession
+    rows = vectors.where("name is not null and size(vec) > 0").select("name", F.col("vec").cast("array<double>"))
+    asked = terms.where("size(vec) > 0").select(F.col("term").cast("string"), F.col("vec").cast("array<double>"))
+    blocks = max(1, -(-asked.count() // TERM_BLOCK))
+    found = spark.createDataFrame([], _NEAREST)
+    for i in range(blocks):
+        table = (asked.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow().combine_chunks()
+        if not len(table):
+            continue
+        names, vecs = table["term"].to_numpy(), table["vec"].combine_chunks()
+        sizes = vecs.value_lengths().to_numpy()
+        parts = {int(d): np.flatnonzero(sizes == d) for d in np.unique(sizes)}
+        shared = spark.sparkContext.broadcast({d: (names[at], _unit(vecs.take(pa.array(at)), d)) for d, at in parts.items()})
+        found = found.unionByName(rows.mapInArrow(partial(_best, shared=shared, n=n), _NEAREST))
     order = Window.partitionBy("term").orderBy(F.desc("similarity"), "name")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def band(exact: Column, similarity: Column) -> Column:

@@ -185,11 +185,11 @@ def checkpoint_skip(spark, sf_dir):
 # ---------------------------------------------------------------- catalog
 
 
-def _catalog(spark, sf_dir):
+def _catalog(spark, sf_dir, entities_where="vec_id < 100"):
     d = table(spark, sf_dir, "documents")
     entities = d.groupBy(F.lit("tag").alias("kind"), F.col("source").alias("name")).agg(F.count("*").alias("usage"))
     aliases = entities.select("kind", F.concat(F.lit("alias of "), F.col("name")).alias("alias"), "name")
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100")
+    e = table(spark, sf_dir, "embeddings").where(entities_where)
     vectors = e.select(F.lit("tag").alias("kind"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").cast("array<double>").alias("vec"))
     return cat.Catalog(entities, aliases, vectors, spark.createDataFrame([], cat.MERGES))
 
@@ -214,8 +214,8 @@ s AS (SELECT q.vec_id AS term, v.vec_id AS other, round(list_dot_product(q.e, v.
 n AS (SELECT term, 'v' || other AS name, similarity, row_number() OVER (PARTITION BY term ORDER BY similarity DESC, 'v' || other) AS rank FROM s)"""
 
 
-def _terms(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id between 90 and 200")
+def _terms(spark, sf_dir, where="vec_id between 90 and 200"):
+    e = table(spark, sf_dir, "embeddings").where(where)
     return e.select(F.concat(F.lit("term "), F.col("vec_id").cast("string")).alias("term"), F.col("embedding").cast("array<double>").alias("vec"), (F.col("vec_id") % 5 + 1).alias("count"))
 
 
@@ -240,6 +240,29 @@ def band_histogram(spark, sf_dir):
     return cat.band_histogram(cat.banding(_terms(spark, sf_dir), _catalog(spark, sf_dir)))
 
 
+# The same over all of embeddings: every vector is a term and an entity.
+
+
+def nearest_entities_all(spark, sf_dir):
+    """The five entities nearest to each term (all pairs; checked by unit tests)."""
+    return cat.nearest(_terms(spark, sf_dir, "true"), _catalog(spark, sf_dir, "true").vectors).withColumn("similarity", F.round("similarity", 6))
+
+
+def tag_banding_all(spark, sf_dir):
+    """What resolution would do with each term."""
+    got = cat.banding(_terms(spark, sf_dir, "true"), _catalog(spark, sf_dir, "true"))
+    return got.withColumn("similarity", F.round("similarity", 6))
+
+
+def band_histogram_all(spark, sf_dir):
+    """Terms and occurrences by band."""
+    return cat.band_histogram(cat.banding(_terms(spark, sf_dir, "true"), _catalog(spark, sf_dir, "true")))
+
+
+for _whole in (nearest_entities_all, tag_banding_all, band_histogram_all):
+    query()(_whole)
+
+
 @query("""WITH a AS (SELECT c_custkey, 'name' || (c_custkey % 40) AS last, CASE WHEN c_custkey % 3 = 0 THEN substr(lower(c_mktsegment), 1, 1) ELSE lower(c_mktsegment) END AS given FROM customer),
 q AS (SELECT 'name' || (s_suppkey % 40) || ', ' || (CASE WHEN s_suppkey % 2 = 0 THEN 'A.' ELSE 'Building' END) AS asked, 'name' || (s_suppkey % 40) AS last, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'building' END AS given FROM supplier)
 SELECT DISTINCT asked, q.last || ', ' || a.given AS name FROM q JOIN a ON q.last = a.last AND (starts_with(a.given, q.given) OR starts_with(q.given, a.given))""")
@@ -263,6 +286,17 @@ def resolve_terms(spark, sf_dir):
 query()(resolve_terms)
 
 
+def resolve_terms_all(spark, sf_dir):
+    """Ordered resolution of all of embeddings; three terms in five rows, as many as there are rows to name (a sequential fold; checked by unit tests)."""
+    e = table(spark, sf_dir, "embeddings")
+    term = F.concat(F.lit("term "), F.floor(F.col("vec_id") * 3 / 5).cast("string"))
+    mentions = e.select(F.lit("tag").alias("kind"), term.alias("term"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("vec"))
+    return cat.resolve(mentions, cat.Catalog.empty(spark))[0]
+
+
+query()(resolve_terms_all)
+
+
 # ---------------------------------------------------------------- library
 
 
