@@ -59,6 +59,12 @@ def knn_batch_top5(spark, sf_dir):
     return _vector_hits(spark, sf_dir, "vec_id % 50 = 0", 5).select("qid", "chunk_id", F.round("similarity", 6).alias("similarity"), "vec_rank")
 
 
+@query(SQL["knn_batch_top5"].replace("% 50 = 0", "% 20 = 0"))
+def knn_batch20_top5(spark, sf_dir):
+    """Five nearest for each vector whose id is divisible by 20."""
+    return _vector_hits(spark, sf_dir, "vec_id % 20 = 0", 5).select("qid", "chunk_id", F.round("similarity", 6).alias("similarity"), "vec_rank")
+
+
 _HITS = f"""WITH {_VECTORS}, s AS (SELECT v.vec_id, v.label, {_SIM} AS sim FROM v q, v WHERE q.vec_id = 0),
 h AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id) AS rk FROM s QUALIFY rk <= 200),
 d AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, rk) AS i FROM h)"""

@@ -68,3 +68,9 @@ def test_every_vector_is_resolved(spark, embeddings):
         want[i] = state.resolve_term(f"term {i * 3 // 5}", vectors[i])
     got = {r.pos: r.name for r in catalogue.queries()["resolve_terms_all"](spark, sf).collect()}
     assert got == want and got[302] == got[80] and max(Counter(want.values()).values()) > 1
+
+
+def test_every_id_divisible_by_20_is_asked(spark, tmp_path):
+    spark.createDataFrame([(i, [1.0, i * 0.1], 0) for i in range(0, 130, 5)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()["knn_batch20_top5"](spark, str(tmp_path)).collect()
+    assert Counter(r.qid for r in got) == dict.fromkeys(range(0, 130, 20), 5) and all(r.chunk_id == r.qid for r in got if r.vec_rank == 1)
