@@ -12,7 +12,7 @@ from lodestone.operators import evaluation as ev
 from lodestone.operators.chunking import chunk_rows, get_chunker
 from lodestone.output import tsv_line
 from lodestone.plans import index as ix
-from lodestone.plans.catalogue import _BM25, _text_hits, query, table
+from lodestone.plans.catalogue import _BM25, SQL, _text_hits, query, table
 from lodestone.sources import files as src
 from lodestone.sources import library as lib
 from lodestone.streaming.live import newest
@@ -349,9 +349,19 @@ def stored_attachments(spark, sf_dir):
 r AS (SELECT d.qid, d.qid % 4 AS grp, fts_rank FROM d LEFT JOIN f ON f.qid = d.qid AND f.chunk_id = d.doc AND fts_rank <= 50)
 SELECT grp, count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / fts_rank, 0)), 3) AS mrr FROM r GROUP BY grp""")
 def mrr_eval(spark, sf_dir):
-    """Mean reciprocal rank of the document that holds a query's passage, by group of queries."""
+    """Mean reciprocal rank of the document that holds the opening of a query's passage, by group of queries."""
+    return _mrr(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query(SQL["mrr_eval"].replace("substr(benchmark.text, 1, 60)", "benchmark.text"))
+def mrr_eval_whole(spark, sf_dir):
+    """Mean reciprocal rank of the document that holds a query's whole passage, by group of queries."""
+    return _mrr(spark, sf_dir, F.col("text"))
+
+
+def _mrr(spark, sf_dir, passage):
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pairs = b.select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("head")).join(d.select("doc_id", F.col("text").alias("body")), F.contains(F.col("body"), F.col("head")))
+    pairs = b.select(F.col("item_id").alias("qid"), passage.alias("head")).join(d.select("doc_id", F.col("text").alias("body")), F.contains(F.col("body"), F.col("head")))
     truth = pairs.groupBy("qid").agg(F.min("doc_id").alias("chunk_id"))
     ranks = truth.join(_text_hits(spark, sf_dir, 50), ["qid", "chunk_id"], "left").select((F.col("qid") % 4).alias("grp"), F.col("fts_rank").alias("rank"))
     return ev.mean_reciprocal_rank(ranks, ["grp"])

@@ -74,3 +74,11 @@ def test_every_id_divisible_by_20_is_asked(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, i * 0.1], 0) for i in range(0, 130, 5)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalogue.queries()["knn_batch20_top5"](spark, str(tmp_path)).collect()
     assert Counter(r.qid for r in got) == dict.fromkeys(range(0, 130, 20), 5) and all(r.chunk_id == r.qid for r in got if r.vec_rank == 1)
+
+
+def test_the_true_document_holds_the_whole_passage(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(30))
+    texts = [passage[:60] + " and then something else", "Another opening. " + passage, *(f"filler text {i} of no interest" for i in range(9))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.grp, r.queries, r.mrr) for r in catalogue.queries()["mrr_eval_whole"](spark, str(tmp_path)).collect()] == [(0, 1, 1.0)]
