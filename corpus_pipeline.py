@@ -17,8 +17,13 @@ from lodestone.plans.materialize import cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no text or no letter in it); a null lang becomes the predicted one."""
+    """Drops documents without a letter (or without a text); a null lang becomes the predicted one.
+
+    If no document has a lang, there is nothing to predict from, and lang stays null.
+    """
     model = langid.fit(docs)
+    if not model.languages:
+        return docs.where(langid.has_letter(F.col("text")))
     named = langid.identify(docs, model)
     kept = named.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(*docs.columns)

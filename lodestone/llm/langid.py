@@ -15,10 +15,12 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.plans.materialize import cut
 
@@ -155,6 +157,12 @@ def fit(labelled: DataFrame, bounds: LanguageModelBounds = LanguageModelBounds()
     return BackoffModel(languages, np.concatenate(tables), *places)
 
 
+@F.pandas_udf(T.BooleanType())
+def has_letter(texts: pd.Series) -> pd.Series:
+    """Whether a text has a letter; false for null."""
+    return texts.map(lambda t: t is not None and LETTER.search(t) is not None).astype(bool)
+
+
 def _identify(batches: Iterator[pa.RecordBatch], shared: Broadcast, keep: int) -> Iterator[pa.RecordBatch]:
     model = shared.value
     rows = _Rows(model)
