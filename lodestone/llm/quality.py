@@ -7,7 +7,8 @@ document's input is the mean of its word vectors, rare words weighing more, the
 few numbers about its length and repetition.  The network's output is divided by a temperature fitted on rows held
 back from its training, which makes its probabilities calibrated.
 
-Training reads a bounded sample of the labelled rows; everything else is of fixed size.
+Word vectors and the frequencies that weigh them come from all training texts, labelled or not.  The network alone is
+trained on a bounded sample of the labelled rows.
 """
 
 from __future__ import annotations
@@ -78,18 +79,22 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, count, context): sums over this task's texts."""
-    index = index_vectors(WORD_ROWS, WORD_DIM, 1)
+    index = np.zeros((WORD_ROWS + 1, WORD_DIM), np.int8)  # the last row for where a text ends
+    index[:-1] = index_vectors(WORD_ROWS, WORD_DIM, 1)
     total, count = np.zeros((WORD_ROWS, WORD_DIM), np.float32), np.zeros(WORD_ROWS, np.int64)
     for batch in batches:
         for _, words, _, offsets in _runs(batch.column(0)):
             owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             count += np.bincount(words, minlength=WORD_ROWS)
-            for step in range(1, REACH + 1):
-                near = np.flatnonzero(owner[step:] == owner[:-step])
-                for i in range(0, len(near), 1 << 16):
-                    a, b = words[near[i : i + (1 << 16)]], words[near[i : i + (1 << 16)] + step]
-                    np.add.at(total, a, index[b])
-                    np.add.at(total, b, index[a])
+            for i in range(0, len(words), 1 << 14):
+                at = np.arange(i, min(i + (1 << 14), len(words)))
+                near = np.zeros((len(at), WORD_DIM), np.int8)
+                for step in (*range(-REACH, 0), *range(1, REACH + 1)):
+                    other = np.clip(at + step, 0, len(words) - 1)
+                    near += index[np.where((other == at + step) & (owner[other] == owner[at]), words[other], WORD_ROWS)]
+                order = np.argsort(words[at], kind="stable")
+                found, starts = np.unique(words[at][order], return_index=True)
+                total[found] += np.add.reduceat(near[order].astype(np.float32), starts, axis=0)
     seen = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(count[seen]), pa.ListArray.from_arrays(np.arange(len(seen) + 1, dtype=np.int32) * WORD_DIM, pa.array(total[seen].reshape(-1)))], names=["bucket", "n", "context"])
 
@@ -175,9 +180,11 @@ def _features(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * INPUTS, pa.array(x.reshape(-1)))], names=["id", "label", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, t: QualityTraining = QualityTraining(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, t: QualityTraining = QualityTraining(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", corpus: DataFrame | None = None) -> QualityModel:
     """A model of the documents that labels names.  Labels other than 0 and 1 are left out; a document with both counts as 1.
 
+    Contexts and frequencies of words come from all of corpus, labelled or not (docs if it isn't given).
+
     With labels of one kind only, or none, the model returns that kind's share for every text.
     """
     spark = docs.sparkSession
@@ -187,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, t: QualityTraining = QualityTraining
     chosen = known.where(chance < share)  # about t.sample rows, so it may be broadcast
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
     sample = cut(sample.select("id", "label", "text"), "quality-sample")
-    parts = sample.select("text").mapInArrow(_contexts, "bucket long, n long, context array<float>")
+    every = (docs if corpus is None else corpus).select(F.col(text_col).cast("binary").alias("text"))
+    parts = every.mapInArrow(_contexts, "bucket long, n long, context array<float>")
     sums = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("context")[i]) for i in range(WORD_DIM)]).alias("context"))
     found = sums.toArrow()  # WORD_ROWS rows at most
     words, n = index_vectors(WORD_ROWS, WORD_DIM, 1), np.zeros(WORD_ROWS)
@@ -231,5 +239,5 @@ def op5_random_indexing_quality(spark, sf_dir: str) -> DataFrame:
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held_out, "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    model = fit(docs, labels)
+    model = fit(docs, labels, corpus=docs.where("not coalesce(held_out, false)"))
     return score(docs, model).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
