@@ -4,7 +4,17 @@ The vocabulary is a rank file of a public tokenizer (never trained here).  A tex
 pattern; each distinct piece becomes rows (piece, position, token), at first one token for each byte.  A recursive
 query joins neighbouring tokens with the merge table, contracts each piece's leftmost pair of the smallest rank,
 and repeats until no piece has a pair left.  Decoding joins ids with the vocabulary and aggregates by position.
-Pieces that a task has met before are not sent again.
+Pieces that a worker has met before are not sent again.
+
+A piece longer than SHORT is contracted in many places at once.  Its positions fall into cells of twice the longest
+token, and neighbouring cells with the same smallest rank form an island.  If no cell beside an island has a smaller
+rank, nothing that is contracted elsewhere can reach its pairs of that rank before they are contracted, so all of
+them are, from the left and without overlap (only the leftmost, where the new token could make a pair of a still
+smaller rank).  The ids are those of one contraction at a time.  A single piece of more than WHOLE bytes, for which
+the rows of one step don't fit a worker's share of memory, is contracted by a heap with the same result.
+
+A query's rows are bounded: it takes QUERY_BYTES bytes of pieces (or one longer piece) and stops after so many
+steps that it makes QUERY_ROWS rows at most; pieces that aren't done go on from there in a later query.
 """
 
 from __future__ import annotations
@@ -21,18 +31,31 @@ import pyarrow as pa
 import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Pieces sent to one recursive query, and pieces that a task remembers before it starts anew.
-QUERY_PIECES = 50_000
-CACHE = 500_000
-#: Bytes of a piece above which contraction, one pair a step over all rows of the piece, would grow with the
-#: square of its length.  Such pieces (long runs without any space) go through a heap with the same result.
-LONG_PIECE = 256  # positions take 9 bits in the query
+from lodestone.llm.rows import beside, column, trimmed
+
+#: Bytes of the pieces sent to one recursive query, and rows that its steps make (28 bytes each).
+QUERY_BYTES, QUERY_ROWS = 1 << 18, 1 << 21
+#: The same rows for the query of long pieces, whose steps hold more at once.
+LONG_ROWS = 1 << 17
+#: Bytes up to which a piece is contracted by one pair a step; bytes of longer pieces sent to one query; bytes of the longest.
+SHORT, LONG_BYTES, WHOLE = 256, 1 << 14, 1 << 15
+#: DuckDB's limit in each worker.  A query of the size above takes a fraction of it.
+MEMORY = "400MB"
+#: Pieces, and bytes of them, that a worker remembers before it starts anew.
+CACHE, CACHE_BYTES = 400_000, 32 << 20
+#: Pieces whose ids are decoded by one query.
+QUERY_PIECES = 20_000
 
 # White space as the tokenizer's regular expressions know it (Unicode White_Space), whatever the engine's \s.
 _SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 
+_LAST = """
+SELECT piece, step, list(tok ORDER BY pos) AS ids, list(pos ORDER BY pos) AS places
+FROM steps JOIN (SELECT piece, max(step) AS step FROM steps GROUP BY piece) USING (piece, step)
+GROUP BY piece, step ORDER BY piece
+"""
+
 _ENCODE = """
 WITH RECURSIVE steps(step, piece, pos, tok, nxt, prv) AS (
   SELECT 0, piece, pos, tok, lead(tok) OVER w, lag(pos) OVER w
@@ -40,19 +63,53 @@ WITH RECURSIVE steps(step, piece, pos, tok, nxt, prv) AS (
   UNION ALL
   SELECT step, piece, pos, tok, lead(tok) OVER w, lag(pos) OVER w
   FROM (
-    SELECT r.step + 1 AS step, r.piece, r.pos, CASE WHEN r.pos = b.best & 511 THEN b.best >> 9 ELSE r.tok END AS tok
-    FROM steps r JOIN (
+    SELECT s.step + 1 AS step, s.piece, s.pos, CASE WHEN s.pos = b.best & 4294967295 THEN (b.best >> 32)::INT ELSE s.tok END AS tok
+    FROM steps s JOIN (
       -- the smallest rank, and of equal ones the leftmost position
-      SELECT piece, min((m.rank << 9) | pos) AS best
-      FROM steps JOIN merges m ON m.l = tok AND m.r = nxt GROUP BY piece
-    ) b ON r.piece = b.piece
-    WHERE r.prv IS DISTINCT FROM b.best & 511
+      SELECT piece, min((m.rank::BIGINT << 32) | pos) AS best
+      FROM steps JOIN merges m ON m.l = tok AND m.r = nxt WHERE step < {most} GROUP BY piece
+    ) b ON s.piece = b.piece
+    WHERE s.prv IS DISTINCT FROM b.best & 4294967295
   ) WINDOW w AS (PARTITION BY piece ORDER BY pos)
-)
-SELECT piece, list(tok ORDER BY pos) AS ids
-FROM steps JOIN (SELECT piece, max(step) AS step FROM steps GROUP BY piece) USING (piece, step)
-GROUP BY piece ORDER BY piece
-"""
+)""" + _LAST
+
+_ENCODE_LONG = """
+WITH RECURSIVE steps(step, piece, pos, tok) AS (
+  SELECT 0, piece, pos, tok FROM symbols
+  UNION ALL
+  SELECT step + 1, piece, pos, CASE WHEN hit THEN rank ELSE tok END
+  FROM (
+    SELECT *, lag(hit) OVER (PARTITION BY piece ORDER BY pos) AS gone
+    FROM (
+      -- every second pair of a run of overlapping ones, from its first
+      SELECT *, least_here AND CASE WHEN safe THEN (n - max(CASE WHEN starts THEN n END) OVER (PARTITION BY piece ORDER BY pos)) % 2 = 0 ELSE pos = leftmost END AS hit
+      FROM (
+        SELECT *, NOT coalesce(lag(least_here) OVER (PARTITION BY piece ORDER BY pos), false) AS starts
+        FROM (
+          WITH pairs AS (
+            SELECT p.*, pos // {reach} AS cell, m.rank, m.safe
+            FROM (SELECT *, lead(tok) OVER w AS nxt, row_number() OVER w AS n FROM steps WHERE step < {most} WINDOW w AS (PARTITION BY piece ORDER BY pos)) p
+            LEFT JOIN merges m ON m.l = tok AND m.r = nxt
+          ), cells AS (
+            SELECT *, sum(edge::INT) OVER (PARTITION BY piece ORDER BY cell) AS island
+            FROM (
+              SELECT *, best >> 32 AS low, lag(best >> 32) OVER w AS before, lead(best >> 32) OVER w AS after, lag(best >> 32) OVER w IS DISTINCT FROM best >> 32 AS edge
+              FROM (SELECT piece, cell, coalesce(min((rank::BIGINT << 32) | pos), 9223372032559808512) AS best FROM pairs GROUP BY ALL)
+              WINDOW w AS (PARTITION BY piece ORDER BY cell)
+            )
+          ), islands AS (
+            SELECT piece, island, min(low) AS low, min(best) & 4294967295 AS leftmost, bool_and(coalesce(before, low) >= low AND coalesce(after, low) >= low) AS lowest
+            FROM cells GROUP BY ALL
+          )
+          SELECT p.*, i.leftmost, coalesce(p.rank = i.low AND i.lowest, false) AS least_here
+          FROM pairs p JOIN cells USING (piece, cell) JOIN islands i USING (piece, island)
+          WHERE piece IN (SELECT piece FROM pairs WHERE rank IS NOT NULL)
+        )
+      )
+    )
+  )
+  WHERE gone IS NOT TRUE
+)""" + _LAST
 
 _DECODE = """
 SELECT piece, string_agg(v.hex, '' ORDER BY pos) AS hex
@@ -107,9 +164,13 @@ class Codec:
         self.ranks = ranks
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")).findall
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.reach = 2 * max(map(len, ranks))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         left, right, rank = merge_table(ranks)
-        self._table("merges_in", l=left, r=right, rank=rank)
+        tied = np.full(len(ranks) + max(ranks.values()), np.iinfo(np.int32).max)  # the smallest rank that a token has a part in
+        for part in (left, right):
+            np.minimum.at(tied, part, rank)
+        self._table("merges_in", l=left, r=right, rank=rank, safe=tied[rank] > rank)
         self.db.execute("CREATE TABLE merges AS FROM merges_in")
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         self.db.register("vocabulary_in", vocabulary)
@@ -126,23 +187,26 @@ class Codec:
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece."""
         out: list = [np.array([self.ranks[p]], np.uint32) if p in self.ranks else None for p in pieces]
-        for i, p in enumerate(pieces):
-            if out[i] is None and len(p) > LONG_PIECE:
-                out[i] = self._heap(p)
-        rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            lengths = np.array([len(pieces[i]) for i in rest])
-            data = np.frombuffer(b"".join(pieces[i] for i in rest), np.uint8)
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self._table("symbols", piece=np.repeat(np.arange(len(rest), dtype=np.int32), lengths), pos=(np.arange(len(data)) - starts).astype(np.int32), tok=self.single[data])
-            ids = self.db.sql(_ENCODE).to_arrow_table()["ids"].combine_chunks()
-            flat, ends = ids.values.to_numpy().astype(np.uint32), ids.offsets.to_numpy()
-            for i, a, b in zip(rest, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                out[i] = flat[a:b]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i in rest:
+            if len(pieces[i]) > WHOLE:
+                out[i] = self._heap(pieces[i])
+        for query, least, longest, size, rows in ((_ENCODE, 0, SHORT, QUERY_BYTES, QUERY_ROWS), (_ENCODE_LONG, SHORT, WHOLE, LONG_BYTES, LONG_ROWS)):
+            todo = [(i, np.arange(len(pieces[i]), dtype=np.int32), self.single[np.frombuffer(pieces[i], np.uint8)]) for i in reversed(rest) if least < len(pieces[i]) <= longest]
+            while todo:
+                batch, held = [], 0
+                while todo and (not batch or held + len(todo[-1][1]) <= size):
+                    batch.append(todo.pop())
+                    held += len(batch[-1][1])
+                for i, pos, ids, done in self._contract(query, batch, max(2, rows // held)):
+                    if done:
+                        out[i] = ids.astype(np.uint32)
+                    else:
+                        todo.append((i, pos, ids))
         return out
 
     def _heap(self, piece: bytes) -> np.ndarray:
-        """The same contraction for one long piece: pairs wait in a heap by (rank, position)."""
+        """The same contraction for one piece over WHOLE: pairs wait in a heap by (rank, position)."""
         token: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
         after, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
         heap: list[tuple[int, int, int]] = []
@@ -167,6 +231,16 @@ class Codec:
                 offer(before[i])
         return np.array([self.ranks[t] for t in token if t is not None], np.uint32)
 
+    def _contract(self, query: str, batch: list[tuple[int, np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """(number, positions, ids, whether nothing is left to contract) of each piece after at most so many steps."""
+        lengths = [len(pos) for _, pos, _ in batch]
+        self._table("symbols", piece=np.repeat(np.arange(len(batch), dtype=np.int32), lengths), pos=np.concatenate([pos for _, pos, _ in batch]), tok=np.concatenate([tok for _, _, tok in batch]))
+        found = self.db.sql(query.format(reach=self.reach, most=most)).to_arrow_table().combine_chunks()
+        ids, places = found["ids"].combine_chunks(), found["places"].combine_chunks()
+        flat, at, ends = ids.values.to_numpy(), places.values.to_numpy(), ids.offsets.to_numpy()
+        for (i, _, _), step, a, b in zip(batch, found["step"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield i, at[a:b].astype(np.int32), flat[a:b].astype(np.int32), step < most
+
     def decode_sequences(self, sequences: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids; an id that the vocabulary lacks raises ValueError."""
         lengths = np.array([len(s) for s in sequences], np.int64)
@@ -186,7 +260,7 @@ class Codec:
 
     def pieces_of(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the numbers of its pieces; new pieces are encoded, and their ids decoded."""
-        if len(self.number) > CACHE:
+        if len(self.number) > CACHE or self.decoded.ends[self.decoded.count] > CACHE_BYTES:
             self.forget()
         out, new = [], []
         for text in texts:
@@ -268,10 +342,8 @@ def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast((name, ranks, pattern))
 
 
-def _apply(rows: DataFrame, function, column, keep: list[str], names: dict[str, str]) -> DataFrame:
-    rest = [c for c in keep if c not in names]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema.fields]
-    return rows.select(*rest, column.alias("__in")).mapInArrow(function, ", ".join([*fields, *(f"{k} {v}" for k, v in names.items())]))
+def _apply(rows: DataFrame, function, source, keep: list[str], names: dict[str, str]) -> DataFrame:
+    return beside(rows, [c for c in keep if c not in names], source, function, ", ".join(f"{k} {v}" for k, v in names.items()))
 
 
 _KINDS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>"}
@@ -280,16 +352,16 @@ _KINDS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "strin
 def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", keep_text: bool = True, want: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
     """docs with the wanted ones of n_tokens, ids (array<int>), ids_sha256 and decoded_sha256.
 
-    A null or empty text has no ids.  Special tokens are ordinary text.  Columns of docs with these names are
-    replaced; all others stay, the text only if asked.
+    A null or empty text has no ids.  Special tokens are ordinary text.  Rows that repeat are each encoded.  Columns
+    of docs with these names are replaced; all others stay, the text only if asked.
     """
     rest = [c for c in docs.columns if keep_text or c != text_col]
-    return _apply(docs, partial(_encode, shared=shared, names=list(want)), F.col(text_col).cast("binary"), rest, {w: _KINDS[w] for w in want})
+    return _apply(docs, partial(trimmed(_encode), shared=shared, names=list(want)), column(text_col).cast("binary"), rest, {w: _KINDS[w] for w in want})
 
 
 def decode(rows: DataFrame, shared: Broadcast, ids_col: str = "ids") -> DataFrame:
     """rows with the decoded bytes of their ids; null ids decode to nothing, an unknown id is an error."""
-    return _apply(rows, partial(_decode, shared=shared), F.col(ids_col).cast("array<int>"), rows.columns, {"decoded": "binary"})
+    return _apply(rows, partial(trimmed(_decode), shared=shared), column(ids_col).cast("array<int>"), rows.columns, {"decoded": "binary"})
 
 
 def op4_duckdb_byte_bpe(spark, sf_dir: str) -> DataFrame:

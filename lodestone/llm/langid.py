@@ -3,12 +3,11 @@
 A known word is scored by its log frequency in each language; an unseen word falls back to its character 4-grams,
 and where none of these is known to 3-, 2- and 1-grams.  A text's language is the one with the largest sum over
 its words.  The model is fitted on a bounded sample of labelled rows (all rows of a language that has no more
-than sample_docs); its tables hold the most frequent entries up to a fixed number, which bounds what is broadcast.
+than sample_docs), which bounds its tables: they hold every word and n-gram of the sample, by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,61 +16,73 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.plans.materialize import cut
+from lodestone.llm.rows import column, extended, packed, trimmed, unpacked
 
-LETTER = re.compile(r"[^\W\d_]")
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+LETTER = regex.compile(r"\p{L}")
+_EDGE = regex.compile(r"^[\W\d_]+|[\W\d_]+$")
 ORDERS = (4, 3, 2, 1)
 #: Words whose scores a Python worker keeps at hand; beyond these it starts anew.
-CACHE = 250_000
+CACHE = 150_000
 
 
 @dataclass(frozen=True)
 class LanguageModelBounds:
-    #: Labelled documents of a language that the fit reads at most, chosen by a hash of their id.
+    #: Labelled documents of a language that the fit reads at most, chosen by a hash of their id and text.
     sample_docs: int = 1500
-    #: Languages (the most frequent), words and n-grams (the most frequent) that the model holds at most.
-    languages: int = 500
-    words: int = 100_000
-    grams: int = 150_000
+
+
+def _word(raw: bytes) -> str:
+    return _EDGE.sub("", raw.decode("utf-8", "replace").lower())
+
+
+def _key(word: str) -> int:
+    """What Spark's xxhash64 gives for the word, as an unsigned number."""
+    return xxhash.xxh64_intdigest(word.encode(), 42)
 
 
 class BackoffModel:
-    """A table of log frequencies (a row for each word or n-gram, a column for each language) and the rows' places."""
-
-    def __init__(self, languages: list[str], table: np.ndarray, words: dict[str, int], grams: dict[str, int]):
-        self.languages, self.table, self.words, self.grams = languages, table, words, grams
-
-    def rows_of(self, raw: bytes) -> list[int]:
-        """The rows whose mean scores a word: its own, or those of its longest known n-grams; none without letters."""
-        word = _EDGE.sub("", raw.decode("utf-8", "replace").lower())
-        if not word:
-            return []
-        at = self.words.get(word)
-        if at is not None:
-            return [at]
-        padded, known = f" {word} ", self.grams.get
-        for n in ORDERS:
-            rows = [r for i in range(len(padded) - n + 1) if (r := known(padded[i : i + n])) is not None]
-            if rows:
-                return rows
-        return []
-
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        """Log scores by word and language; zeros for a word that says nothing."""
-        rows = [self.rows_of(w) for w in words]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    """Sorted hashes of words and of n-grams, and a table of log frequencies for each (a column for each language)."""
+
+    def __init__(self, languages: list[str], words: np.ndarray, word_table: np.ndarray, grams: np.ndarray, gram_table: np.ndarray):
+        self.languages, self.words, self.word_table, self.grams, self.gram_table = languages, words, word_table, grams, gram_table
+
+    @staticmethod
+    def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, whether they are known) of keys."""
+        if not len(known):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
+
+    def scores(self, raw: list[bytes]) -> np.ndarray:
+        """Log scores by word and language: of the word itself, else the mean of its longest known n-grams; zeros for a word that says nothing."""
+        words = [_word(w) for w in raw]
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        some = np.flatnonzero(sizes)
-        if len(some):
-            flat = np.fromiter((r for x in rows for r in x), np.int64, int(sizes.sum()))
-            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            out[some] = np.add.reduceat(self.table[flat], starts, axis=0) / sizes[some, None]
+        at, known = self._find(self.words, np.fromiter(map(_key, words), np.uint64, len(words)))
+        known &= np.fromiter(map(bool, words), bool, len(words))
+        out[known] = self.word_table[at[known]]
+        left = [i for i in np.flatnonzero(~known).tolist() if words[i]]
+        for n in ORDERS:
+            if not left:
+                break
+            padded = [f" {words[i]} " for i in left]
+            sizes = np.array([max(0, len(p) - n + 1) for p in padded])
+            keys = np.fromiter((_key(p[j : j + n]) for p in padded for j in range(len(p) - n + 1)), np.uint64, int(sizes.sum()))
+            at, found = self._find(self.grams, keys)
+            owner = np.repeat(np.arange(len(left)), sizes)[found]
+            count = np.bincount(owner, minlength=len(left))
+            some = np.flatnonzero(count)
+            if len(some):
+                starts = np.searchsorted(owner, some)
+                out[np.array(left)[some]] = np.add.reduceat(self.gram_table[at[found]], starts, axis=0) / count[some, None]
+            left = [i for i, c in zip(left, count.tolist(), strict=True) if not c]
         return out
 
 
@@ -95,7 +106,9 @@ class _Rows(dict):
             grown = np.zeros((max(end, 2 * len(self.table)), self.table.shape[1]), np.float32)
             grown[: self.done] = self.table[: self.done]
             self.table = grown
-        self.table[self.done : end] = self.model.scores(self.waiting)
+        for i in range(0, len(self.waiting), 1 << 14):
+            part = self.waiting[i : i + (1 << 14)]
+            self.table[self.done + i : self.done + i + len(part)] = self.model.scores(part)
         self.done, self.waiting = end, []
 
 
@@ -113,13 +126,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = Counter(text.as_buffer().to_pybytes().split() if text.is_valid else ())
             for raw, c in words.items():
-                word = _EDGE.sub("", raw.decode("utf-8", "replace").lower())
+                word = _word(raw)
                 if word:
                     total[lang, 0, word] += c
                     padded = f" {word} "
                     for n in ORDERS:
                         for i in range(len(padded) - n + 1):
-                            total[lang, n, padded[i : i + n]] += c
+                            if n > 1 or padded[i] != " ":
+                                total[lang, n, padded[i : i + n]] += c
             if len(total) > 200_000:
                 yield flushed()
     if total:
@@ -127,34 +141,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, bounds: LanguageModelBounds = LanguageModelBounds(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BackoffModel:
-    """The model of the rows whose language is not null.  Reruns choose the same sample."""
+    """The model of the rows whose language is not null.  Reruns choose the same sample.
+
+    Null and empty texts teach nothing.  Rows that repeat count as often as they stand.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull())
-    sizes = sorted(((r["c"], r["l"]) for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l").limit(bounds.languages).collect()), key=lambda x: x[1])
+    sizes = sorted(((r["c"], r["l"]) for r in rows.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count("*").alias("c")).collect()), key=lambda x: x[1])  # one row for each language
     languages = [lang for _, lang in sizes]
+    none = np.zeros(0, np.uint64), np.zeros((0, len(languages)), np.float32)
     if not languages:
-        return BackoffModel([], np.zeros((0, 0), np.float32), {}, {})
-    chance = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for c, lang in sizes for x in (F.lit(lang), F.lit(bounds.sample_docs / c))])[F.col(lang_col)]
+        return BackoffModel([], *none, *none)
+    chance = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.create_map(*[x for c, lang in sizes for x in (F.lit(lang), F.lit(bounds.sample_docs / c))])[F.col(lang_col).cast("string")]
     sample = rows.where(chance < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    counts = sample.mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    by_gram = counts.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"), F.sum("c").alias("c")).where("c > 1 or n > 0")
-    by_gram = cut(by_gram, "language-counts")
-    kept = [by_gram.where("n = 0").orderBy(F.desc("c"), "gram").limit(bounds.words), by_gram.where("n > 0").orderBy(F.desc("c"), "gram").limit(bounds.grams)]
-    at = {lang: i for i, lang in enumerate(languages)}
-    tables, places = [], []
-    for part in kept:
-        found = [(n, gram, by) for n, gram, by in part.select("n", "gram", "by").toLocalIterator()]
-        counts = np.zeros((len(found), len(languages)))
-        for i, (_, _, by) in enumerate(found):
-            for lang, c in by.items():
-                counts[i, at[lang]] = c
-        orders = np.array([n for n, _, _ in found], np.int64)
-        for n in np.unique(orders):  # words, and the n-grams of each length, are distributions of their own
-            mine = orders == n
-            counts[mine] = np.log((counts[mine] + 0.5) / (counts[mine].sum(0) + 0.5 * (mine.sum() + 1)))
-        places.append({gram: i + sum(map(len, tables)) for i, (_, gram, _) in enumerate(found) if gram.strip()})
-        tables.append(counts.astype(np.float32))
-    return BackoffModel(languages, np.concatenate(tables), *places)
+    counts = sample.mapInArrow(trimmed(_count), "lang string, n int, gram string, c long").groupBy("lang", "n", F.xxhash64("gram").alias("key")).agg(F.sum("c").alias("c"))
+    found = counts.toArrow()  # bounded by the sample
+    n, keys, c = found["n"].to_numpy(), found["key"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    at = {name: i for i, name in enumerate(languages)}
+    lang = np.array([at[x] for x in found["lang"].to_pylist()], np.int64)
+
+    def tabled(orders: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [none]
+        for order in orders:  # words, and the n-grams of each length, are distributions of their own
+            mine = n == order
+            own, place = np.unique(keys[mine], return_inverse=True)
+            times = np.zeros((len(own), len(languages)))
+            np.add.at(times, (place, lang[mine]), c[mine])
+            parts.append((own, np.log((times + 0.5) / (times.sum(0) + 0.5 * (len(own) + 1))).astype(np.float32)))
+        every = np.concatenate([p[0] for p in parts])
+        order = np.argsort(every)
+        return every[order], np.concatenate([p[1] for p in parts])[order]
+
+    return BackoffModel(languages, *tabled([0]), *tabled(list(ORDERS)))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -197,16 +215,15 @@ def identify(docs: DataFrame, model: BackoffModel, text_col: str = "text", keep_
 
     The language is `und` with score 0 if the text is null, empty or has no letter, or if the model knows no
     language.  Ties go to the language that sorts first.  A score is the best language's share of the softmax of
-    the sums, flattened for long texts; it lies between 0 and 1.
+    the sums, flattened for long texts; it lies between 0 and 1.  Rows that repeat get the same answer each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", text_col)]
-    ready = docs.select(*rest, F.col(text_col).cast("binary").alias(text_col))  # the last column, as bytes
-    kept = [*ready.schema.fields] if keep_text else ready.schema.fields[:-1]
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"]
-    out = ready.mapInArrow(partial(_identify, shared=shared, keep=len(kept)), ", ".join(fields))
+    rows = docs.select(packed(docs, *[c for c in docs.columns if c not in rest]), column(text_col).cast("binary").alias("in"))
+    kept = rows if keep_text else rows.select("row")
+    out = rows.mapInArrow(partial(trimmed(_identify), shared=shared, keep=len(kept.columns)), extended(kept, "lang_pred string, score double"))
     order = [c for c in docs.columns if c in rest or keep_text and c == text_col]
-    return out.select(*[F.col(c).cast("string").alias(c) if c == text_col else c for c in order], "lang_pred", "score")
+    return out.select(*unpacked(order, **({text_col: F.col("in").cast("string")} if keep_text else {})), "lang_pred", "score")
 
 
 def op10_word_backoff_language_id(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.hashing import U64, as_long, hashed_texts, mix, shingle_hashes
+from lodestone.llm.rows import column, fresh, quoted, trimmed
 from lodestone.plans.components import connected_components
 from lodestone.plans.materialize import cut, release
 
@@ -170,7 +171,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
     full = left.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
+    return full.select("a", "b", "x", "y").mapInArrow(partial(trimmed(_confirmed), percent=percent), "a long, b long")
 
 
 def _mixed(live: DataFrame, parts: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def _mixed(live: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _bounds(rows: DataFrame, wanted: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
     """(rep, n, m, bands, s0 .. s3): m of the n shingles occur in another member's set; who can't reach the similarity with m is left out."""
-    elements = sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_elements, "rep long, element long")
+    elements = sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(trimmed(_elements), "rep long, element long")
     alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     m = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")
     about = wanted.join(alone, "rep", "left").select("rep", "n", m, "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     whatever their names, are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    features = cut(texts.mapInArrow(partial(_features, p=p), FEATURES), "minhash-features")
+    features = cut(texts.mapInArrow(partial(trimmed(_features), p=p), FEATURES), "minhash-features")
     classes = (
         features.where("n_shingles > 0 and id is not null")
         .groupBy("d0", "d1")
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     wanted = fame.select("rep").join(classes.select("rep", "d0", "d1", "n", "bands", "sketch"), "rep")
     wanted = cut(wanted, "minhash-wanted")
     sets = cut(
-        texts.join(wanted.select(F.col("rep").alias("id"), "d0", "d1"), "id").select("id", "text", "d0", "d1").mapInArrow(partial(_sets, p=p), "rep long, members binary").dropDuplicates(["rep", "members"]),
+        texts.join(wanted.select(F.col("rep").alias("id"), "d0", "d1"), "id").select("id", "text", "d0", "d1").mapInArrow(partial(trimmed(_sets), p=p), "rep long, members binary").dropDuplicates(["rep", "members"]),
         "minhash-sets",
     )
     links = cut(_verify(first, sets, p.percent), "minhash-links")
@@ -261,15 +262,17 @@ def keep_one(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_col: str
     """docs with one document of each group: the one of the smallest id.
 
     If ids are null or repeated, rows get numbers of their own and the first row of a group stays.  Documents
-    without words are in no group and stay.
+    without words (null, empty and blank texts) are in no group and stay.  An empty table gives no rows.  Columns
+    of any name keep their values.
     """
     ids = docs.select(F.col(id_col).alias("i")).groupBy("i").agg(F.count("*").alias("c"))
     if ids.where("i is null or c > 1").limit(1).count():
-        numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "minhash-numbered")
-        return keep_one(numbered, p, "__row", text_col).drop("__row")
+        number = fresh("row", docs.columns)
+        numbered = cut(docs.withColumn(number, F.monotonically_increasing_id()), "minhash-numbered")
+        return keep_one(numbered, p, number, text_col).drop(number)
     groups = near_duplicates(docs.select(id_col, text_col), p, id_col, text_col)
-    drop = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    drop = groups.where(column(id_col) != F.col("component_id")).select(id_col)
+    return docs.join(drop, id_col, "left_anti").select(*map(quoted, docs.columns))
 
 
 def op1_superminhash_near_dedup(spark, sf_dir: str) -> DataFrame:

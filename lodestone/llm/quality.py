@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.hashing import U64, hashed_texts, mix, texts_of
+from lodestone.llm.rows import beside, column, trimmed
 from lodestone.plans.materialize import cut, release
 
 WORD_ROWS = 1 << 15
@@ -226,12 +227,13 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The columns of docs, without the text, with a score from 0 to 1; null and empty texts are scored as texts without words."""
+    """The columns of docs, without the text, with a score from 0 to 1; null and empty texts are scored as texts without words.
+
+    Rows that repeat get one score each; a column `score` of docs is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in (text_col, "score")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields]
-    ready = docs.select(*rest, F.col(text_col).cast("binary").alias("__text"))
-    return ready.mapInArrow(partial(_score, shared=shared), ", ".join([*fields, "score double"]))
+    return beside(docs, rest, column(text_col).cast("binary"), partial(trimmed(_score), shared=shared), "score double")
 
 
 def op5_random_indexing_quality(spark, sf_dir: str) -> DataFrame:

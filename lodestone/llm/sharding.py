@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import packed
 from lodestone.plans.materialize import cut
 
 BUCKET_BITS = 12
@@ -47,7 +48,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     take part like any other.  An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    carried = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep else []
+    carried = [packed(docs)] if keep else []
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *carried)
     rows = rows.withColumn("h", F.xxhash64("id", "text_crc32", "size", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
     if not keep:

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.hashing import U64, _power_tables, as_long, hashed_texts, mix, texts_of, window_hashes
+from lodestone.llm.rows import column, extended, packed, trimmed
 from lodestone.plans.materialize import cut, release
 
 
@@ -206,13 +207,11 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "tex
     words keeps all.  Rows that repeat a text are copies of each other, so all their windows are repeated.
     """
     want = [w for w in OUT if w in want]
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rest = [c for c in docs.columns if c != text_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("int").alias("none"))
-    keyed = docs.select(row.alias("row"), *_classes(text), text.alias("text"))
-    row_type = keyed.schema["row"].dataType.simpleString()
+    text = F.coalesce(column(text_col).cast("binary"), F.lit(b""))
+    keyed = docs.select(packed(docs, text_col), *_classes(text), text.alias("text"))
+    alone = keyed.select("row")
 
-    feats = keyed.select("c0", "c1", "text").mapInArrow(partial(_anchors, p=p), ANCHORS).withColumn("r", F.monotonically_increasing_id())
+    feats = keyed.select("c0", "c1", "text").mapInArrow(partial(trimmed(_anchors), p=p), ANCHORS).withColumn("r", F.monotonically_increasing_id())
     feats = cut(feats, "repeats-anchors")  # r is fixed from here on
     anchors = feats.select("r", "w", "edges", F.posexplode("nodes").alias("i", "node"))
     nodes = (
@@ -228,14 +227,14 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "tex
     kinds = {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string", "kept_text": "binary"}
     made = ", ".join(f"{w} {kinds[w]}" for w in want)
     first = keyed.join(flagged, ["c0", "c1"], "left").select("row", "c0", "c1", "flags", "text")
-    first = cut(first.mapInArrow(partial(_first_pass, p=p, want=want), f"row {row_type}, c0 long, c1 long, {made}, at array<int>, hashes array<long>, solid array<int>, again binary"), "repeats-first")
+    first = cut(first.mapInArrow(partial(trimmed(_first_pass), p=p, want=want), extended(alone, f"c0 long, c1 long, {made}, at array<int>, hashes array<long>, solid array<int>, again binary")), "repeats-first")
     release(feats, flagged)
     open_rows = first.where("again is not null")
     windows = open_rows.select("c0", "c1", F.explode(F.arrays_zip("at", "hashes")).alias("z")).select("c0", "c1", "z.at", F.col("z.hashes").alias("h"))
     twice = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = windows.join(twice, "h").select("c0", "c1", "at").distinct().groupBy("c0", "c1").agg(F.collect_list("at").alias("found"))
     second = open_rows.select("row", "c0", "c1", "solid", "again").join(found, ["c0", "c1"], "left").select("row", "solid", "found", "again")
-    second = second.mapInArrow(partial(_second_pass, p=p, want=want), f"row {row_type}, {made}")
+    second = second.mapInArrow(partial(trimmed(_second_pass), p=p, want=want), extended(alone, made))
     return first.where("again is null").select("row", *want).union(second)
 
 

@@ -149,7 +149,7 @@ def test_op8(spark, sf, rows):
         open_ = open_ - full if full else set()
     for s, ds in by.items():
         assert all(got[d].source_size == total[s] and got[d].target == pytest.approx(target[s]) for d in ds)
-        assert abs(sum(got[d].taken for d in ds) - target[s]) <= max(sizes[d] for d in ds) / 2 + 1e-6
+        assert abs(sum(got[d].taken for d in ds) - target[s]) <= max(sizes[d] for d in ds) + 1e-6
     assert all(r.size == sizes[d] and r.taken in (0, r.size, 2 * r.size) for d, r in got.items())
     assert got == table(q.op8_pareto_source_mixing(spark, sf), "doc_id")
 
