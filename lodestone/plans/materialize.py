@@ -2,8 +2,8 @@
 
 A plan that is read by several later steps, or that grows with each iteration, is written once to the folder
 named by ``spark.checkpoint.dir`` and read back.  Such a table survives the loss of any executor, which a cached
-or locally checkpointed DataFrame does not.  Only where the setting is unset (tests, a local session) is a
-temporary folder used.
+or locally checkpointed DataFrame does not.  Only where the setting is unset in a local session (tests) is a
+temporary folder used; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.errors import UsageError
+
 _fallback: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise UsageError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="lodestone-")
     return f"file://{_fallback}"
