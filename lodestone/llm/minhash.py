@@ -3,17 +3,18 @@
 Each text becomes the set of its distinct k-word shingles.  Equal sets are one class from the start, so copies
 cost nothing further.  A class gets a SuperMinHash signature (each element walks its own permutation of the lanes
 level by level, and walking stops once every lane is filled), whose lanes are cut into bands.  Classes that share
-a band are compared in two steps:
+a band are compared in three steps, each confirmed on full shingle sets:
 
 1. every member of a band's bucket with the bucket's hub, the member that shares most buckets with others: in a
-   family of edited copies this is the text nearest to all;
-2. in buckets that still hold several components, every member outside the largest component with all members of
-   the bucket, filtered inside the join by an exact bound on the overlap (shingles that no other member of these
-   buckets has can't be shared) and by a 256-bit sketch of the signature.
-
-Both steps are confirmed on full shingle sets.
-Members that one component already holds are not compared again, which changes no component, so a bucket of near
-copies costs about its size and not its square.
+   family of edited copies this is the text nearest to all.  What a member has and the hub lacks, or the reverse,
+   is kept as its difference;
+2. two members of one hub share a number of shingles that follows from their differences alone, so a similar pair
+   must have a certain number of differences in common.  Members meet by their rarest differences (as many as a
+   similar pair can't all miss), and are compared with the member of fewest differences that they meet;
+3. what is still apart and meets so, if positions leave enough differences to share, is compared pair by pair.
+
+Members that one component already holds are not compared again, which changes no component.  Edited copies that
+are not similar rarely have a rare difference in common, so a bucket of them costs about its size and not its square.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.hashing import U64, as_long, hashed_texts, mix, shingle_hashes
@@ -47,8 +48,6 @@ class NearDuplicates:
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    #: Lanes (of 128) whose 2-bit sketches may differ; a pair of similarity 0.8 differs in more once in 1e7 pairs.
-    sketch_differences: int = 42
 
     @property
     def lanes(self) -> int:
@@ -111,7 +110,7 @@ def _digests(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-FEATURES = "id long, n_shingles long, d0 long, d1 long, bands array<long>, sketch array<long>"
+FEATURES = "id long, n_shingles long, d0 long, d1 long, bands array<long>"
 
 
 def _features(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.RecordBatch]:
@@ -125,14 +124,11 @@ def _features(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[
             for r in range(p.rows):
                 bands = mix(bands ^ signature[:, r :: p.rows]) + _STEP
             bands = mix(bands + np.arange(p.bands, dtype=U64))
-            bits = mix(signature).astype(np.uint8) & 3
-            planes = np.concatenate([np.packbits(bits & 1, axis=1), np.packbits(bits >> 1, axis=1)], 1)
-            sketch = np.ascontiguousarray(planes).view(np.int64)
             digest = _digests(sets, off)
             lists = lambda x: pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1], pa.array(as_long(x).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(row, len(n)), pa.array(n.astype(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists(bands), lists(sketch)],
-                names=["id", "n_shingles", "d0", "d1", "bands", "sketch"],
+                [ids.slice(row, len(n)), pa.array(n.astype(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists(bands)],
+                names=["id", "n_shingles", "d0", "d1", "bands"],
             )
 
 
@@ -147,11 +143,31 @@ def _sets(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([ids.slice(row, len(same)).filter(pa.array(same)), pa.array(blobs, pa.binary())], names=["rep", "members"])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(rep, hub, alone, members of rep, members of hub) to (rep, hub, linked, w, differences): the differences, and their part in the number that a similar pair shares; both null if rep is alone with the hub.
+
+    With M shingles of a hub of H that a member lacks, and D that only the member has, two members x and y share
+    H - Mx - My + c, c being their common differences.  They are similar if 2 (100 + percent) c >= wx + wy.
+    """
     for batch in batches:
-        for rep, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(members.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rep, np.int64)), pa.array(x)], names=["rep", "element"])
+        linked, w, found = [], [], []
+        for alone, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            both = np.concatenate([x, y])
+            order = both.argsort(kind="stable")
+            both, own = both[order], order < len(x)
+            twice = both[1:] == both[:-1]
+            single = np.ones(len(both), bool)
+            single[1:] &= ~twice
+            single[:-1] &= ~twice
+            shared = int(twice.sum())
+            linked.append(100 * shared >= percent * (len(both) - shared))
+            more = int((single & own).sum())
+            w.append(None if alone else 200 * (len(y) - shared) + 2 * percent * more - (100 - percent) * len(y))
+            found.append(None if alone else as_long(both[single]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(w, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "hub", "linked", "w", "differences"]
+        )
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -167,43 +183,74 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    left = pairs.join(sets.select(F.col("rep").alias(a), F.col("members").alias("x")), a)
+    return left.join(sets.select(F.col("rep").alias(b), F.col("members").alias("y")), b)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
-    full = left.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
+    full = _with_sets(pairs, sets, "a", "b")
     return full.select("a", "b", "x", "y").mapInArrow(partial(trimmed(_confirmed), percent=percent), "a long, b long")
 
 
-def _mixed(live: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, rep, part, main): the members of buckets that hold several components, and the bucket's largest."""
-    placed = live.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    shares = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
-    return placed.join(mixed, "key")
+def _placed(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the component of a column, which is the node itself where no link has it."""
+    return rows.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _bounds(rows: DataFrame, wanted: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
-    """(rep, n, m, bands, s0 .. s3): m of the n shingles occur in another member's set; who can't reach the similarity with m is left out."""
-    elements = sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(trimmed(_elements), "rep long, element long")
-    alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    m = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")
-    about = wanted.join(alone, "rep", "left").select("rep", "n", m, "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
-    return about.where(100 * F.col("m") >= p.percent * F.col("n"))
+def _meetings(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(hub, e, rep, w, n, left): members by the differences e by which a similar one of another component must meet them.
 
-
-def _candidates(rows: DataFrame, p: NearDuplicates) -> DataFrame:
-    """The pairs (a, b) of different components in one bucket that bounds and sketches allow, each once."""
+    Of n differences that other components have too, ordered from the rarest, `left` remain from e on.  A member
+    that needs m in common meets every similar one by its first n - m + 1; what it needs at least follows from the
+    smallest w of the hub's members (of those outside the hub's component, for one inside).
+    """
+    rows = _placed(_placed(compared.where("differences is not null"), parts, "rep", "part"), parts, "hub", "main")
+    rows = rows.withColumn("outside", F.col("part") != F.col("main"))
+    least = rows.groupBy("hub").agg(F.min("w").alias("least"), F.min(F.when(F.col("outside"), F.col("w"))).alias("least_outside")).where("least_outside is not null")
+    rows = rows.join(least, "hub")
+    of = F.col("w") + F.when(F.col("outside"), F.col("least")).otherwise(F.col("least_outside"))
+    rows = rows.withColumn("need", F.greatest(F.lit(1), F.ceil(of / (2.0 * (100 + percent))))).where("need <= size(differences)")
+    each = rows.select("hub", "rep", "part", "w", "need", F.explode("differences").alias("e"))
+    common = each.groupBy("hub", "e").agg(F.count("*").alias("c"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("hub", "e", "c")
+    shared = each.join(common, ["hub", "e"])
+    own = Window.partitionBy("hub", "rep")
+    ordered = shared.withColumn("n", F.count("*").over(own)).where("n >= need").withColumn("i", F.row_number().over(own.orderBy("c", "e")))
+    return ordered.where("i <= n - need + 1").select("hub", "e", "rep", "w", "n", (F.col("n") - F.col("i") + 1).alias("left"))
+
+
+def _may_be_similar(x: str, y: str, percent: int) -> Column:
+    return 2 * (100 + percent) * F.least(f"{x}.left", f"{y}.left") >= F.col(f"{x}.w") + F.col(f"{y}.w")
+
+
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.rep", f"{y}.rep").alias("a"), F.greatest(f"{x}.rep", f"{y}.rep").alias("b")]
+
+
+def _led(meetings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members and the one of fewest differences that they meet by each of theirs."""
+    first = meetings.groupBy("hub", "e").agg(F.count("*").alias("c"), F.min(F.struct("n", "rep", "w", "left")).alias("lead")).where("c > 1").select("hub", "e", "lead.*")
+    x, y = meetings.alias("x"), first.alias("y")
+    near = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.rep") != F.col("y.rep")) & _may_be_similar("x", "y", percent)
+    return x.join(y, near).select(*_pairs("x", "y")).distinct()
+
+
+def _remaining(meetings: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that meet, those outside the meeting's largest component with all."""
+    placed = _placed(meetings, parts, "rep", "part")
+    shares = placed.groupBy("hub", "e", "part").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("hub", "e").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("hub", "e", F.col("top.part").alias("main"))
+    rows = cut(placed.join(mixed, ["hub", "e"]), "minhash-apart")
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
-    differ = F.bit_count(F.expr("(x.s0 ^ y.s0) | (x.s2 ^ y.s2)")) + F.bit_count(F.expr("(x.s1 ^ y.s1) | (x.s3 ^ y.s3)"))
     near = (
-        (F.col("x.key") == F.col("y.key"))
+        (F.col("x.hub") == F.col("y.hub"))
+        & (F.col("x.e") == F.col("y.e"))
         & (F.col("x.part") != F.col("y.part"))
         & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (100 * F.least("x.m", "y.m") >= p.percent * (F.col("x.n") + F.col("y.n") - F.least("x.m", "y.m")))
-        & (differ <= p.sketch_differences)
-        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # in the first band that it shares
+        & _may_be_similar("x", "y", percent)
     )
-    return x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    return x.join(y, near).select(*_pairs("x", "y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +268,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     classes = (
         features.where("n_shingles > 0 and id is not null")
         .groupBy("d0", "d1")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("id").alias("rep"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
     classes = cut(classes, "minhash-classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))
@@ -229,20 +276,26 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     live = cut(buckets.join(sizes, "key"), "minhash-buckets")
     fame = live.groupBy("rep").agg(F.sum("c").alias("fame"))
     hubs = live.join(fame, "rep").groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("hub"))
-    first = cut(live.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "minhash-stars")
-    wanted = fame.select("rep").join(classes.select("rep", "d0", "d1", "n", "bands", "sketch"), "rep")
-    wanted = cut(wanted, "minhash-wanted")
+    stars = live.join(hubs, "key").where("rep <> hub").select("rep", "hub").distinct()
+    members = stars.groupBy("hub").agg((F.count("*") == 1).alias("alone"))
+    stars = cut(stars.join(members, "hub"), "minhash-stars")
+    wanted = fame.select("rep").join(classes.select("rep", "d0", "d1"), "rep")
     sets = cut(
         texts.join(wanted.select(F.col("rep").alias("id"), "d0", "d1"), "id").select("id", "text", "d0", "d1").mapInArrow(partial(trimmed(_sets), p=p), "rep long, members binary").dropDuplicates(["rep", "members"]),
         "minhash-sets",
     )
-    links = cut(_verify(first, sets, p.percent), "minhash-links")
+    compared = _with_sets(stars, sets, "rep", "hub").select("rep", "hub", "alone", "x", "y")
+    compared = cut(compared.mapInArrow(partial(trimmed(_compared), percent=p.percent), "rep long, hub long, linked boolean, w long, differences array<long>"), "minhash-compared")
+    release(live)
+    near = compared.where("linked").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    parts = cut(connected_components(near), "minhash-parts")
+    meetings = cut(_meetings(compared, parts, p.percent), "minhash-meetings")
+    done = cut(_led(meetings, p.percent), "minhash-led")
+    links = cut(near.union(_verify(done, sets, p.percent)).distinct(), "minhash-links")
     parts = cut(connected_components(links), "minhash-parts")
-    rows = cut(_mixed(live, parts), "minhash-mixed")
-    compared = cut(rows.join(_bounds(rows, wanted, sets, p), "rep"), "minhash-compared")
-    pairs = _candidates(compared, p).join(first, ["a", "b"], "left_anti")
-    links = cut(links.union(_verify(pairs, sets, p.percent)), "minhash-all-links")
-    release(sets, live)
+    rest = _remaining(meetings, parts, p.percent).join(done, ["a", "b"], "left_anti")
+    links = cut(links.union(_verify(rest, sets, p.percent)), "minhash-all-links")
+    release(sets, compared, meetings)
     found = connected_components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     named = classes.select("d0", "d1", "rep", "class_size").join(found, "rep", "left").join(degree, "rep", "left")
