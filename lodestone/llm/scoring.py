@@ -1,18 +1,17 @@
 """Scoring texts with a causal self-attention language model on subword ids, trained in numpy.
 
-A text is its lower-cased words and one end.  A word is the sequence of its subword ids from a public tokenizer;
-the most frequent ids are classes of their own, all others share one.  The attention model reads the words so far
-(each as the vectors of its first and last subword) and gives the probability of the next word's first subword or
-of the end; the subwords that follow inside a word come from a table of smoothed transitions, up to a mark for the
-word's end.  Both parts are proper distributions, so a text's score is the log10 probability of its subwords.
-
-Windows of WINDOW words overlap by OVERLAP; the first window of a text scores all its words, later ones those after
-the overlap, so each word is scored once.  Windows are stacked into batches under one causal mask.
-
-The corpus is tokenized once into blocks (a few thousand texts with a vocabulary of their own, words by 64-bit hashes).  Counts are summed
-over block vocabularies, so a frequent word costs one row for each block.  Each task trains on a lot of its own
-windows from the same start, and the tasks' weights are averaged, for as many rounds as there are lots: every window
-of the training texts is learned from once, whatever its block and the size of the corpus.
+A text is the subword ids of its lower-cased words, by a public tokenizer, and one end.  The model reads the ids so
+far and gives the probability of the next one, by a two-level softmax over all ids that training texts have; ids
+that none has share one outcome evenly.  So a text's score is the log10 probability of its ids and its end.
+
+Windows of WINDOW ids overlap by OVERLAP; the first window of a text scores all its ids, later ones those after the
+overlap, so each is scored once.  Windows are stacked into batches under one causal mask.
+
+The corpus is tokenized once into blocks (texts of some MB with a vocabulary of their own, words by 64-bit hashes).
+In each round every block is learned from alone, from the same start, by the windows of one lot; the mean of the
+blocks' weights is the next round's start.  After as many rounds as there are lots every window of the training
+texts was learned from once.  A block's part doesn't depend on the task or place that it falls to.  The unigram
+base scores come from word counts, which are joined with the vocabularies of the blocks.
 """
 
 from __future__ import annotations
@@ -21,27 +20,25 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import read_ranks
 from lodestone.llm.hashing import U64, mix
-from lodestone.plans.materialize import cut
-
-#: Subword classes: CLASSES - 1 frequent ids and one for the rest; then the end of the text as an outcome.
-CLASSES = 1024
-END = CLASSES
-GROUPS, ITEMS = 32, 33
-SLOTS = GROUPS * ITEMS
-BEGIN = SLOTS
-WINDOW, OVERLAP = 40, 8
+from lodestone.llm.rows import column, trimmed
+from lodestone.plans.materialize import cut, release
+
+#: Slots that are outcomes of the first level, slots of a cluster, and slots (the most frequent) with vectors of their own.
+HEAD, CLUSTER, TRAINED = 128, 128, 8192
+WINDOW, OVERLAP = 32, 4
 STEP = WINDOW - OVERLAP
-#: Taken from each word's training count, for words that were not met.
-DISCOUNT = 0.75
 #: Texts and bytes of a block.
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 8 << 20
 
@@ -57,29 +54,40 @@ class Training:
 
 
 class Attention:
-    """One causal attention layer with a residual path and a two-level softmax over outcome slots."""
-
-    def __init__(self, dim: int, outcome_counts: np.ndarray, seed: int):
-        rng = np.random.default_rng(seed)
-        small = lambda *shape: rng.normal(0, dim**-0.5, shape).astype(np.float32)
-        counts = np.zeros(SLOTS)
-        counts[: len(outcome_counts)] = outcome_counts + 0.5
-        table = counts.reshape(GROUPS, ITEMS)
-        group = table.sum(1)
+    """One causal attention layer over subword slots, a feed-forward step, and a two-level softmax over all slots.
+
+    The first HEAD slots are outcomes of their own, all later ones lie in clusters of CLUSTER slots: the first level
+    chooses a slot or a cluster, the second a slot of the cluster.  Slots from TRAINED on have no vectors of their
+    own: as inputs they share one, as outcomes they have their share of the counts of their cluster.
+    """
+
+    def __init__(self, counts: np.ndarray, t: Training):
+        rng = np.random.default_rng(t.seed)
+        d, self.slots = t.dim, len(counts)
+        small = lambda *shape: rng.normal(0, d**-0.5, shape).astype(np.float32)
+        self.head = min(HEAD, self.slots)
+        self.clusters = -(-(self.slots - self.head) // CLUSTER)
+        self.own = min(self.slots, HEAD + -(-(TRAINED - HEAD) // CLUSTER) * CLUSTER)
+        smooth = counts + 0.5
+        edges = np.minimum(self.head + np.arange(self.clusters + 1) * CLUSTER, self.slots)
+        sums = np.array([smooth[a:b].sum() for a, b in pairwise(edges.tolist())])
+        first = np.log(np.concatenate([smooth[: self.head], sums]) / smooth.sum())
+        inside = np.concatenate([np.log(smooth[a:b] / smooth[a:b].sum()) for a, b in pairwise(edges.tolist())] or [np.zeros(0)])
+        self.fixed = inside[self.own - self.head :].astype(np.float32)
         self.p = {
-            "first": small(SLOTS + 1, dim) * 0.5,
-            "last": small(SLOTS + 1, dim) * 0.5,
-            "place": small(WINDOW, dim) * 0.1,
-            "q": small(dim, dim),
-            "k": small(dim, dim),
-            "v": small(dim, dim),
-            "o": small(dim, dim),
-            "g": small(GROUPS, dim) * 0.1,
-            "gb": np.log(np.maximum(group, 1e-9) / group.sum()).astype(np.float32),
-            "u": small(GROUPS, ITEMS, dim) * 0.1,
-            "ub": np.where(table > 0, np.log(np.maximum(table, 1e-9) / np.maximum(group, 1e-9)[:, None]), -1e9).astype(np.float32),
+            "now": small(self.own + 2, d) * 0.5,
+            "last": small(self.own + 2, d) * 0.5,
+            "place": small(WINDOW, d) * 0.1,
+            "qkv": small(d, 3 * d),
+            "o": small(d, d) * 0.5,
+            "m1": small(d, 2 * d),
+            "m2": small(2 * d, d) * 0.3,
+            "first": small(self.head + self.clusters, d) * 0.1,
+            "first_bias": first.astype(np.float32),
+            "inside": small(self.own - self.head, d) * 0.1,
+            "inside_bias": inside[: self.own - self.head].astype(np.float32),
         }
-        self.scale = np.float32(dim**-0.5)
+        self.scale = np.float32(d**-0.5)
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
     def flat(self) -> np.ndarray:
@@ -91,77 +99,99 @@ class Attention:
             self.p[name] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
 
-    def _forward(self, first: np.ndarray, last: np.ndarray) -> tuple:
+    def inputs(self, slots: np.ndarray) -> np.ndarray:
+        """Input rows of slots: their own, one for all without, and BEGIN (slot -1)."""
+        return np.where(slots < 0, self.own + 1, np.minimum(slots, self.own))
+
+    def _forward(self, now: np.ndarray, last: np.ndarray) -> tuple:
         p = self.p
-        x = p["first"][first] + p["last"][last] + p["place"]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = (q * self.scale) @ k.transpose(0, 2, 1) + self.mask
+        d = p["o"].shape[0]
+        x = p["now"][now]
+        x += p["last"][last]
+        x += p["place"]
+        qkv = x @ p["qkv"]
+        q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+        s = np.matmul(q * self.scale, k.transpose(0, 2, 1))
+        s += self.mask
         s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(2, keepdims=True)
-        mixed = s @ v
-        return x, q, k, v, s, mixed, x + mixed @ p["o"]
+        mixed = np.matmul(s, v)
+        y = x + mixed @ p["o"]
+        z = np.maximum(y @ p["m1"], 0)
+        return x, q, k, v, s, mixed, y, z, y + z @ p["m2"]
 
     def _outcomes(self, h: np.ndarray, target: np.ndarray, learn: bool = False) -> tuple:
         """Natural log probabilities of the targets, and with learn the gradients of their negative sum."""
         p = self.p
-        group, item = target // ITEMS, target % ITEMS
-        logit = h @ p["g"].T + p["gb"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
+        cluster = np.maximum(target - self.head, -1) // CLUSTER
+        outcome = np.where(cluster < 0, target, self.head + cluster)
+        e = h @ p["first"].T
+        e += p["first_bias"]
         at = np.arange(len(h))
-        logp = logit[at, group] - np.log(total)
-        grads = None
+        np.minimum(e, 60, out=e)  # logits start at log shares, so a sum of their exponentials neither overflows nor vanishes
+        logp = e[at, outcome]
+        np.exp(e, out=e)
+        total = e.sum(1)
+        logp -= np.log(total)
+        grads = dh = None
         if learn:
-            d = e / total[:, None]
-            d[at, group] -= 1
-            dh = d @ p["g"]
-            grads = {"g": d.T @ h, "gb": d.sum(0), "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            mine = order[edges[g] : edges[g + 1]]
-            if not len(mine):
+            e /= total[:, None]
+            e[at, outcome] -= 1
+            dh = e @ p["first"]
+            grads = {"first": e.T @ h, "first_bias": e.sum(0), "inside": np.zeros_like(p["inside"]), "inside_bias": np.zeros_like(p["inside_bias"])}
+        tail = np.flatnonzero(cluster >= 0)
+        tail = tail[np.argsort(cluster[tail], kind="stable")]
+        for mine in np.split(tail, np.flatnonzero(np.diff(cluster[tail])) + 1) if len(tail) else []:
+            a = int(cluster[mine[0]]) * CLUSTER
+            b = min(a + CLUSTER, self.slots - self.head)
+            item = target[mine] - self.head
+            if a >= self.own - self.head:
+                logp[mine] += self.fixed[item - (self.own - self.head)]
                 continue
-            hg = h[mine]
-            z = hg @ p["u"][g].T + p["ub"][g]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(1)
+            e = h[mine] @ p["inside"][a:b].T + p["inside_bias"][a:b]
+            e -= e.max(1, keepdims=True)
             here = np.arange(len(mine))
-            logp[mine] += z[here, item[mine]] - np.log(total)
+            logp[mine] += e[here, item - a]
+            np.exp(e, out=e)
+            total = e.sum(1)
+            logp[mine] -= np.log(total)
             if learn:
-                d = e / total[:, None]
-                d[here, item[mine]] -= 1
-                dh[mine] += d @ p["u"][g]
-                grads["u"][g], grads["ub"][g] = d.T @ hg, d.sum(0)
-        return (logp, dh, grads) if learn else (logp,)
+                e /= total[:, None]
+                e[here, item - a] -= 1
+                dh[mine] += e @ p["inside"][a:b]
+                grads["inside"][a:b], grads["inside_bias"][a:b] = e.T @ h[mine], e.sum(0)
+        return logp, dh, grads
 
-    def score(self, first: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    def score(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Log probabilities of the counted positions of a batch of windows."""
-        h = self._forward(first, last)[-1]
-        return self._outcomes(h[counted], target[counted])[0]
+        return self._outcomes(self._forward(now, last)[-1][counted], target[counted])[0]
 
-    def gradients(self, first: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        x, q, k, v, s, mixed, h = self._forward(first, last)
-        _, dh_part, grads = self._outcomes(h[counted], target[counted], learn=True)
-        dh = np.zeros_like(h)
-        dh[counted] = dh_part
+        x, q, k, v, s, mixed, y, z, h = self._forward(now, last)
+        _, part, grads = self._outcomes(h[counted], target[counted], learn=True)
         d = h.shape[2]
-        two = lambda t: t.reshape(-1, d)
-        dmixed = dh @ p["o"].T
-        grads["o"] = two(mixed).T @ two(dh)
-        ds = dmixed @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dmixed
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
-        dq, dk = (ds @ k) * self.scale, (ds.transpose(0, 2, 1) @ q) * self.scale
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        grads |= {"q": two(x).T @ two(dq), "k": two(x).T @ two(dk), "v": two(x).T @ two(dv), "place": dx.sum(0)}
-        for name, ids in (("first", first), ("last", last)):
+        two = lambda t: t.reshape(-1, t.shape[-1])
+        dh = np.zeros_like(h)
+        dh[counted] = part
+        dz = (dh @ p["m2"].T) * (z > 0)
+        grads["m2"], grads["m1"] = two(z).T @ two(dh), two(y).T @ two(dz)
+        dy = dh + dz @ p["m1"].T
+        grads["o"] = two(mixed).T @ two(dy)
+        dmixed = dy @ p["o"].T
+        ds = np.matmul(dmixed, v.transpose(0, 2, 1))
+        ds -= (ds * s).sum(2, keepdims=True)
+        ds *= s
+        dqkv = np.concatenate([np.matmul(ds, k) * self.scale, np.matmul(ds.transpose(0, 2, 1), q) * self.scale, np.matmul(s.transpose(0, 2, 1), dmixed)], 2)
+        dx = dy + dqkv @ p["qkv"].T
+        grads |= {"qkv": two(x).T @ two(dqkv), "place": dx.sum(0)}
+        flat = two(dx)
+        for name, rows in (("now", now), ("last", last)):
             grads[name] = np.zeros_like(p[name])
-            np.add.at(grads[name], ids.reshape(-1), two(dx))
+            order = np.argsort(rows, axis=None, kind="stable")
+            some, starts = np.unique(rows.reshape(-1)[order], return_index=True)
+            grads[name][some] = np.add.reduceat(flat[order], starts, axis=0)
         return grads
 
 
@@ -170,35 +200,35 @@ class Adam:
         self.model, self.rate, self.step = model, rate, 0
         self.m, self.v = ({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
 
-    def apply(self, grads: dict[str, np.ndarray], n: int) -> None:
+    def apply(self, grads: dict[str, np.ndarray], n: int, share: float = 1.0) -> None:
+        """One step by the mean gradient of n outcomes, at `share` of the full rate."""
         self.step += 1
-        rate = self.rate * min(1.0, self.step / 20)
+        rate = np.float32(self.rate * share * min(1.0, self.step / 20) * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step))
         for k, g in grads.items():
-            g = g / n
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            self.model.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
+            g /= n
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            v *= 0.99
+            g *= 0.01
+            v += g
+            self.model.p[k] -= rate * m / (np.sqrt(v) + 1e-6)
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of so many words (end included): each window's text, first position in the text, and first scored place in the window."""
+    """For texts of so many ids (end included): each window's text, first position in the text, and first scored place in the window."""
     count = np.maximum(1, -(-(sizes - OVERLAP) // STEP))
     text = np.repeat(np.arange(len(sizes)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     return text, k * STEP, np.where(k > 0, OVERLAP, 0)
 
 
-# ---------------------------------------------------------------- blocks
-
-
-BLOCK = "ids binary, held binary, sizes binary, tokens binary, keys array<bigint>, begins array<int>, trained array<bigint>, pieces binary, piece_sizes binary"
+BLOCK = "ids binary, held binary, sizes binary, tokens binary, keys array<bigint>, trained array<bigint>, pieces binary, piece_sizes binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(id, held, text) to one row for each block: token numbers of all its words, and of its vocabulary 64-bit hashes, first subwords, training counts and all subwords."""
-    import tiktoken
-    import xxhash
-
+    """(id, held, text) to one row for each block: word numbers of its texts, and of its vocabulary 64-bit hashes, training counts and subword ids."""
     ranks, pattern = shared.value
     tokenizer = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     for batch in batches:
@@ -221,15 +251,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
             pieces = [tokenizer.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in vocab]
             lengths = np.fromiter(map(len, pieces), np.int32, len(pieces))
             flat_pieces = np.fromiter((x for p in pieces for x in p), np.int32, int(lengths.sum()))
-            begins = np.full(len(vocab), -1, np.int32)
-            begins[lengths > 0] = flat_pieces[(np.cumsum(lengths) - lengths)[lengths > 0]]
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab)).view(np.int64)
             own = ids.slice(start, row - start)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array([x.tobytes()], pa.binary()) for x in (own.fill_null(0).to_numpy(), np.stack([held[start:row], own.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8), np.array(sizes, np.int32), flat)),
                     pa.array([keys], pa.list_(pa.int64())),
-                    pa.array([begins], pa.list_(pa.int32())),
                     pa.array([trained], pa.list_(pa.int64())),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (flat_pieces, lengths)),
                 ],
@@ -241,50 +268,69 @@ def _ints(value: pa.Scalar, kind: type = np.int32) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind)
 
 
+class Slots:
+    """The outcomes: each id that training texts have, and the end of a text, from the most frequent on, then one for all other ids."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts has the occurrences of each id and, last, of the end."""
+        order = np.argsort(-counts, kind="stable")
+        seen = order[counts[order] > 0]
+        unseen = len(counts) - len(seen)
+        self.of = np.full(len(counts), len(seen), np.int32)
+        self.of[seen] = np.arange(len(seen))
+        self.end = int(self.of[-1])
+        self.counts = np.append(counts[seen], np.zeros(min(unseen, 1)))
+        self.rare = len(seen) if unseen else -1
+        self.share = -math.log(max(unseen, 1))
+
+
 class Block:
-    """One row of the block table, with the subwords of its vocabulary as classes."""
+    """One row of the block table; with slots, its texts as sequences of them."""
 
-    def __init__(self, row: dict[str, pa.Scalar], classes: np.ndarray | None = None):
+    def __init__(self, row: dict[str, pa.Scalar], slots: Slots | None = None):
         self.ids = _ints(row["ids"], np.int64)
         self.held, self.no_id = _ints(row["held"], np.uint8).reshape(2, -1).astype(bool)
-        self.sizes, self.tokens = _ints(row["sizes"]), _ints(row["tokens"])
+        self.words, self.tokens = _ints(row["sizes"]).astype(np.int64), _ints(row["tokens"])
         self.trained = row["trained"].values.to_numpy()
-        self.pieces, self.lengths = _ints(row["pieces"]), _ints(row["piece_sizes"])
-        self.ends = np.cumsum(self.lengths)
-        if classes is not None:
-            self.classes = classes[self.pieces] if len(self.pieces) else np.zeros(0, np.int64)
-            known = self.lengths > 0
-            self.first, self.last = (np.full(len(self.lengths), CLASSES - 1, np.int64) for _ in range(2))
-            self.first[known] = self.classes[(self.ends - self.lengths)[known]]
-            self.last[known] = self.classes[self.ends[known] - 1]
-
-    def sequences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (first, last), targets and text starts: each text with a beginning before and an end behind its words."""
-        sizes = self.sizes.astype(np.int64) + 1
-        starts = np.cumsum(sizes) - sizes
-        first, last, target = (np.full(int(sizes.sum()), BEGIN, np.int64) for _ in range(3))
-        word = np.ones(len(first), bool)
-        word[starts] = False
-        first[word], last[word] = self.first[self.tokens], self.last[self.tokens]
-        target[:] = END
-        ends = starts + sizes - 1
-        inner = np.ones(len(first), bool)
+        self.pieces, self.lengths = _ints(row["pieces"]), _ints(row["piece_sizes"]).astype(np.int64)
+        if slots is not None:
+            self._sequences(slots)
+
+    def _sequences(self, slots: Slots) -> None:
+        """target: the slots of all texts behind each other, each with its end; now and last: the slots one and two before, -1 before a text."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        per = self.lengths[self.tokens]
+        done = np.cumsum(per)
+        flat = self.pieces[np.repeat(starts[self.tokens] - done + per, per) + np.arange(int(per.sum()))]
+        upto = np.concatenate([[0], done])
+        word_ends = np.cumsum(self.words)
+        self.sizes = upto[word_ends] - upto[word_ends - self.words] + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        ends = self.starts + self.sizes - 1
+        self.target = np.full(int(self.sizes.sum()), slots.end, np.int32)
+        inner = np.ones(len(self.target), bool)
         inner[ends] = False
-        target[inner] = self.first[self.tokens]
-        return first, last, target, starts
-
-    def batches(self, chosen: np.ndarray | None, size: int) -> Iterator[tuple]:
-        """(window numbers, first, last, target, counted, flat positions) of some or all windows."""
-        first, last, target, starts = self.sequences()
-        total = self.sizes.astype(np.int64) + 1
-        text, begin, scored = windows(total)
+        self.target[inner] = slots.of[flat]
+        self.now, self.last = (np.full(len(self.target), -1, np.int32) for _ in range(2))
+        self.now[1:] = self.target[:-1]
+        self.now[self.starts] = -1
+        self.last[1:] = self.now[:-1]
+        self.last[self.starts] = -1
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return windows(self.sizes)
+
+    def batches(self, model: Attention, chosen: np.ndarray | None, size: int) -> Iterator[tuple]:
+        """(now, last, target, counted, flat positions) of some or all windows."""
+        now, last = model.inputs(self.now), model.inputs(self.last)
+        text, begin, scored = self.windows()
         pick = np.arange(len(text)) if chosen is None else chosen
         for i in range(0, len(pick), size):
             w = pick[i : i + size]
             place = begin[w][:, None] + np.arange(WINDOW)
-            real = place < total[text[w]][:, None]
-            at = np.where(real, starts[text[w]][:, None] + place, starts[text[w]][:, None])
-            yield w, first[at], last[at], target[at], real & (np.arange(WINDOW) >= scored[w][:, None]), at
+            real = place < self.sizes[text[w]][:, None]
+            at = np.where(real, self.starts[text[w]][:, None] + place, self.starts[text[w]][:, None])
+            yield now[at], last[at], self.target[at], real & (np.arange(WINDOW) >= scored[w][:, None]), at
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
@@ -294,51 +340,43 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
 
 
 def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, n): occurrences in training words."""
+    """(piece, n): occurrences in training words; piece -1 counts the training texts."""
     for row in _each(batches):
         b = Block(row)
         n = np.bincount(b.pieces, weights=np.repeat(b.trained, b.lengths)) if len(b.pieces) else np.zeros(0)
         seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen].astype(np.int64))], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(n[seen], (~b.held).sum()).astype(np.int64))], names=["piece", "n"])
 
 
-def _transitions(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(cell, n): class a * (CLASSES + 1) + class b (CLASSES: the word ends) inside words; cells from CLASSES * (CLASSES + 1) on count first classes and ends."""
-    base = CLASSES * (CLASSES + 1)
-    for row in _each(batches):
-        b = Block(row, shared.value)
-        n = np.zeros(base + CLASSES + 1)
-        if len(b.classes):
-            following = np.append(b.classes[1:], 0)
-            following[b.ends[b.lengths > 0] - 1] = CLASSES
-            n[:base] = np.bincount(b.classes * (CLASSES + 1) + following, weights=np.repeat(b.trained, b.lengths), minlength=base)
-        n[base : base + CLASSES] = np.bincount(b.first, weights=b.trained, minlength=CLASSES)
-        n[-1] = (~b.held).sum()
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen].astype(np.int64))], names=["cell", "n"])
+def train_block(b: Block, slots: Slots, start: np.ndarray | None, t: Training, turn: int) -> tuple[int, np.ndarray | None]:
+    """(windows, weights): what a block's training windows of a round's lot make of the start."""
+    text, begin, _ = b.windows()
+    lot = mix(mix(b.ids.astype(U64)[text]) + begin.astype(U64)) % U64(t.rounds)
+    mine = np.flatnonzero(~b.held[text] & (lot == U64(turn)))
+    if not len(mine):
+        return 0, None
+    model = Attention(slots.counts, t)
+    if start is not None:
+        model.load(start)
+    adam, rng, done = Adam(model, t.rate), np.random.default_rng(t.seed + turn), 0
+    for now, last, target, counted, _ in b.batches(model, rng.permutation(mine), t.batch):
+        n = int(counted.sum())
+        adam.apply(model.gradients(now, last, target, counted), max(1, n), 1 - 0.9 * (turn + done / len(mine)) / t.rounds)
+        done += len(now)
+    return len(mine), model.flat()
 
 
 def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, turn: int) -> Iterator[pa.RecordBatch]:
-    """(weight, weights): this task's model after this round's lot of its windows."""
-    classes, outcomes, start = shared.value
-    model = Attention(t.dim, outcomes, t.seed)
-    if start is not None:
-        model.load(start)
-    adam, seen = Adam(model, t.rate), 0
+    """(weight, weights): the mean of what this task's blocks learn in a round, by their windows."""
+    slots, start = shared.value
+    seen, total = 0, None
     for row in _each(batches):
-        b = Block(row, classes)
-        text, begin, _ = windows(b.sizes.astype(np.int64) + 1)
-        lot = mix(mix(b.ids.astype(U64)[text]) + begin.astype(U64)) % U64(t.rounds)
-        mine = np.flatnonzero(~b.held[text] & (lot == U64(turn)))
-        if not len(mine):
-            continue
-        rng = np.random.default_rng(t.seed + turn)
-        for _, first, last, target, counted, _ in b.batches(rng.permutation(mine), t.batch):
-            n = int(counted.sum())
-            adam.apply(model.gradients(first, last, target, counted), max(1, n))
-        seen += len(mine)
+        n, weights = train_block(Block(row, slots), slots, start, t, turn)
+        if n:
+            total = n * weights.astype(np.float64) + (0 if total is None else total)
+            seen += n
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.flat()], pa.list_(pa.float32()))], names=["weight", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([(total / seen).astype(np.float32)], pa.list_(pa.float32()))], names=["weight", "weights"])
 
 
 def _mean(table: pa.Table) -> pa.Table:
@@ -349,54 +387,41 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"weight": pa.array([w.sum()]), "weights": pa.array([(total / w.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
 
-class SubwordModel:
-    """Everything that scoring needs: classes of the ids, probabilities inside words, and the attention model."""
+def _by_heap(table: pa.Table) -> pa.Table:
+    return _mean(table)
 
-    def __init__(self, classes: np.ndarray, rare: np.ndarray, inside: np.ndarray, kinds: np.ndarray, outcomes: np.ndarray, dim: int, weights: np.ndarray | None, seed: int):
-        self.classes, self.rare, self.inside = classes, rare, inside
-        self.begun = outcomes[:CLASSES]
-        self.novel = np.where(self.begun > 0, DISCOUNT * kinds / np.maximum(self.begun, 1), 1.0)
-        self.attention = Attention(dim, outcomes, seed)
-        if weights is not None:
-            self.attention.load(weights)
 
-    def tails(self, b: Block, count: np.ndarray) -> np.ndarray:
-        """For each word of a block's vocabulary, with its training count, the log probability of what its first class leaves open."""
-        cost = self.rare[b.pieces].astype(np.float64) if len(b.pieces) else np.zeros(0)
-        if len(cost):
-            following = np.append(b.classes[1:], 0)
-            following[b.ends[b.lengths > 0] - 1] = CLASSES
-            cost += self.inside[b.classes, following]
-        sums = np.concatenate([[0], np.cumsum(cost)])
-        spelled = np.exp(sums[b.ends] - sums[b.ends - b.lengths])
-        met = np.maximum(count - DISCOUNT, 0) / np.maximum(self.begun[b.first], 1)
-        return np.log(np.maximum(met + self.novel[b.first] * spelled, 1e-300))
+def score_block(b: Block, slots: Slots, model: Attention) -> np.ndarray:
+    """The natural log probability of each text of a block."""
+    total = np.zeros(len(b.sizes))
+    owner = np.repeat(np.arange(len(b.sizes)), b.sizes)
+    for now, last, target, counted, at in b.batches(model, None, 64):
+        logp = model.score(now, last, target, counted)
+        total += np.bincount(owner[at[counted]], weights=logp, minlength=len(total))
+    return total + slots.share * np.bincount(owner, weights=b.target == slots.rare, minlength=len(total))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, n: int, v: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """Blocks with the training counts of their vocabulary to one row for each text."""
-    model, end_count = shared.value
+    slots, weights, end_count = shared.value
+    model = Attention(slots.counts, t)
+    if weights is not None:
+        model.load(weights)
     log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     for row in _each(batches):
-        b = Block(row, model.classes)
+        b = Block(row, slots)
         count = np.zeros(len(b.lengths), np.int64)
         known = row["known"]
         if known.is_valid and len(known):
             count[known.values.field("at").to_numpy()] = known.values.field("c").to_numpy()
-        sizes = b.sizes.astype(np.int64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        base = np.bincount(owner, weights=log(count)[b.tokens], minlength=len(sizes)) + log(end_count)
-        met = np.bincount(owner, weights=count[b.tokens] > 0, minlength=len(sizes)) + (end_count > 0)
-        total = np.bincount(owner, weights=model.tails(b, count)[b.tokens], minlength=len(sizes))
-        starts = np.cumsum(sizes + 1) - (sizes + 1)
-        for w, first, last, target, counted, at in b.batches(None, 256):
-            logp = model.attention.score(first, last, target, counted)
-            total += np.bincount(np.searchsorted(starts, at[counted], "right") - 1, weights=logp, minlength=len(sizes))
+        owner = np.repeat(np.arange(len(b.words)), b.words)
+        base = np.bincount(owner, weights=log(count)[b.tokens], minlength=len(b.words)) + log(end_count)
+        met = np.bincount(owner, weights=count[b.tokens] > 0, minlength=len(b.words)) + (end_count > 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(b.ids, mask=b.no_id), pa.array(b.held), pa.array(sizes + 1), pa.array(met.astype(np.int64)), pa.array(base), pa.array(total / math.log(10))],
+            [pa.array(b.ids, mask=b.no_id), pa.array(b.held), pa.array(b.words + 1), pa.array(met.astype(np.int64)), pa.array(base), pa.array(score_block(b, slots, model) / math.log(10))],
             names=[x.split()[0] for x in RESULT.split(", ")],
         )
 
@@ -405,61 +430,43 @@ def score_texts(docs: DataFrame, ranks_path: str, pattern: str, t: Training = Tr
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Rows whose held_col is true are scored but not learned from (null counts as false).  A null or empty text is its
-    end alone.  Rows that repeat are each counted and scored.  With no training rows all counts are 0 and the model
-    is its smoothed start.  The vocabulary's size bounds what is broadcast; the counts of words are joined.
+    end alone.  Rows that repeat are each counted and scored; null ids are kept.  With no training rows all counts
+    are 0 and the model is its start.  An empty table gives no rows.  What is broadcast is bounded by the tokenizer's
+    vocabulary; the counts of words are joined.
     """
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(held_col), F.lit(False)).alias("held"), F.col(text_col).cast("binary").alias("text"))
-    made = rows.mapInArrow(partial(_blocks, shared=spark.sparkContext.broadcast((ranks, pattern))), BLOCK)
+    rows = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(held_col), F.lit(False)).alias("held"), column(text_col).cast("binary").alias("text"))
+    made = rows.mapInArrow(partial(trimmed(_blocks), shared=spark.sparkContext.broadcast((ranks, pattern))), BLOCK)
     blocks = cut(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks", compression="zstd")
-    names = [n for x in BLOCK.split(", ") if (n := x.split()[0]) not in ("keys", "begins")]  # what is read again and again
+    names = [n for x in BLOCK.split(", ") if (n := x.split()[0]) != "keys"]  # what is read again and again
 
     found = blocks.select(*names).mapInArrow(_piece_counts, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary at most
-    counts = np.zeros(max(ranks.values()) + 1)
-    counts[found["piece"].to_numpy()] = found["n"].to_numpy()
-    frequent = np.argsort(-counts, kind="stable")[: CLASSES - 1]
-    classes = np.full(len(counts), CLASSES - 1, np.int64)
-    classes[frequent] = np.arange(len(frequent))
-    others = classes == CLASSES - 1
-    rare = np.where(others, np.log((counts + 0.5) / (counts[others] + 0.5).sum()), 0).astype(np.float32)
-
-    cells = blocks.select(*names).mapInArrow(partial(_transitions, shared=spark.sparkContext.broadcast(classes)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CLASSES squared at most
-    table = np.zeros(CLASSES * (CLASSES + 1) + CLASSES + 1)
-    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    outcomes = table[CLASSES * (CLASSES + 1) :]
-    moves = table[: CLASSES * (CLASSES + 1)].reshape(CLASSES, CLASSES + 1)
-    plain = (moves.sum(0) + 0.5) / (moves.sum() + 0.5 * (CLASSES + 1))
-    inside = np.log((moves + 5 * plain) / (moves.sum(1, keepdims=True) + 5)).astype(np.float32)
+    counts = np.zeros(max(ranks.values()) + 2)
+    counts[found["piece"].to_numpy()] = found["n"].to_numpy()  # -1, the end, is the last
+    slots, ends = Slots(counts), int(counts[-1])
 
     weights = None
     heaps = math.isqrt(max(1, blocks.rdd.getNumPartitions())) + 1
     for turn in range(t.rounds):
-        shared = spark.sparkContext.broadcast((classes, outcomes, weights))
-        parts = blocks.select(*names).mapInArrow(partial(_train, shared=shared, t=t, turn=turn), "weight double, weights array<float>")
+        shared = spark.sparkContext.broadcast((slots, weights))
+        parts = blocks.select(*names).mapInArrow(partial(trimmed(_train), shared=shared, t=t, turn=turn), "weight double, weights array<float>")
         parts = parts.withColumn("heap", F.pmod(F.spark_partition_id(), F.lit(heaps))).groupBy("heap").applyInArrow(_by_heap, "weight double, weights array<float>").toArrow()
         if len(parts):
             weights = _mean(parts)["weights"][0].values.to_numpy()
+        shared.unpersist()
 
-    vocab = blocks.select("block", F.posexplode(F.arrays_zip("keys", "begins", "trained")).alias("at", "z")).select("block", "at", "z.keys", "z.begins", F.col("z.trained").alias("c"))
-    total = cut(vocab.where("c > 0").groupBy("keys").agg(F.sum("c").alias("c"), F.min("begins").alias("begins")), "lm-counts")
+    vocab = blocks.select("block", F.posexplode(F.arrays_zip("keys", "trained")).alias("at", "z")).select("block", "at", "z.keys", F.col("z.trained").alias("c"))
+    total = cut(vocab.where("c > 0").groupBy("keys").agg(F.sum("c").alias("c")), "lm-counts")
     v, n = total.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    ends = int(outcomes[-1])
-    known = vocab.select("block", "at", "keys").join(total.select("keys", "c"), "keys").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))
-    begun = total.groupBy("begins").agg(F.count("*").alias("n")).toArrow()  # as many rows as the vocabulary at most
-    first = begun["begins"].to_numpy()
-    kinds = np.bincount(np.where(first >= 0, classes[first], CLASSES - 1), weights=begun["n"].to_numpy(), minlength=CLASSES) if len(first) else np.zeros(CLASSES)
-    model = SubwordModel(classes, rare, inside, kinds, outcomes, t.dim, weights, t.seed)
-    shared = spark.sparkContext.broadcast((model, ends))
+    known = vocab.select("block", "at", "keys").join(total, "keys").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))
+    shared = spark.sparkContext.broadcast((slots, weights, ends))
     ready = blocks.join(known, "block", "left").select(*names, "known")
-    out = ready.mapInArrow(partial(_score, shared=shared, n=int(n) + ends, v=int(v) + (ends > 0)), RESULT)
+    out = cut(ready.mapInArrow(partial(trimmed(_score), shared=shared, t=t, n=int(n) + ends, v=int(v) + (ends > 0)), RESULT), "lm-scores")
+    release(blocks, total)
     return out.withColumn("train_tokens", F.lit(int(n) + ends).cast("long"))
 
 
-def _by_heap(table: pa.Table) -> pa.Table:
-    return _mean(table)
-
-
 def op3_attention_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Unigram and attention-model scores of each document, learned from those whose crc32(doc_id) mod 5 is not 1."""
     import public_tokenizers

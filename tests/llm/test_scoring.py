@@ -1,7 +1,8 @@
-"""What the attention model of op 3 learns from."""
+"""What the attention model of op 3 learns from, its gradients, and its scores against a pass over single ids."""
 
 from __future__ import annotations
 
+import math
 from types import SimpleNamespace
 
 import numpy as np
@@ -19,39 +20,116 @@ def blocks(monkeypatch):
     monkeypatch.setattr(scoring, "BLOCK_ROWS", 40)
     ranks = scoring.read_ranks(p.path("byte_bpe_multi_50k.tiktoken"))
     rng = np.random.default_rng(1)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(0, 400))).encode() for _ in range(160)]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, rng.integers(0, 300))).encode() for _ in range(160)]
     rows = pa.RecordBatch.from_arrays([pa.array(range(160)), pa.array([i % 4 == 0 for i in range(160)]), pa.array(texts)], names=["id", "held", "text"])
     made = list(scoring._blocks(iter([rows]), SimpleNamespace(value=(ranks, p.PATTERN))))
     assert len(made) == 4
-    return made, np.arange(max(ranks.values()) + 1) % scoring.CLASSES
+    counts = np.zeros(max(ranks.values()) + 2)
+    for part in scoring._piece_counts(iter(made)):
+        np.add.at(counts, part["piece"].to_numpy(), part["n"].to_numpy())
+    return made, scoring.Slots(counts)
 
 
-def learned(monkeypatch, made, classes, t, turn):
+def learned(monkeypatch, made, slots, t, turn):
     """How many outcomes a task learned from in a round, and its weight."""
     counts = []
     gradients = scoring.Attention.gradients
 
-    def counting(self, first, last, target, counted):
+    def counting(self, now, last, target, counted):
         counts.append(int(counted.sum()))
-        return gradients(self, first, last, target, counted)
+        return gradients(self, now, last, target, counted)
 
     monkeypatch.setattr(scoring.Attention, "gradients", counting)
-    shared = SimpleNamespace(value=(classes, np.ones(scoring.CLASSES + 1), None))
-    weight = sum(b["weight"][0].as_py() for b in scoring._train(iter(made), shared, t, turn))
+    weight = sum(b["weight"][0].as_py() for b in scoring._train(iter(made), SimpleNamespace(value=(slots, None)), t, turn))
     monkeypatch.setattr(scoring.Attention, "gradients", gradients)
     return sum(counts), weight
 
 
 def test_every_training_window_is_learned_from(monkeypatch, blocks):
-    made, classes = blocks
+    made, slots = blocks
     t = scoring.Training()
-    want = sum(int((b.sizes[~b.held] + 1).sum()) for b in (scoring.Block(r) for r in scoring._each(iter(made))))
-    assert sum(learned(monkeypatch, made, classes, t, turn)[0] for turn in range(t.rounds)) == want
+    want = sum(int(b.sizes[~b.held].sum()) for b in (scoring.Block(r, slots) for r in scoring._each(iter(made))))
+    assert sum(learned(monkeypatch, made, slots, t, turn)[0] for turn in range(t.rounds)) == want
 
 
-def test_a_block_is_learned_from_alike_in_every_place(monkeypatch, blocks):
-    made, classes = blocks
+def test_blocks_are_learned_from_alike_whatever_the_tasks(blocks):
+    made, slots = blocks
     t = scoring.Training()
-    for turn in range(t.rounds):
-        alone = [learned(monkeypatch, [b], classes, t, turn) for b in made]
-        assert learned(monkeypatch, made, classes, t, turn) == tuple(map(sum, zip(*alone, strict=True)))
+
+    def mean(tasks):
+        parts = [b for task in tasks for b in scoring._train(iter(task), SimpleNamespace(value=(slots, None)), t, 0)]
+        return scoring._mean(pa.Table.from_batches(parts))["weights"][0].values.to_numpy()
+
+    assert np.allclose(mean([made]), mean([[b] for b in made]), atol=1e-6) and np.allclose(mean([made]), mean([made[2:], made[:2]]), atol=1e-6)
+
+
+def test_scores_equal_a_pass_over_single_ids(blocks):
+    made, slots = blocks
+    b = next(scoring.Block(r, slots) for r in scoring._each(iter(made)))
+    _, weights = scoring.train_block(b, slots, None, scoring.Training(), 0)
+    model = scoring.Attention(slots.counts, scoring.Training())
+    model.load(weights)
+    p = {k: w.astype(np.float64) for k, w in model.p.items()}
+    d = p["o"].shape[0]
+    got = scoring.score_block(b, slots, model)
+
+    def log_softmax(x):
+        return x - x.max() - math.log(np.exp(x - x.max()).sum())
+
+    for text in range(12):
+        seq = b.target[b.starts[text] : b.starts[text] + b.sizes[text]].tolist()
+        before = [-1, -1, *seq]
+        want, scored = 0.0, 0
+        for begin in range(0, max(1, len(seq) - scoring.OVERLAP), scoring.STEP):
+            stop = min(begin + scoring.WINDOW, len(seq))
+            row = lambda slot: model.own + 1 if slot < 0 else min(slot, model.own)
+            x = [p["now"][row(before[i + 1])] + p["last"][row(before[i])] + p["place"][i - begin] for i in range(begin, stop)]
+            q, k, v = ([z @ p["qkv"][:, j * d : (j + 1) * d] for z in x] for j in range(3))
+            for i in range(scored, stop):
+                at = i - begin
+                share = np.exp(log_softmax(np.array([q[at] @ k[j] / math.sqrt(d) for j in range(at + 1)])))
+                y = x[at] + sum(s * v[j] for j, s in enumerate(share)) @ p["o"]
+                h = y + np.maximum(y @ p["m1"], 0) @ p["m2"]
+                first = log_softmax(p["first"] @ h + p["first_bias"])
+                slot = seq[i]
+                if slot < model.head:
+                    want += first[slot]
+                else:
+                    c = (slot - model.head) // scoring.CLUSTER
+                    part = slice(c * scoring.CLUSTER, min((c + 1) * scoring.CLUSTER, model.slots - model.head))
+                    want += first[model.head + c] + log_softmax(p["inside"][part] @ h + p["inside_bias"][part])[slot - model.head - part.start]
+                want += slots.share if slot == slots.rare else 0
+            scored = stop
+        assert scored == len(seq) and got[text] == pytest.approx(want, rel=1e-4)
+
+
+def test_probabilities_sum_to_one(monkeypatch):
+    monkeypatch.setattr(scoring, "TRAINED", 300)
+    counts = np.array([9.0, 0, 4] * 200 + [7])
+    slots = scoring.Slots(counts)
+    model = scoring.Attention(slots.counts, scoring.Training(dim=6))
+    assert model.own < model.slots
+    h = np.random.default_rng(1).normal(0, 1, (1, 6)).astype(np.float32)
+    logs = model._outcomes(np.repeat(h, model.slots, 0), np.arange(model.slots))[0]
+    assert np.exp(logs).sum() == pytest.approx(1, rel=1e-5)
+    assert (slots.counts[slots.of] == counts).all() and slots.rare == model.slots - 1
+
+
+def test_gradients_of_the_attention_model():
+    rng = np.random.default_rng(0)
+    model = scoring.Attention(np.sort(rng.integers(1, 9, 300).astype(float))[::-1], scoring.Training(dim=6, seed=1))
+    model.p = {k: w.astype(np.float64) for k, w in model.p.items()}
+    now, last, target = (rng.integers(0, 300, (2, scoring.WINDOW)) for _ in range(3))
+    counted = rng.random((2, scoring.WINDOW)) < 0.7
+    counted[0, 0] = True
+    target[0, 0] = 130
+    grads = model.gradients(now, last, target, counted)
+    spots = (("now", (now[0, 0], 2)), ("last", (last[1, 4], 1)), ("qkv", (1, 2)), ("qkv", (3, 9)), ("qkv", (0, 15)), ("o", (2, 1)), ("m1", (2, 3)), ("m2", (5, 4)), ("first", (0, 3)), ("first_bias", (3,)), ("inside", (2, 1)), ("inside_bias", (2,)), ("place", (3, 2)))
+    for name, spot in spots:
+        w = model.p[name]
+        w[spot] += 1e-5
+        up = -model.score(now, last, target, counted).sum()
+        w[spot] -= 2e-5
+        down = -model.score(now, last, target, counted).sum()
+        w[spot] += 1e-5
+        assert grads[name][spot] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6), name
