@@ -36,7 +36,7 @@ from lodestone.llm.rows import column, trimmed
 from lodestone.plans.materialize import cut, release
 
 #: Slots that are outcomes of the first level, slots of a cluster, and slots (the most frequent) with vectors of their own.
-HEAD, CLUSTER, TRAINED = 128, 128, 8192
+HEAD, CLUSTER, TRAINED = 128, 512, 8192
 WINDOW, OVERLAP = 32, 4
 STEP = WINDOW - OVERLAP
 #: Texts and bytes of a block.
