@@ -10,8 +10,10 @@ A window of `width` words is removed if its words also start anywhere else.  Ins
    all occurrences of the node behind come by it, the path doesn't branch; Spark aggregates and joins find these
    edges.  Every occurrence of a node of such a path runs through the whole path, so all windows inside are
    repeated.
-3. Verification: the other windows with a repeated anchor (where copies begin, end or differ) are compared by the
-   hash of all their words, at their coordinates in the source texts.
+3. Verification at the coordinates in the source texts: every path found in a text, and every other window with a
+   repeated anchor (where copies begin, end or differ), is named by a 128-bit digest of its words themselves, and
+   counts only if another place has the same.  Should a path's words occur nowhere else (its hashes collided), all
+   windows are verified one by one instead.
 
 Windows inside a non-branching path are so everywhere or nowhere, so steps 2 and 3 never miss each other's.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -38,6 +40,10 @@ class Repeats:
     #: Words of a window, and of an anchor.
     width: int = 35
     anchor: int = 8
+    #: Whether paths stand for their windows; otherwise each window with a repeated anchor is verified by itself.
+    paths: bool = True
+    #: Parts into which the places of one window are dealt, as very many texts may share a passage.
+    salt: int = 8
 
 
 def _argmins(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,6 +119,20 @@ def _cleaned(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.nd
     return joined, (kept + raw[ends[-1] :]).strip(b" \t\n\v\f\r") if len(keep) else b""
 
 
+def _digests(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Two numbers for each span [a, b) of words, from the bytes of its words joined by a space."""
+    if not spans:
+        return [np.zeros(0, np.int64)] * 2
+    raw = text.tobytes()
+    words = b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    at = np.concatenate([[0], np.cumsum(ends - starts + 1)]).tolist()
+    found = np.frombuffer(b"".join([hashlib.blake2b(words[at[a] : at[b] - 1], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
+    return [found[:, 0], found[:, 1]]
+
+
+LISTS = {"at": np.int32, "h0": np.int64, "h1": np.int64, "solid": np.int32, "s0": np.int64, "s1": np.int64}
+
+
 OUT = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 OUT_TYPES = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.binary()}
 
@@ -129,40 +149,40 @@ def _first_pass(batches: Iterator[pa.RecordBatch], p: Repeats, want: list[str])
         flag_at = np.concatenate([[0], np.cumsum(sizes)])
         index, into, onward = (f.field(k).to_numpy(zero_copy_only=False) for k in range(3))
         for row, words, offsets, starts, ends in hashed_texts(texts, spans=True):
-            made: dict[str, list] = {n: [] for n in (*want, "at", "hashes", "solid", "again")}
+            made: dict[str, list] = {n: [] for n in (*want, *LISTS, "again")}
             base = places[row]
             for i in range(len(offsets) - 1):
                 a, b = offsets[i], offsets[i + 1]
                 shift = places[row + i] - base
                 lo, hi = flag_at[row + i], flag_at[row + i + 1]
                 gone = np.zeros(b - a, bool)
-                at = hashes = np.zeros(0, np.int64)
-                solid: list[int] = []
+                at = np.zeros(0, np.int64)
+                solid: list[tuple[int, int]] = []
                 if hi > lo:
                     kmers, chosen = _chosen(words[a:b], p)
                     anchors = np.unique(chosen)
                     order = np.argsort(index[lo:hi])
                     inside = np.zeros(len(chosen), bool)
-                    for x, y in _segments(b - a, anchors, index[lo:hi][order].astype(np.int64), into[lo:hi][order], onward[lo:hi][order], p):
-                        if y - x >= p.width:
-                            gone[x:y] = True
-                            inside[x : y - p.width + 1] = True
-                            solid += [x, y]
+                    if p.paths:
+                        solid = [(x, y) for x, y in _segments(b - a, anchors, index[lo:hi][order].astype(np.int64), into[lo:hi][order], onward[lo:hi][order], p) if y - x >= p.width]
+                    for x, y in solid:
+                        gone[x:y] = True
+                        inside[x : y - p.width + 1] = True
                     repeated = np.zeros(len(kmers), bool)
                     repeated[anchors[index[lo:hi]]] = True
                     at = np.flatnonzero(repeated[chosen] & ~inside)
-                    hashes = as_long(window_hashes(words[a:b], p.width)[at])
-                text = data[places[row + i] : places[row + i + 1]]
-                _finish(made, want, text, starts[a:b] - shift, ends[a:b] - shift, gone, bool(len(at)))
-                made["at"].append(at.astype(np.int32))
-                made["hashes"].append(hashes)
-                made["solid"].append(solid)
+                text, own = data[places[row + i] : places[row + i + 1]], (starts[a:b] - shift, ends[a:b] - shift)
+                _finish(made, want, text, *own, gone, bool(len(at)))
+                h0, h1 = _digests(text, *own, [(x, x + p.width) for x in at.tolist()])
+                s0, s1 = _digests(text, *own, solid)
+                for name, value in (("at", at), ("h0", h0), ("h1", h1), ("solid", [z for span in solid for z in span]), ("s0", s0), ("s1", s1)):
+                    made[name].append(value)
                 made["again"].append(text.tobytes() if len(at) else None)
             n = len(offsets) - 1
             lists = lambda x, t: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32), pa.array(np.concatenate([np.asarray(v, t) for v in x]) if x else np.zeros(0, t)))
             yield pa.RecordBatch.from_arrays(
-                [*(c.slice(row, n) for c in batch.columns[:-2]), *(pa.array(made[w], OUT_TYPES[w]) for w in want), lists(made["at"], np.int32), lists(made["hashes"], np.int64), lists(made["solid"], np.int32), pa.array(made["again"], pa.binary())],
-                names=[*batch.schema.names[:-2], *want, "at", "hashes", "solid", "again"],
+                [*(c.slice(row, n) for c in batch.columns[:-2]), *(pa.array(made[w], OUT_TYPES[w]) for w in want), *(lists(made[k], t) for k, t in LISTS.items()), pa.array(made["again"], pa.binary())],
+                names=[*batch.schema.names[:-2], *want, *LISTS, "again"],
             )
 
 
@@ -226,13 +246,19 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "tex
 
     kinds = {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string", "kept_text": "binary"}
     made = ", ".join(f"{w} {kinds[w]}" for w in want)
+    lists = ", ".join(f"{k} array<{'int' if t is np.int32 else 'long'}>" for k, t in LISTS.items())
     first = keyed.join(flagged, ["c0", "c1"], "left").select("row", "c0", "c1", "flags", "text")
-    first = cut(first.mapInArrow(partial(trimmed(_first_pass), p=p, want=want), extended(alone, f"c0 long, c1 long, {made}, at array<int>, hashes array<long>, solid array<int>, again binary")), "repeats-first")
+    first = cut(first.mapInArrow(partial(trimmed(_first_pass), p=p, want=want), extended(alone, f"c0 long, c1 long, {made}, {lists}, again binary")), "repeats-first", compression="zstd")
     release(feats, flagged)
+    spans = first.select(F.explode(F.arrays_zip("s0", "s1")).alias("z")).groupBy("z.s0", "z.s1").agg(F.count("*").alias("n"))
+    if spans.where("n = 1").limit(1).count():
+        release(first)
+        return remove_repeats(docs, replace(p, paths=False), text_col, tuple(want))
     open_rows = first.where("again is not null")
-    windows = open_rows.select("c0", "c1", F.explode(F.arrays_zip("at", "hashes")).alias("z")).select("c0", "c1", "z.at", F.col("z.hashes").alias("h"))
-    twice = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = windows.join(twice, "h").select("c0", "c1", "at").distinct().groupBy("c0", "c1").agg(F.collect_list("at").alias("found"))
+    windows = open_rows.select("c0", "c1", F.explode(F.arrays_zip("at", "h0", "h1")).alias("z")).select("c0", "c1", "z.at", "z.h0", "z.h1")
+    twice = windows.groupBy("h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select("h0", "h1", F.explode(F.sequence(F.lit(0), F.lit(p.salt - 1))).alias("part"))
+    dealt = windows.withColumn("part", F.pmod(F.xxhash64("c0", "at"), F.lit(p.salt)).cast("int"))
+    found = dealt.join(twice, ["h0", "h1", "part"]).select("c0", "c1", "at").distinct().groupBy("c0", "c1").agg(F.collect_list("at").alias("found"))
     second = open_rows.select("row", "c0", "c1", "solid", "again").join(found, ["c0", "c1"], "left").select("row", "solid", "found", "again")
     second = second.mapInArrow(partial(trimmed(_second_pass), p=p, want=want), extended(alone, made))
     return first.where("again is null").select("row", *want).union(second)

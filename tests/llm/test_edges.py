@@ -177,3 +177,12 @@ def test_repeats_are_compared_by_their_words(spark):
 def test_keep_one_of_rows_with_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (None, None)], "doc_id long, text string")
     assert minhash.keep_one(docs).count() == 2
+
+
+def test_windows_are_named_by_their_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{'same' if 20 <= j < 60 and i < 2 else i}{j}" for j in range(90))) for i in range(6)], "doc_id long, text string")
+    want = {0: 40, 1: 40, 2: 0, 3: 0, 4: 0, 5: 0}
+    for p in (substrings.Repeats(), substrings.Repeats(paths=False)):
+        assert {r.row.doc_id: r.n_removed for r in substrings.remove_repeats(docs, p).collect()} == want
+    at = lambda text, starts: substrings._digests(np.frombuffer(text, np.uint8), np.array(starts), np.array(starts) + 1, [(0, 2)])
+    assert [x.tolist() for x in at(b"a b  c", [0, 2, 5])] == [x.tolist() for x in at(b"a  b", [0, 3])] != [x.tolist() for x in at(b"a c", [0, 2])]
