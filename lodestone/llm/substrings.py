@@ -248,18 +248,21 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "tex
     made = ", ".join(f"{w} {kinds[w]}" for w in want)
     lists = ", ".join(f"{k} array<{'int' if t is np.int32 else 'long'}>" for k, t in LISTS.items())
     first = keyed.join(flagged, ["c0", "c1"], "left").select("row", "c0", "c1", "flags", "text")
-    first = cut(first.mapInArrow(partial(trimmed(_first_pass), p=p, want=want), extended(alone, f"c0 long, c1 long, {made}, {lists}, again binary")), "repeats-first", compression="zstd")
+    first = first.select("row", "flags", "text").mapInArrow(partial(trimmed(_first_pass), p=p, want=want), extended(alone, f"{made}, {lists}, again binary"))
+    first = cut(first.withColumn("number", F.monotonically_increasing_id()), "repeats-first", compression="zstd")  # number is fixed from here on
     release(feats, flagged)
     spans = first.select(F.explode(F.arrays_zip("s0", "s1")).alias("z")).groupBy("z.s0", "z.s1").agg(F.count("*").alias("n"))
     if spans.where("n = 1").limit(1).count():
         release(first)
         return remove_repeats(docs, replace(p, paths=False), text_col, tuple(want))
     open_rows = first.where("again is not null")
-    windows = open_rows.select("c0", "c1", F.explode(F.arrays_zip("at", "h0", "h1")).alias("z")).select("c0", "c1", "z.at", "z.h0", "z.h1")
+    windows = open_rows.select("number", F.explode(F.arrays_zip("at", "h0", "h1")).alias("z")).select("number", "z.at", "z.h0", "z.h1")
     twice = windows.groupBy("h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select("h0", "h1", F.explode(F.sequence(F.lit(0), F.lit(p.salt - 1))).alias("part"))
-    dealt = windows.withColumn("part", F.pmod(F.xxhash64("c0", "at"), F.lit(p.salt)).cast("int"))
-    found = dealt.join(twice, ["h0", "h1", "part"]).select("c0", "c1", "at").distinct().groupBy("c0", "c1").agg(F.collect_list("at").alias("found"))
-    second = open_rows.select("row", "c0", "c1", "solid", "again").join(found, ["c0", "c1"], "left").select("row", "solid", "found", "again")
+    w, t = windows.alias("w"), twice.alias("t")
+    part = F.pmod(F.xxhash64("w.number", "w.at"), F.lit(p.salt)).cast("int")
+    same = (F.col("w.h0") == F.col("t.h0")) & (F.col("w.h1") == F.col("t.h1")) & (part == F.col("t.part"))
+    found = w.join(t, same).groupBy("w.number").agg(F.collect_list("w.at").alias("found"))
+    second = open_rows.select("row", "number", "solid", "again").join(found, "number", "left").select("row", "solid", "found", "again")
     second = second.mapInArrow(partial(trimmed(_second_pass), p=p, want=want), extended(alone, made))
     return first.where("again is null").select("row", *want).union(second)
 
