@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import UsageError
 from lodestone.functions.ranking import parse_agg
-from lodestone.functions.text import fold_text
+from lodestone.functions.text import fold, fold_text, strip_accents
 from lodestone.operators.retrieval import bm25, corpus_size, knn, postings, rrf
 
 #: Chunks asked for: FACTOR times the results wanted, at least LEAST, and LEAST_FILTERED if a facet filter follows.
@@ -55,14 +55,14 @@ def facet_multiplier(facets: Column, tags: Column, authors: Column, creators: Co
 
     facets is array<struct<terms array<string>, weight double, kind string>>.  Tags and authors match by any common
     term, types by equality.  A document without authors matches an author facet if a term's surname occurs in its
-    creators (folded, like the terms).  Null arrays are empty.
+    creators, which are folded; case and accents of the terms don't matter there.  Null arrays are empty.
     """
     empty = F.array().cast("array<string>")
     own_tags, own_authors = F.coalesce(tags, empty), F.coalesce(authors, empty)
 
     def matched(f: Column) -> Column:
         named = F.arrays_overlap(f["terms"], own_authors)
-        in_creators = F.exists(f["terms"], lambda t: F.contains(F.coalesce(creators, F.lit("")), F.trim(F.substring_index(t, ",", 1))))
+        in_creators = F.exists(f["terms"], lambda t: F.contains(F.coalesce(creators, F.lit("")), F.lower(strip_accents(F.trim(F.substring_index(t, ",", 1))))))
         author = F.when(F.size(own_authors) > 0, named).otherwise(in_creators)
         return F.when(f["kind"] == "tag", F.arrays_overlap(f["terms"], own_tags)).when(f["kind"] == "author", author).otherwise(F.coalesce(F.array_contains(f["terms"], doc_type), F.lit(False)))
 
@@ -70,8 +70,8 @@ def facet_multiplier(facets: Column, tags: Column, authors: Column, creators: Co
 
 
 def year_factor(year: Column, lowest: Column, highest: Column) -> Column:
-    """0.4 if a bound is set and the year lies outside or is no number, else 1."""
-    number = year.try_cast("int")
+    """0.4 if a bound is set and the year lies outside or is no number, else 1.  A bound or year of 0 is none."""
+    number, lowest, highest = (F.nullif(c.try_cast("int"), F.lit(0)) for c in (year, lowest, highest))
     outside = number.isNull() | F.coalesce(number < lowest, F.lit(False)) | F.coalesce(number > highest, F.lit(False))
     return F.when((lowest.isNotNull() | highest.isNotNull()) & outside, F.lit(YEAR_FACTOR)).otherwise(F.lit(1.0))
 
@@ -100,13 +100,13 @@ def rerank(results: DataFrame, rankings: DataFrame, head: int = RERANK_HEAD) ->
 
     rankings is (qid, ranking array<int>) over zero-based positions.  A head row's score is 1/(60 + its position)
     plus 1/(60 + its place in the ranking); the tail is scaled below the head's lowest score, in its order.  A query
-    without a ranking, or with fewer than two results, stays as it is.
+    whose ranking is missing or names no position of the head, or with fewer than two results, stays as it is.
     """
     sized = results.withColumn("__p", F.col("rank") - 1).withColumn("__all", F.count("*").over(Window.partitionBy("qid")))
     asked = sized.join(rankings.select("qid", "ranking"), "qid", "left")
     n = F.least(F.col("__all"), F.lit(head))
     place = F.array_position(valid_ranking(F.col("ranking"), n), F.col("__p").cast("int")) - 1
-    changed = F.col("ranking").isNotNull() & (F.col("__all") > 1)
+    changed = F.coalesce(F.exists("ranking", lambda i: (i >= 0) & (i < n)), F.lit(False)) & (F.col("__all") > 1)
     in_head = F.col("__p") < head
     fused = F.lit(1.0) / (RERANK_K + F.col("__p")) + F.lit(1.0) / (RERANK_K + place)
     scored = asked.withColumn("__s", F.when(in_head, fused))
@@ -127,7 +127,8 @@ class IndexTables:
     vectors: DataFrame  # chunk_id, embedding
     doc_tags: DataFrame  # document_id, tag
     doc_authors: DataFrame  # document_id, author, seq
-    postings: DataFrame | None = None
+    postings: DataFrame | None = None  # bucket, term, chunk_id, tf, len
+    size: tuple[int, int] | None = None  # chunks with any word, and words, of the postings
 
 
 def hydrate(results: DataFrame, t: IndexTables) -> DataFrame:
@@ -174,7 +175,7 @@ def search(
     k = chunks_wanted(n, allowed is not None and not prefilter)
     owner = t.chunks.join(t.files.select("file_id", "document_id"), "file_id").select("chunk_id", "document_id")
     vectors, words = t.vectors, t.postings if t.postings is not None else postings(t.chunks)
-    size = corpus_size(words)
+    size = t.size if t.size is not None and t.postings is not None else corpus_size(words)
     if allowed is not None and prefilter:
         inside = owner.join(allowed, "document_id", "left_semi").select("chunk_id")
         vectors, words = vectors.join(inside, "chunk_id", "left_semi"), words.join(inside, "chunk_id", "left_semi")
@@ -189,14 +190,12 @@ def search(
     results = hydrate(by_document(hits, agg), t)
     if facets is not None:
         results = results.join(facets, "qid", "left")
-        creators = F.lower(F.coalesce(F.col("meta")["creators"], F.lit("")))
+        creators = fold(F.coalesce(F.col("meta")["creators"], F.lit("")))
         factor = facet_multiplier(F.col("facets"), F.col("tags"), F.col("authors"), creators, F.col("doc_type")) * year_factor(F.col("meta")["year"], F.col("year_from"), F.col("year_to"))
         results = results.withColumn("score", F.col("score") * factor).drop("facets", "year_from", "year_to")
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "first_rank")
     results = results.withColumn("rank", F.row_number().over(order))
     if dedup:
-        from lodestone.functions.text import fold
-
         results = results.withColumn("title_key", fold(F.col("title"))).withColumn("year", F.col("meta")["year"])
         results = collapse_duplicates(results).drop("title_key", "year")
         results = results.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))

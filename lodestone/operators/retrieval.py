@@ -11,13 +11,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import index_terms, query_terms
 
-#: Queries that are sent to the tasks at once; more are answered block by block.
-QUERY_BLOCK = 4096
+#: Queries that are sent to the tasks at once, and hits that a task keeps for them; more are answered block by block.
+QUERY_BLOCK, HITS_BLOCK = 4096, 4_000_000
+#: Folders of stored postings, by a hash of the term: a search reads those of its words.
+BUCKETS = 64
 RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
 
@@ -46,12 +48,13 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, similarity, vec_rank): the k chunks of the largest cosine for each query, ties to the smaller id.
 
     vectors is (chunk_id, embedding), queries (qid, embedding), all of one dimension; null vectors take no part.
-    Vectors are read once for each block of QUERY_BLOCK queries and never shuffled; each task returns k rows a query.
+    Vectors are read once for each block of QUERY_BLOCK queries (fewer if k is large) and never shuffled; each task
+    returns k rows a query.
     """
     spark = vectors.sparkSession
     rows = vectors.where("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding")
     asked = queries.where("embedding is not null").select(F.col("qid").cast("long"), F.col("embedding").cast("array<double>"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // max(1, min(QUERY_BLOCK, HITS_BLOCK // max(1, k)))))
     found = []
     for i in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked
@@ -72,19 +75,29 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, len) of (chunk_id, text)."""
-    words = chunks.select("chunk_id", index_terms(F.col("text")).alias("words"))
-    terms = words.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term"))
-    return terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")).select("term", "chunk_id", "tf", "len")
+    """(term, chunk_id, tf, len) of (chunk_id, text), one row for each chunk.  Words are sorted and counted within the row, without a shuffle."""
+    words = chunks.select("chunk_id", F.sort_array(index_terms(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    new = lambda i: (i == 1) | (F.element_at("words", i) != F.get("words", i - 2))
+    runs = words.select("chunk_id", "words", F.filter(F.sequence(F.lit(1), F.size("words")), new).alias("starts"))
+    run = lambda at, i: F.struct(F.element_at("words", at).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("words") + 1) - at).cast("long").alias("tf"))
+    counted = runs.select("chunk_id", F.size("words").alias("len"), F.explode(F.transform("starts", run)).alias("run"))
+    return counted.select("run.term", "chunk_id", "run.tf", "len")
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def bm25(index: DataFrame, queries: DataFrame, k: int, n_chunks: int, total_len: int) -> DataFrame:
     """(qid, chunk_id, bm25, fts_rank): any of the query's words may match; a word that the query repeats counts again.
 
     index is postings(chunks); n_chunks and total_len count the corpus.  A word in more than half of all chunks
-    weighs 1e-6.  Only postings of asked words are read into the join.
+    weighs 1e-6.  Of an index stored by `bucket`, only the folders of asked words are read.
     """
     words = queries.select("qid", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    if "bucket" in index.columns:
+        asked_buckets = [r[0] for r in words.select(bucket_of(F.col("term"))).distinct().collect()]  # BUCKETS at most
+        index = index.where(F.col("bucket").isin(asked_buckets)).drop("bucket")
     asked = index.join(words.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -98,8 +111,8 @@ def bm25(index: DataFrame, queries: DataFrame, k: int, n_chunks: int, total_len:
 
 def corpus_size(index: DataFrame) -> tuple[int, int]:
     """Chunks with any word, and words in all, for bm25()."""
-    row = index.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*"), F.sum("len")).first()
-    return int(row[0]), int(row[1] or 0)
+    row = index.agg(F.sum(F.col("tf") / F.col("len")), F.sum("tf")).first()  # a chunk's shares add up to 1
+    return round(row[0] or 0), int(row[1] or 0)
 
 
 def rrf(vector_hits: DataFrame, text_hits: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(cores: str | int = 8, app: str = "lodestone") -> SparkSession:
-    """A local session, or the running one.  On a cluster the submitter's configuration applies instead."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.driver.memory", os.environ.get("LODESTONE_DRIVER_MEMORY", "8g"))
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+    """The running session, or a new one.  Under spark-submit master, memory and partitions are the submitter's; plain Python gets a local session."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # set by spark-submit
+        local = {
+            "spark.master": f"local[{cores}]",
+            "spark.driver.memory": os.environ.get("LODESTONE_DRIVER_MEMORY", "8g"),
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        }
+        builder = builder.config(map=local)
+    return builder.getOrCreate()
