@@ -1,4 +1,4 @@
-"""The command line: index, search, live, status, catalog."""
+"""The command line: index, search, live, status, and catalog list, pending, approve, reject and seed."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from lodestone.errors import EnvironmentFailure, UsageError
-from lodestone.functions.text import fold_text
 from lodestone.functions.vectors import get_embedder
+from lodestone.operators.catalog import Catalog, listing, lookup_authors, review, seed, term_groups
 from lodestone.operators.documents import search
 from lodestone.output import lines
 from lodestone.plans.index import Index, index_name
@@ -40,14 +40,40 @@ def _index(spark, args, create: bool = False) -> Index:
 def _search(spark, index: Index, text: str, args):
     asked = spark.createDataFrame([(0, text)], "qid long, query string")
     embed = get_embedder(index.manifest["meta"]["embedder"], index.manifest["meta"]["model"])
-    groups = lambda terms: [[fold_text(t)] for t in terms or []]
-    return lines(search(index.tables(), asked, embed, args.n, args.agg, not args.no_hybrid, not args.no_dedup, groups(args.tag), [[a] for a in args.author or []], [args.type] if args.type else None), args.json)
+    tags, authors, types = facet_groups(spark, index.catalog(), args.tag or [], args.author or [], args.type)
+    return lines(search(index.tables(), asked, embed, args.n, args.agg, not args.no_hybrid, not args.no_dedup, tags, authors, types), args.json)
+
+
+def facet_groups(spark, catalog: Catalog, tags: list[str], authors: list[str], doc_type: str | None) -> tuple[list[list[str]], list[list[str]], list[str] | None]:
+    """Facet values with the equivalent names that the catalog has; an unknown one stands for itself."""
+    asked = [("tag", t) for t in tags] + ([("doctype", doc_type)] if doc_type else [])
+    found = {}
+    if asked:
+        found = {(r["kind"], r["term"]): r["group"] for r in term_groups(spark.createDataFrame(asked, "kind string, term string"), catalog).collect()}
+    people = lookup_authors(authors, catalog)
+    return [found["tag", t] for t in tags], [people[a] for a in authors], found["doctype", doc_type] if doc_type else None
+
+
+def _catalog(spark, index: Index, args) -> list[str]:
+    """Lists or changes the stored catalog."""
+    c = index.catalog()
+    if args.action == "list":
+        return [f"{r['usage']}\t{r['name']}\t{r['aliases']}" for r in listing(c, args.value or "tag").collect()]
+    if args.action == "seed":
+        index.set_catalog(seed(c, spark.read.text(args.value), "tag", get_embedder(index.manifest["meta"]["embedder"], index.manifest["meta"]["model"])))
+        return []
+    if args.action != "pending":
+        if not (args.value or "").isdigit():
+            raise UsageError(f"catalog {args.action} needs the number of a merge")
+        index.set_catalog(review(c, int(args.value), args.action == "approve"))
+    rows = index.catalog().merges.where("status = 'pending'").orderBy("id").collect()
+    return [f"{r['id']}\t{r['kind']}\t{r['keep_name']}\t{r['drop_name']}\t{r['rationale']}" for r in rows]
 
 
 def run(argv: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="lodestone")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("index", "search", "live", "status"):
+    for name in ("index", "search", "live", "status", "catalog"):
         p = commands.add_parser(name)
         p.add_argument("directory")
         p.add_argument("--db")
@@ -58,6 +84,9 @@ def run(argv: list[str]) -> int:
             p.add_argument("--source", default="auto")
             p.add_argument("--limit", type=int)
             p.add_argument("--stop-at")
+        if name == "catalog":
+            p.add_argument("action", choices=["list", "pending", "approve", "reject", "seed"])
+            p.add_argument("value", nargs="?", help="a kind, a merge's number, or a vocabulary file")
         if name == "search":
             p.add_argument("query")
         if name in ("search", "live"):
@@ -81,6 +110,8 @@ def run(argv: list[str]) -> int:
         while until and datetime.now() < until and counts["new"] + counts["changed"] + counts["retry"]:
             counts = index.sync(source, text, limit=100, **settings)
         print(", ".join(f"{n} {k}" for k, n in counts.items()), file=sys.stderr)
+    elif args.command == "catalog":
+        print("\n".join(_catalog(spark, _index(spark, args), args)))
     elif args.command == "search":
         for row in _search(spark, _index(spark, args), args.query, args).collect():
             print(row["line"])

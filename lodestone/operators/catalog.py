@@ -18,6 +18,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.errors import UsageError
 from lodestone.functions.text import fold, fold_text, given_compatible, given_words, strip_variants, surname
 
 KINDS = ("tag", "author", "doctype")
@@ -171,7 +172,9 @@ def names_agree(a: list[str], b: list[str]) -> bool:
 
 
 def ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, fold_text(a), fold_text(b)).ratio()
+    """The likeness of two names as `last given`, folded and without dots."""
+    flat = lambda name: " ".join([(s := split_author(name))[0], *s[1]]).strip()
+    return difflib.SequenceMatcher(None, flat(a), flat(b)).ratio()
 
 
 @dataclass
@@ -183,6 +186,8 @@ class State:
     alias: dict[str, str] = field(default_factory=dict)
     vectors: dict[str, list[float]] = field(default_factory=dict)
     merges: list[tuple[str, str, str]] = field(default_factory=list)
+    #: Merges that already wait for review.
+    pending: set[tuple[str, str]] = field(default_factory=set)
 
     def find(self, folded: str) -> str | None:
         return folded if folded in self.usage else self.alias.get(folded)
@@ -195,20 +200,27 @@ class State:
             self.alias.setdefault(alias, name)
 
     def propose(self, keep: str, drop: str, why: str) -> None:
-        if keep != drop and not any((k, d) == (keep, drop) for k, d, _ in self.merges):
+        if keep != drop and (keep, drop) not in self.pending:
+            self.pending.add((keep, drop))
             self.merges.append((keep, drop, why))
 
+    def closest(self, name: str) -> tuple[float, str]:
+        """The name most alike and its ratio, the most used one of equals."""
+        return max(((ratio(name, n), n) for n in self.ordered()), key=lambda x: x[0], default=(0.0, ""))
+
     def resolve_term(self, raw: str, vec: list[float] | None, adjudicate: Callable[[str, str, list[str]], str | None] | None = None) -> str:
         """The entity a term belongs to: by name or alias, by similarity, by decision, or a new one."""
         term = fold_text(raw)
+        if not term:
+            raise UsageError(f"empty {self.kind} name")
         name = self.find(term)
         if name is None and vec is not None and self.vectors:
             near = sorted(((_cosine(vec, v), n) for n, v in self.vectors.items() if len(v) == len(vec)), key=lambda x: (-x[0], x[1]))[:5]
             if near and near[0][0] >= AUTO:
                 name = near[0][1]
             elif near and near[0][0] >= GRAY and adjudicate is not None:
-                choice = adjudicate(self.kind, term, [n for _, n in near])
-                name = choice if choice in self.usage else None
+                choice = adjudicate(self.kind, term, [n for similarity, n in near if similarity >= GRAY])
+                name = self.find(fold_text(choice)) if choice else None
             if name is not None:
                 self.add_alias(name, term)
         if name is None:
@@ -222,6 +234,8 @@ class State:
     def resolve_author(self, raw: str) -> str:
         """The author a name belongs to; a fuller given name becomes canonical, a close spelling proposes a merge."""
         raw = " ".join(raw.split())
+        if not raw:
+            raise UsageError("empty author name")
         name = raw if raw in self.usage else self.alias.get(raw)
         last, given = split_author(raw)
         if name is None:
@@ -237,7 +251,7 @@ class State:
                         self.add_alias(other, raw)
                     break
         if name is None:
-            close = max(((ratio(raw, n), n) for n in self.ordered()), default=(0.0, ""))
+            close = self.closest(raw)
             self.usage[raw] = 0
             name = raw
             if close[0] >= FUZZY:
@@ -256,7 +270,7 @@ class State:
             other_last, other_given = split_author(other)
             if other_last == last and names_agree(given, other_given):
                 return other
-        close = max(((ratio(flipped, n), n) for n in self.ordered()), default=(0.0, ""))
+        close = self.closest(flipped)
         return close[1] if close[0] >= FUZZY else None
 
     def apply_merge(self, keep: str, drop: str) -> None:
@@ -281,10 +295,15 @@ def _fold(key: tuple, mentions: pd.DataFrame, known: pd.DataFrame, adjudicate: C
             state.usage[row.name_] = int(row.number)
         elif row.what == "alias":
             state.alias[row.other] = row.name_
+        elif row.what == "merge":
+            state.pending.add((row.name_, row.other))
         elif row.what == "vector":
             state.vectors[row.name_] = list(row.vec)
     out = []
     for row in mentions.sort_values("pos").itertuples():
+        if not (row.term or "").strip():
+            out.append(("mention", key[0], None, row.term, int(row.pos), None))
+            continue
         vec = None if row.vec is None else list(row.vec)
         name = state.resolve_author(row.term) if key[0] == "author" else state.resolve_term(row.term, vec, adjudicate)
         out.append(("mention", key[0], name, row.term, int(row.pos), None))
@@ -296,7 +315,10 @@ def _fold(key: tuple, mentions: pd.DataFrame, known: pd.DataFrame, adjudicate: C
 
 
 def resolve(mentions: DataFrame, c: Catalog, adjudicate: Callable[[str, str, list[str]], str | None] | None = None) -> tuple[DataFrame, Catalog]:
-    """Resolves mentions (kind, term, pos, vec) in the order of pos: (kind, term, pos, name), and the catalog after them."""
+    """Resolves mentions (kind, term, pos, vec) in the order of pos: (kind, term, pos, name), and the catalog after them.
+
+    Null and blank terms have no name.  Merges that already wait for review are not proposed again.
+    """
     from lodestone.plans.materialize import cut
 
     none = F.lit(None).cast("string")
@@ -305,6 +327,7 @@ def resolve(mentions: DataFrame, c: Catalog, adjudicate: Callable[[str, str, lis
         c.entities.select(F.lit("entity").alias("what"), "kind", F.col("name").alias("name_"), none.alias("other"), F.col("usage").alias("number"), novec.alias("vec"), F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("usage"), "name")).alias("pos"))
         .unionByName(c.aliases.select(F.lit("alias").alias("what"), "kind", F.col("name").alias("name_"), F.col("alias").alias("other"), F.lit(0).cast("long").alias("number"), novec.alias("vec"), F.lit(0).alias("pos")))
         .unionByName(c.vectors.select(F.lit("vector").alias("what"), "kind", F.col("name").alias("name_"), none.alias("other"), F.lit(0).cast("long").alias("number"), "vec", F.lit(0).alias("pos")))
+        .unionByName(c.merges.where("status = 'pending'").select(F.lit("merge").alias("what"), "kind", F.col("keep_name").alias("name_"), F.col("drop_name").alias("other"), F.lit(0).cast("long").alias("number"), novec.alias("vec"), F.lit(0).alias("pos")))
     )
     asked = mentions.select("kind", "term", "pos", "vec")
     folded = cut(asked.groupBy("kind").cogroup(known.groupBy("kind")).applyInPandas(_with(adjudicate), _FOLDED), "catalog")
@@ -345,18 +368,58 @@ def review(c: Catalog, merge_id: int, approve: bool) -> Catalog:
     return Catalog(entities, aliases.dropDuplicates(["kind", "alias"]), c.vectors.where(~mine), merges)
 
 
-def seed(c: Catalog, lines: DataFrame, kind: str = "tag") -> Catalog:
-    """The catalog with a vocabulary's tags (usage 0 if new) and variants as aliases; seeding again changes nothing.  lines is (value)."""
+def seed(c: Catalog, lines: DataFrame, kind: str = "tag", embed: Callable[[Column], Column] | None = None) -> Catalog:
+    """The catalog with a vocabulary's tags (usage 0 if new) and variants as aliases; seeding again changes nothing.
+
+    lines is (value), in the order of its rows.  A name that the catalog knows, as an entity or an alias, stays what it
+    is; a new one is what it first occurs as.  With embed, a function from a text column to an array<double> column,
+    new tags get vectors.
+    """
 
     @F.pandas_udf("struct<tag: string, variants: array<string>>")
     def parsed(values: pd.Series) -> pd.DataFrame:
         rows = [strip_variants(v or "") or (None, []) for v in values]
         return pd.DataFrame({"tag": [fold_text(t) if t else None for t, _ in rows], "variants": [[fold_text(x) for x in v] for _, v in rows]})
 
-    read = lines.select(parsed("value").alias("p")).select("p.tag", "p.variants").where("tag is not null")
-    entities = read.select(F.lit(kind).alias("kind"), F.col("tag").alias("name")).distinct().join(c.entities, ["kind", "name"], "left_anti").withColumn("usage", F.lit(0).cast("long"))
-    aliases = read.select(F.lit(kind).alias("kind"), F.explode("variants").alias("alias"), F.col("tag").alias("name")).where("alias <> name")
-    return Catalog(c.entities.unionByName(entities), c.aliases.unionByName(aliases.join(c.aliases, ["kind", "alias"], "left_anti")).dropDuplicates(["kind", "alias"]), c.vectors, c.merges)
+    read = lines.select(F.monotonically_increasing_id().alias("n"), parsed("value").alias("p")).select("n", "p.tag", "p.variants").where("length(tag) > 0")
+    named = read.select("n", "tag", F.posexplode(F.array_union(F.array("tag"), "variants")).alias("j", "name")).where("length(name) > 0")
+    known = c.entities.select("kind", "name").union(c.aliases.select("kind", "alias")).where(F.col("kind") == kind).select("name")
+    first = named.groupBy("name").agg(F.min(F.struct("n", "j", "tag")).alias("first")).select("name", "first.j", "first.tag").join(known, "name", "left_anti")
+    entities = first.where("j = 0").select(F.lit(kind).alias("kind"), "name", F.lit(0).cast("long").alias("usage"))
+    new = first.where("j > 0").select(F.lit(kind).alias("kind"), F.col("name").alias("alias"), F.col("tag").alias("name"))
+    of = c.aliases.where(F.col("kind") == kind).unionByName(new).select(F.col("alias").alias("name"), F.col("name").alias("__of"))
+    aliases = new.join(of, "name", "left").select("kind", "alias", F.coalesce("__of", "name").alias("name"))
+    vectors = c.vectors if embed is None else c.vectors.unionByName(entities.select("kind", "name", embed(F.col("name")).alias("vec")))
+    return Catalog(c.entities.unionByName(entities), c.aliases.unionByName(aliases), vectors, c.merges)
+
+
+def lookup_authors(names: list[str], c: Catalog) -> dict[str, list[str]]:
+    """For each asked name the spellings of the author that it means: by name or alias, as `First Last`, by compatible given names, by the closest spelling; else itself.
+
+    Authors are compared where they lie; one row for each asked name comes back.  Nothing is created.
+    """
+    flipped = {n: n if "," in n or " " not in n.strip() else ", ".join(reversed(n.strip().rsplit(" ", 1))) for n in names}
+
+    @F.pandas_udf("struct<grade: int, ratio: double>")
+    def graded(asked: pd.Series, name: pd.Series, spellings: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, n, s in zip(asked, name, spellings, strict=True):
+            f, known = flipped[a], {n, *s}
+            (last, given), (other, theirs) = split_author(f), split_author(n)
+            alike = ratio(f, n)
+            grade = 3 if a in known or f in known else 2 if last == other and names_agree(given, theirs) else 1 if alike >= FUZZY else 0
+            out.append((grade, alike if grade == 1 else 0.0))
+        return pd.DataFrame(out, columns=["grade", "ratio"])
+
+    if not names:
+        return {}
+    spellings = c.aliases.where("kind = 'author'").groupBy("name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    authors = c.entities.where("kind = 'author'").join(spellings, "name", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    pairs = authors.withColumn("asked", F.explode(F.array(*[F.lit(n) for n in names]))).withColumn("g", graded("asked", "name", "aliases")).where("g.grade > 0")
+    order = Window.partitionBy("asked").orderBy(F.desc("g.grade"), F.desc("g.ratio"), F.desc("usage"), "name")
+    best = pairs.withColumn("r", F.row_number().over(order)).where("r = 1").select("asked", F.array_union(F.array("name"), "aliases").alias("group")).collect()
+    found = {r["asked"]: r["group"] for r in best}
+    return {n: found.get(n, [n]) for n in names}
 
 
 def is_generic(doc_type: Column) -> Column:

@@ -1,8 +1,12 @@
 """An index as a snapshot of Parquet tables with a JSON manifest.
 
 A sync compares a source listing with the known files, processes what is new, changed or pending in one distributed
-job, and writes the next snapshot beside the current one; the manifest, written last, makes it current.  Readers of
-an older manifest keep a consistent index.
+job, and writes the next snapshot beside the current one; a manifest of the next number, put in place last by one
+rename, makes it current.  Readers of an older manifest keep a consistent index, and a run that breaks off leaves
+the one before.
+
+Postings of the chunks are stored in folders by a hash of the term, and the manifest has the corpus sizes that BM25
+needs, so a search reads the postings of its words alone.
 """
 
 from __future__ import annotations
@@ -17,8 +21,11 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import UsageError
 from lodestone.functions.vectors import get_embedder
+from lodestone.operators.catalog import ALIASES, ENTITIES, MERGES, VECTORS, Catalog
 from lodestone.operators.chunking import get_chunker
 from lodestone.operators.documents import IndexTables
+from lodestone.operators.retrieval import bucket_of, corpus_size, postings
+from lodestone.plans.materialize import cut, release
 
 SCHEMA_VERSION = 2
 SCHEMAS = {
@@ -28,6 +35,11 @@ SCHEMAS = {
     "vectors": "chunk_id long, embedding array<double>",
     "doc_tags": "document_id long, tag string",
     "doc_authors": "document_id long, author string, seq int",
+    "postings": "bucket int, term string, chunk_id long, tf long, len int",
+    "entities": ENTITIES,
+    "aliases": ALIASES,
+    "term_vectors": VECTORS,
+    "merges": MERGES,
 }
 
 
@@ -71,18 +83,25 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, create: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self._exists("manifest.json"):
+        self.number = self._last()
+        if not self.number:
             if not create:
                 raise UsageError(f"no index at {self.path}; index the directory first")
             self.manifest: dict = {"schema_version": SCHEMA_VERSION, "tables": {}, "meta": {}}
         else:
-            self.manifest = json.loads(self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0])
+            self.manifest = json.loads(self.spark.read.text(f"{self.path}/{self._name(self.number)}", wholetext=True).first()[0])
 
     def _p(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _exists(self, name: str) -> bool:
-        return self._fs.exists(self._p(name))
+    @staticmethod
+    def _name(number: int) -> str:
+        return f"manifest-{number:012d}.json"
+
+    def _last(self) -> int:
+        """The number of the current manifest; 0 if there is none."""
+        found = self._fs.globStatus(self._p("manifest-*.json"))
+        return max((int(s.getPath().getName()[9:-5]) for s in found or []), default=0)
 
     def table(self, name: str) -> DataFrame:
         """A table of the current snapshot; columns that an older snapshot lacks are null (kind: body)."""
@@ -90,7 +109,8 @@ class Index:
         place = self.manifest["tables"].get(name)
         if not place:
             return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.parquet(f"{self.path}/{place}")
+        reader = self.spark.read.schema(schema) if name == "postings" else self.spark.read  # folders of no row have no schema
+        stored = reader.parquet(f"{self.path}/{place}")
         columns = []
         for part in schema.split(", "):
             column, kind = part.split(" ", 1)
@@ -100,7 +120,15 @@ class Index:
 
     def tables(self) -> IndexTables:
         t = {n: self.table(n) for n in SCHEMAS}
-        return IndexTables(t["documents"], t["files"], t["chunks"], t["vectors"], t["doc_tags"], t["doc_authors"])
+        size = self.manifest["meta"].get("corpus_size")
+        return IndexTables(t["documents"], t["files"], t["chunks"], t["vectors"], t["doc_tags"], t["doc_authors"], t["postings"] if size else None, tuple(size) if size else None)
+
+    def catalog(self) -> Catalog:
+        """The stored entity catalog."""
+        return Catalog(self.table("entities"), self.table("aliases"), self.table("term_vectors"), self.table("merges"))
+
+    def set_catalog(self, c: Catalog) -> None:
+        self.commit({"entities": c.entities, "aliases": c.aliases, "term_vectors": c.vectors, "merges": c.merges})
 
     def setting(self, key: str, asked: str | None, default: str | None) -> str:
         """The recorded setting; recorded now if it is not yet.  A different wish later is an error."""
@@ -116,19 +144,25 @@ class Index:
         return known
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes tables into a new folder, then the manifest that names them."""
+        """Writes tables into a new folder, then the manifest that names them; an error if another run committed meanwhile."""
         folder = f"snapshot-{uuid.uuid4().hex[:12]}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{folder}/{name}")
+            if name == "postings":
+                df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{name}")
+            else:
+                df.write.parquet(f"{self.path}/{folder}/{name}")
             self.manifest["tables"][name] = f"{folder}/{name}"
+        if "postings" in tables:
+            self.manifest["meta"]["corpus_size"] = list(corpus_size(self.table("postings")))
         self.manifest["meta"]["last_indexed"] = datetime.now(UTC).isoformat(timespec="seconds")
         self.manifest["schema_version"] = SCHEMA_VERSION
-        out = self._fs.create(self._p("manifest.tmp"), True)
+        written, place = self._p(f"{folder}.tmp"), self._p(self._name(self.number + 1))
+        out = self._fs.create(written, True)
         out.write(bytearray(json.dumps(self.manifest, indent=1).encode()))
         out.close()
-        if self._exists("manifest.json"):
-            self._fs.delete(self._p("manifest.json"), False)
-        self._fs.rename(self._p("manifest.tmp"), self._p("manifest.json"))
+        if self._last() != self.number or not self._fs.rename(written, place):
+            raise UsageError(f"another run changed the index at {self.path}")
+        self.number += 1
 
     def sync(
         self,
@@ -144,7 +178,9 @@ class Index:
         """Brings the index up to date with source (key, title, path, fingerprint[, meta, content ...]) and returns counts.
 
         `text` extracts a row's text (null: no_text).  With a limit only so many new or changed files are processed,
-        by path, and nothing is removed, so the next run resumes.  tags(documents) may give (document_id, tag).
+        by path; while more are left nothing is removed, and the next run resumes.  tags(documents) may give
+        (document_id, tag).  An embedder whose vectors have another dimension than the stored ones is an error, and
+        the index stays as it was.
         """
         chunk = get_chunker(self.setting("chunker", chunker, "paragraph"), **(chunk_settings or {}))
         embed = get_embedder(self.setting("embedder", embedder, "hashed-words"), self.setting("model", model, "hashed-words-32"))
@@ -155,13 +191,22 @@ class Index:
         if limit is not None:
             todo = todo.orderBy("path").limit(limit)
         counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
-        gone = states.where("state = 'removed'").select("path") if limit is None else states.where("false").select("path")
+        finished = limit is None or sum(counts.get(s, 0) for s in ("new", "changed", "retry")) <= limit
+        gone = states.where("state = 'removed'").select("path") if finished else states.where("false").select("path")
 
         work = rows.join(todo.select("path"), "path", "left_semi").withColumn("text", text)
         work = work.withColumn("document_id", stable_id("key")).withColumn("file_id", stable_id("path"))
+        work = cut(work.select("document_id", "file_id", "path", "fingerprint", "title", "text"), "index-texts")
         new_files = work.select("file_id", "document_id", "path", "fingerprint", F.when(F.col("text").isNull(), "no_text").otherwise("ok").alias("status"))
         pieces = work.where("text is not null").select("file_id", F.posexplode(chunk(F.col("text"), F.col("title"))).alias("seq", "text"))
         new_chunks = pieces.select(stable_id("file_id", "seq").alias("chunk_id"), "file_id", "seq", "text", F.lit("body").alias("kind"))
+        new_chunks = cut(new_chunks.withColumn("embedding", embed(F.col("text"))), "index-chunks")
+        dims = [r["d"] for r in new_chunks.select(F.size("embedding").alias("d")).distinct().limit(2).collect()]
+        if len({*dims, *([self.manifest["meta"]["dim"]] if "dim" in self.manifest["meta"] else [])}) > 1:
+            release(work, new_chunks)
+            raise UsageError("the embedder changed its dimension; index into a new directory")
+        if dims:
+            self.manifest["meta"]["dim"] = dims[0]
         replaced = todo.select("path").unionByName(gone)
         old = files.join(replaced, "path", "left_anti")
         kept_chunks = self.table("chunks").join(old.select("file_id"), "file_id", "left_semi")
@@ -178,26 +223,28 @@ class Index:
             {
                 "files": all_files,
                 "documents": all_documents,
-                "chunks": kept_chunks.unionByName(new_chunks),
-                "vectors": kept_vectors.unionByName(new_chunks.select("chunk_id", embed(F.col("text")).alias("embedding"))),
+                "chunks": kept_chunks.unionByName(new_chunks.drop("embedding")),
+                "vectors": kept_vectors.unionByName(new_chunks.select("chunk_id", "embedding")),
+                "postings": self._postings(new_chunks).unionByName(self.table("postings").join(kept_chunks.select("chunk_id"), "chunk_id", "left_semi").select("bucket", "term", "chunk_id", "tf", "len")),
                 "doc_authors": authors,
                 "doc_tags": tagged.join(all_documents.select("document_id"), "document_id", "left_semi").distinct(),
             }
         )
-        dims = self.table("vectors").select(F.size("embedding").alias("d")).distinct().limit(2).collect()
-        if len(dims) > 1:
-            raise UsageError("the embedder changed its dimension; index into a new directory")
-        if dims:
-            self.manifest["meta"].setdefault("dim", dims[0]["d"])
+        release(work, new_chunks)
         return {s: counts.get(s, 0) for s in ("new", "changed", "retry", "unchanged", "removed")}
 
+    @staticmethod
+    def _postings(chunks: DataFrame) -> DataFrame:
+        return postings(chunks).select(bucket_of(F.col("term")).alias("bucket"), "term", "chunk_id", "tf", F.col("len").cast("int").alias("len"))
+
     def remove(self, paths: list[str]) -> None:
         """Forgets files, their chunks and vectors, and documents that are left without any."""
         files = self.table("files").where(~F.col("path").isin(paths))
         chunks = self.table("chunks").join(files.select("file_id"), "file_id", "left_semi")
         documents = prune(self.table("documents"), files)
         only = lambda n: self.table(n).join(documents.select("document_id"), "document_id", "left_semi")
-        self.commit({"files": files, "chunks": chunks, "vectors": self.table("vectors").join(chunks.select("chunk_id"), "chunk_id", "left_semi"), "documents": documents, "doc_tags": only("doc_tags"), "doc_authors": only("doc_authors")})
+        of_kept = lambda n: self.table(n).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select(*self.table(n).columns)
+        self.commit({"files": files, "chunks": chunks, "vectors": of_kept("vectors"), "postings": of_kept("postings"), "documents": documents, "doc_tags": only("doc_tags"), "doc_authors": only("doc_authors")})
 
     def set_facets(self, doc_types: DataFrame | None = None, doc_tags: DataFrame | None = None, doc_authors: DataFrame | None = None) -> None:
         """Replaces the type (document_id, doc_type), tags or authors of the documents named."""

@@ -67,3 +67,26 @@ def test_doc_types(spark, proposed, forced, size, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(cat.resolve_doc_type(F.lit(proposed), F.lit(forced), F.lit(size)).alias("t")).first().t == want
+
+
+def test_pending_merges_and_blank_names(spark):
+    c = cat.Catalog.empty(spark)
+    c.entities = spark.createDataFrame([("author", "King, Ada B.", 3)], cat.ENTITIES)
+    c.merges = spark.createDataFrame([(4, "author", "King, Ada B.", "Kinng, Ada B.", "why", "pending")], cat.MERGES)
+    rows = [("author", "Kinng, Ada B.", 0, None), ("author", " ", 1, None), ("author", "Kingg, Ada B.", 2, None)]
+    found, after = cat.resolve(spark.createDataFrame(rows, "kind string, term string, pos long, vec array<double>"), c)
+    assert [(r.pos, r.name) for r in found.orderBy("pos").collect()] == [(0, "Kinng, Ada B."), (1, None), (2, "Kingg, Ada B.")]
+    assert sorted((r.id, r.drop_name) for r in after.merges.collect()) == [(4, "Kinng, Ada B."), (5, "Kingg, Ada B.")]
+
+
+def test_seeding_leaves_known_names(spark):
+    from pyspark.sql import functions as F
+
+    c = cat.Catalog.empty(spark)
+    c.entities = spark.createDataFrame([("tag", "a", 2), ("tag", "d", 1)], cat.ENTITIES)
+    c.aliases = spark.createDataFrame([("tag", "x", "a")], cat.ALIASES)
+    lines = spark.createDataFrame([("x # = z",), ("b # = d, y",), ("y",), ("e",)], "value string").coalesce(1)
+    got = cat.seed(c, lines, embed=lambda t: F.array(F.length(t).cast("double")))
+    assert sorted((r.name, r.usage) for r in got.entities.collect()) == [("a", 2), ("b", 0), ("d", 1), ("e", 0)]
+    assert sorted((r.alias, r.name) for r in got.aliases.collect()) == [("x", "a"), ("y", "b"), ("z", "a")]
+    assert sorted(r.name for r in got.vectors.collect()) == ["b", "e"]

@@ -146,3 +146,59 @@ def test_providers():
     assert parse_query(lambda _: None, "q")["semantic_query"] == "q"
     assert propose_ranking(lambda _: '{"ranking": [1, "x", 0]}', "q", ["a", "b"]) == [1, 0] and propose_ranking(lambda _: "", "q", []) is None
     assert adjudicator(lambda _: '{"choice": "b"}')("tag", "t", ["a", "b"]) == "b" and adjudicator(lambda _: '{"choice": "NEW"}')("tag", "t", ["a"]) is None
+
+
+def test_stored_postings_manifest_and_dimension(spark, folder, tmp_path):
+    from lodestone.functions import vectors as vec
+    from lodestone.operators.retrieval import corpus_size, postings
+
+    index = Index(spark, str(tmp_path / "index"), create=True)
+    index.sync(src.scan_directory(spark, str(folder)), text())
+    made = postings(index.table("chunks"))
+    stored = index.tables().postings.drop("bucket")
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, made.select(*stored.columns).collect()))
+    assert index.tables().size == corpus_size(made) == (2, 14)
+    assert os.path.exists(tmp_path / "index" / "manifest-000000000001.json")
+    other = Index(spark, str(tmp_path / "index"))
+    index.remove(["blank.txt"])
+    with pytest.raises(UsageError):
+        other.remove(["stars.txt"])
+    assert Index(spark, str(tmp_path / "index")).number == 2
+    vec.register_embedder("short", lambda model: lambda t: F.array(F.length(t).cast("double")))
+    index.manifest["meta"]["embedder"] = "short"
+    (folder / "more.txt").write_text("one more")
+    with pytest.raises(UsageError):
+        index.sync(src.scan_directory(spark, str(folder)), text())
+    assert Index(spark, str(tmp_path / "index")).number == 2
+
+
+def test_limit_removes_once_all_is_done(spark, folder, tmp_path):
+    index = Index(spark, str(tmp_path / "index"), create=True)
+    index.sync(src.scan_directory(spark, str(folder)), text(), limit=3)
+    (folder / "blank.txt").unlink()
+    (folder / "stars.txt").write_text("changed text")
+    (folder / "new.txt").write_text("a new text")
+    index.sync(src.scan_directory(spark, str(folder)), text(), limit=1)
+    assert index.table("files").where("path like '%blank.txt'").count() == 1
+    index.sync(src.scan_directory(spark, str(folder)), text(), limit=1)
+    assert index.table("files").where("path like '%blank.txt'").count() == 0
+
+
+def test_stored_catalog_and_facets(spark, folder, tmp_path):
+    from lodestone.cli import facet_groups
+    from lodestone.operators import catalog as cat
+
+    index = Index(spark, str(tmp_path / "index"), create=True)
+    index.sync(src.scan_directory(spark, str(folder)), text())
+    c = cat.Catalog.empty(spark)
+    c.entities = spark.createDataFrame([("tag", "sky", 1), ("author", "King, Ada B.", 3)], cat.ENTITIES)
+    c.aliases = spark.createDataFrame([("tag", "heaven", "sky"), ("author", "King, A.", "King, Ada B.")], cat.ALIASES)
+    index.set_catalog(c)
+    got = facet_groups(spark, Index(spark, str(tmp_path / "index")).catalog(), ["Heaven", "new"], ["Ada King", "Kinng, Ada B.", "Nobody, X"], "Note")
+    assert got == ([["sky", "heaven"], ["new"]], [["King, Ada B.", "King, A."]] * 2 + [["Nobody, X"]], ["note"])
+
+
+def test_years_weights_and_authors_of_a_parsed_query():
+    said = json.dumps({"semantic_query": "q", "authors": [{"name": "Müller, J.", "weight": "0.5"}, {"name": "x", "weight": None}], "year_from": "1999", "year_to": 0})
+    got = parse_query(lambda _: said, "q")
+    assert got["facets"] == [{"terms": ["Müller, J."], "weight": 0.5, "kind": "author"}] and (got["year_from"], got["year_to"]) == (1999, None)
