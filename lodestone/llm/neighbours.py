@@ -6,15 +6,17 @@ sums from book to book.  The index stores the codes and a norm ratio.  A query t
 products with all codewords, so that a candidate's score is a few lookups; the best of each index group are scored
 again on the original vectors in double precision.
 
-Queries and index meet in blocks: each pair of an index group (GROUP_ROWS rows) and a query block is one group of
-a cogrouped map, so no task holds more than one of each.
+Neither index nor vectors are shuffled: a block of QUERY_ROWS queries goes to the tasks, each of which reads its part
+of the index in groups of GROUP_ROWS rows, scores the best of each group exactly and returns its k best of each query.
+Blocks are answered in waves of WAVE, so plans stay small.  Every query meets every code, which is the part that
+grows with the product of both tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import trimmed
 from lodestone.plans.materialize import cut
 
 GROUP_ROWS = 16_384
-QUERY_ROWS = 1_024
+QUERY_ROWS = 4_096
+WAVE = 32
+RESULT = "query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -114,38 +119,59 @@ def _index(batches: Iterator[pa.RecordBatch], shared: Broadcast, beam: int) -> I
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blobs, *norms], names=["id", "vector", "codes", "ratio", "rest"])
 
 
-def _search(key: tuple, left: pa.Table, right: pa.Table, shared: Broadcast, q: AdditiveQuantiser, k: int) -> pa.Table:
-    """The k best of one index group for each query of one block, by exact score."""
-    books = shared.value
-    m, words, d = books.shape
-    left, right = left.combine_chunks(), right.combine_chunks()
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(left) and len(right):
-        left = left.sort_by("id")
-        ids = left["id"].to_numpy()
-        column = lambda t, c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
-        vectors = _matrix(column(left, "vector"), d, np.float64)
-        codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(-1, m)
-        ratio = left["ratio"].to_numpy()
-        asked, queries = right["qid"].to_numpy(), _matrix(column(right, "query"), d, np.float64)
-        tables = (queries.astype(np.float32) @ books.reshape(m * words, d).T).reshape(len(queries), m, words)
-        take, best = min(q.rerank + 1, len(ids)), min(k, len(ids) - 1)
-        margin = q.errors * np.sqrt(left["rest"].to_numpy().mean() / d) * np.sqrt((queries * queries).sum(1))
-        for at in range(0, len(queries), 64):
-            score = np.zeros((len(queries[at : at + 64]), len(ids)), np.float32)
-            for b in range(m):
-                score += tables[at : at + 64, b][:, codes[:, b]]
+class _Best:
+    """The k best candidates of each query of a block, while the index goes by in groups of rows."""
+
+    def __init__(self, asked: np.ndarray, queries: np.ndarray, books: np.ndarray, q: AdditiveQuantiser, k: int):
+        self.m, words, self.d = books.shape
+        self.asked, self.queries, self.q, self.k = asked, queries, q, k
+        self.tables = (queries.astype(np.float32) @ books.reshape(self.m * words, self.d).T).reshape(len(queries), self.m, words)
+        self.lengths = np.sqrt((queries * queries).sum(1))
+        self.found = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+
+    def add(self, group: pa.Table) -> None:
+        """Looks up the scores of a group, and scores the best of it exactly."""
+        group = group.combine_chunks()
+        column = lambda c: group[c].combine_chunks() if isinstance(group[c], pa.ChunkedArray) else group[c]
+        ids, vectors = group["id"].to_numpy(), _matrix(column("vector"), self.d, np.float64)
+        codes = np.frombuffer(b"".join(group["codes"].to_pylist()), np.uint8).reshape(-1, self.m)
+        ratio = group["ratio"].to_numpy()
+        take, kth = min(self.q.rerank + 1, len(ids)), min(self.k, len(ids) - 1)
+        margin = self.q.errors * np.sqrt(group["rest"].to_numpy().mean() / self.d) * self.lengths
+        for at in range(0, len(self.queries), 64):
+            score = np.zeros((len(self.queries[at : at + 64]), len(ids)), np.float32)
+            for b in range(self.m):
+                score += self.tables[at : at + 64, b][:, codes[:, b]]
             score *= ratio
-            ranked = -np.partition(-score, sorted({take - 1, best}), axis=1)
-            bounds = np.minimum(ranked[:, take - 1], ranked[:, best] - margin[at : at + 64])
+            ranked = -np.partition(-score, sorted({take - 1, kth}), axis=1)
+            bounds = np.minimum(ranked[:, take - 1], ranked[:, kth] - margin[at : at + 64])
             for row, bound in enumerate(bounds):
-                found = np.flatnonzero(score[row] >= bound)
-                found = found[ids[found] != asked[at + row]]
-                exact = (vectors[found] * queries[at + row]).sum(1)
-                order = np.lexsort((ids[found], -exact))[:k]
-                out.append((np.full(len(order), asked[at + row]), ids[found][order], exact[order]))
-    parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, (np.int64, np.int64, np.float64)[i]) for i in range(3)]
-    return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+                near = np.flatnonzero(score[row] >= bound)
+                near = near[ids[near] != self.asked[at + row]]
+                exact = (vectors[near] * self.queries[at + row]).sum(1)
+                before = self.found[at + row]
+                every, scores = np.concatenate([before[0], ids[near]]), np.concatenate([before[1], exact])
+                order = np.lexsort((every, -scores))[: self.k]
+                self.found[at + row] = every[order], scores[order]
+
+
+def _search(batches: Iterator[pa.RecordBatch], shared: Broadcast, q: AdditiveQuantiser, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score): the k best of this task's part of the index for each query of a block."""
+    books, asked, queries = shared.value
+    best = _Best(asked, queries, books, q, k)
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, len(batch), GROUP_ROWS):
+            waiting.append(batch.slice(at, GROUP_ROWS))
+            if sum(map(len, waiting)) >= GROUP_ROWS:
+                best.add(pa.Table.from_batches(waiting))
+                waiting = []
+    if sum(map(len, waiting)):
+        best.add(pa.Table.from_batches(waiting))
+    sizes = [len(ids) for ids, _ in best.found]
+    if sum(sizes):
+        columns = [np.repeat(asked, sizes), *(np.concatenate([f[i] for f in best.found]) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -161,7 +187,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, q: AdditiveQuan
 
     A query is not its own neighbour: candidates with the query's id are left out.  Of exactly equal vectors only
     the k + 1 of the smallest ids enter the index, as no other can be a result.  With fewer candidates than k all
-    are returned; empty tables give no rows.  Rows that repeat an id and a vector count once.
+    are returned; empty tables give no rows.  Rows that repeat an id and a vector count once; of the vectors that
+    repeat a query's id the smallest asks.
     """
     spark = vectors.sparkSession
     base = cut(usable(vectors, id_col, vector_col).dropDuplicates(["id", "vector"]), "ann-vectors")
@@ -172,19 +199,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, q: AdditiveQuan
     chance = F.pmod(F.xxhash64("id", F.lit(q.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = base.where(chance < share).select("id", "vector").toArrow().sort_by("id")["vector"].combine_chunks()
     d = len(base.first()["vector"])
-    shared = spark.sparkContext.broadcast(train(_matrix(sample, d, np.float64), q))
+    books = train(_matrix(sample, d, np.float64), q)
+    shared = spark.sparkContext.broadcast(books)
     among = Window.partitionBy("vector").orderBy("id")
     distinct = base.withColumn("same", F.row_number().over(among)).where(F.col("same") <= k + 1).drop("same")
     index = cut(distinct.mapInArrow(partial(_index, shared=shared, beam=q.beam), "id long, vector array<double>, codes binary, ratio float, rest float"), "ann-index")
-
-    asked = usable(queries, id_col, vector_col).select(F.col("id").alias("qid"), F.col("vector").alias("query")).dropDuplicates(["qid"])
-    asked = asked.where(F.size("query") == d)
-    groups, blocks = max(1, -(-n // GROUP_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
-    spread = lambda c, of, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(of))
-    left = index.withColumn("g", spread("id", groups, 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("b", spread("qid", blocks, 2)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    key = [F.col("g").cast("long"), F.col("b").cast("long")]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(partial(_search, shared=shared, q=q, k=k), "query_id long, vec_id long, score double")
+    shared.unpersist()
+
+    asked = usable(queries, id_col, vector_col).select(F.col("id").alias("qid"), F.col("vector").alias("query")).where(F.size("query") == d)
+    asked = asked.groupBy("qid").agg(F.min("query").alias("query"))
+    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-asked.count() // QUERY_ROWS))))), "ann-queries")
+    blocks = asked.agg(F.max("block")).first()[0]
+    parts = []
+    for wave in range(0, -1 if blocks is None else blocks + 1, WAVE):
+        sent, found = [], []
+        for block in range(wave, min(wave + WAVE, blocks + 1)):
+            table = asked.where(F.col("block") == block).toArrow().sort_by("qid")
+            if len(table):
+                sent.append(spark.sparkContext.broadcast((books, table["qid"].to_numpy(), _matrix(table["query"].combine_chunks(), d, np.float64))))
+                found.append(index.mapInArrow(partial(trimmed(_search), shared=sent[-1], q=q, k=k), RESULT))
+        parts.append(cut(reduce(DataFrame.union, found, spark.createDataFrame([], RESULT)), "ann-found"))
+        for s in sent:
+            s.unpersist()
+    found = reduce(DataFrame.union, parts, spark.createDataFrame([], RESULT))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
