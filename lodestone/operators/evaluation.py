@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.retrieval import QUERY_BLOCK
+
 
 def mean_reciprocal_rank(ranks: DataFrame, by: list[str]) -> DataFrame:
     """(by..., queries, mrr) of (by..., rank); a null rank counts as not found."""
@@ -50,9 +54,12 @@ def pair_means(vectors: DataFrame, by: str, similarity: Column) -> DataFrame:
 def pool_scores(queries: DataFrame, pool: DataFrame, similarity: Column) -> DataFrame:
     """(qid, document_id, score): each document's best similarity of its vectors in a pool, -1 for a document without any.
 
-    queries is (qid, x), pool (document_id, y) with a null y for documents without vectors.
+    queries is (qid, x), pool (document_id, y) with a null y for documents without vectors.  Blocks of QUERY_BLOCK
+    queries at most go to the pool's tasks.
     """
-    pairs = queries.withColumn("__k", F.lit(0)).join(pool.withColumn("__k", F.lit(0)), "__k")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    pairs = reduce(DataFrame.union, [pool.join(F.broadcast(queries.where(part == i)), F.lit(True)) for i in range(blocks)])
     return pairs.groupBy("qid", "document_id").agg(F.coalesce(F.max(F.when(F.col("y").isNotNull(), similarity)), F.lit(-1.0)).alias("score"))
 
 

@@ -11,7 +11,8 @@ from lodestone.functions import text as tx
 from lodestone.functions.ranking import parse_agg
 from lodestone.functions.vectors import cosine, hashed_words
 from lodestone.operators import documents as doc_ops
-from lodestone.operators.retrieval import bm25, corpus_size, knn, postings, rrf
+from lodestone.operators.retrieval import bm25, bucket_of, corpus_size, knn, postings, rrf
+from lodestone.plans.materialize import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,8 +138,13 @@ b AS (SELECT qid, doc_id AS chunk_id, round(sum(times * idf * tf * 2.2 / (tf + 1
 f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_id) AS fts_rank FROM b)"""
 
 
+def stored_postings(chunks: DataFrame) -> DataFrame:
+    """The postings of (chunk_id, text), written once: counts, document frequencies and hits read them."""
+    return cut(postings(chunks).select(bucket_of(F.col("term")).alias("bucket"), "term", "chunk_id", "tf", "len"), "postings")
+
+
 def _text_hits(spark, sf_dir, k):
-    index = postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    index = stored_postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return bm25(index, queries, k, *corpus_size(index))
 

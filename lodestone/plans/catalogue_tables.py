@@ -12,7 +12,9 @@ from lodestone.operators import evaluation as ev
 from lodestone.operators.chunking import chunk_rows, get_chunker
 from lodestone.output import tsv_line
 from lodestone.plans import index as ix
-from lodestone.plans.catalogue import _BM25, SQL, _text_hits, query, table
+from lodestone.functions.vectors import cosine, hashed_words
+from lodestone.operators.retrieval import corpus_size
+from lodestone.plans.catalogue import _BM25, _FUSED, SQL, _text_hits, query, stored_postings, table
 from lodestone.sources import files as src
 from lodestone.sources import library as lib
 from lodestone.streaming.live import newest
@@ -447,3 +449,71 @@ def chunk_conversations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     rows = chunk_rows(c, get_chunker("paragraph"), keep=("conv_id",))
     return rows.groupBy("conv_id").agg(F.sum(F.length(F.regexp_replace("text", r"(?U)\s+", ""))).cast("long").alias("ink"))
+
+
+# ---------------------------------------------------------------- the whole search
+
+
+@query(f"""WITH {_FUSED.replace("round(sum(q.x * d.x), 9)", "round(sum(q.x * d.x), 12)")},
+g AS (SELECT qid, coalesce(source, '') AS document_id, max(score) AS score, min(fused_rank) AS first_rank, arg_max(chunk_id, (score, -fused_rank)) AS best_chunk FROM r JOIN documents ON doc_id = chunk_id GROUP BY ALL),
+o AS (SELECT coalesce(source, '') AS document_id, count(*) AS files, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY ALL)
+SELECT qid, document_id, round(score, 9) AS score, best_chunk, rk::INT AS rank, files::INT AS files, langs, length(text)::INT AS best_chars
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first_rank) AS rk FROM g) JOIN o USING (document_id) JOIN documents ON doc_id = best_chunk WHERE rk <= 10""")
+def search_documents(spark, sf_dir):
+    """The whole hybrid search on stored postings: sources as documents, their texts as files of one chunk, languages as tags."""
+    d = table(spark, sf_dir, "documents").withColumn("document_id", F.coalesce("source", F.lit("")))
+    none = F.lit(None).cast("string")
+    sources = d.select("document_id").distinct().select("document_id", F.col("document_id").alias("key"), F.col("document_id").alias("title"), F.create_map().cast("map<string,string>").alias("meta"), none.alias("doc_type"))
+    files = d.select(F.col("doc_id").alias("file_id"), "document_id", F.col("doc_id").cast("string").alias("path"), none.alias("fingerprint"), F.lit("ok").alias("status"))
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit(0).alias("seq"), "text", F.lit("body").alias("kind"))
+    vectors = chunks.select("chunk_id", hashed_words(F.col("text")).alias("embedding"))
+    stored = stored_postings(chunks)
+    tags = d.where("lang is not null").select("document_id", F.col("lang").alias("tag")).distinct()
+    authors = spark.createDataFrame([], "document_id string, author string, seq int")
+    t = doc_ops.IndexTables(sources, files, chunks, vectors, tags, authors, stored, corpus_size(stored))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    got = doc_ops.search(t, asked, hashed_words, n=10)
+    return got.select("qid", "document_id", F.round("score", 9).alias("score"), "best_chunk", "rank", F.size("paths").alias("files"), F.array_join("tags", ",").alias("langs"), F.length("best_text").alias("best_chars"))
+
+
+# ---------------------------------------------------------------- more measures
+
+_COS = "list_dot_product(a.e, b.e) / greatest(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 1e-12)"
+
+
+@query(f"""WITH v AS (SELECT vec_id // 4 AS item, vec_id % 4 AS view, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT a.view AS a, b.view AS b, round(avg({_COS}), 3) AS mean FROM v a JOIN v b USING (item) WHERE a.view < b.view GROUP BY ALL""")
+def view_pair_means(spark, sf_dir):
+    """Mean similarity of each two of an item's four views."""
+    e = table(spark, sf_dir, "embeddings")
+    return ev.pair_means(e.select(F.floor(F.col("vec_id") / 4).alias("item"), (F.col("vec_id") % 4).alias("view"), F.col("embedding").alias("vec")), "item", cosine(F.col("x"), F.col("y")))
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT a.vec_id AS qid, b.label AS document_id, round(max({_COS}), 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 GROUP BY ALL""")
+def pool_best(spark, sf_dir):
+    """Each label's best similarity to each of some vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    got = ev.pool_scores(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("x")), e.select(F.col("label").alias("document_id"), F.col("embedding").alias("y")), cosine(F.col("x"), F.col("y")))
+    return got.select("qid", "document_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(exp(embedding[1]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)), 9) AS p FROM embeddings")
+def relevance_probability(spark, sf_dir):
+    """The probability of yes from two log probabilities."""
+    first = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(ev.yes_probability(first(0), first(1)), 9).alias("p"))
+
+
+@query("SELECT round(avg(value), 3) AS mean_s, max(value) AS max_s FROM events")
+def latency_summary(spark, sf_dir):
+    """Mean and largest latency."""
+    return ev.latency(table(spark, sf_dir, "events").select(F.col("value").alias("seconds")))
+
+
+@query("""WITH n AS (SELECT n_name || ' ' || r_name AS name, n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT id, regexp_replace(name, '^(.*\\S)\\s+(\\S+)$', '\\2, \\1') AS flipped FROM n""")
+def flip_names(spark, sf_dir):
+    """`First Last` as `Last, First`."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(F.col("n_nationkey").alias("id"), tx.flip_name(F.concat_ws(" ", "n_name", "r_name")).alias("flipped"))
