@@ -105,6 +105,7 @@ def test_scores_equal_a_pass_over_single_ids(blocks):
 
 def test_probabilities_sum_to_one(monkeypatch):
     monkeypatch.setattr(scoring, "TRAINED", 300)
+    monkeypatch.setattr(scoring, "CLUSTER", 64)
     counts = np.array([9.0, 0, 4] * 200 + [7])
     slots = scoring.Slots(counts)
     model = scoring.Attention(slots.counts, scoring.Training(dim=6))
