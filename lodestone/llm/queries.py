@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.bpe import op4_duckdb_byte_bpe
+from lodestone.llm.decisions import op11_learned_quality_rules
 from lodestone.llm.langid import op10_word_backoff_language_id
 from lodestone.llm.minhash import op1_superminhash_near_dedup
 from lodestone.llm.mixing import op8_pareto_source_mixing
@@ -25,6 +26,7 @@ QUERIES = [
     op8_pareto_source_mixing,
     op9_feistel_sharding,
     op10_word_backoff_language_id,
+    op11_learned_quality_rules,
     op12_periodic_runs,
 ]
 
