@@ -15,9 +15,10 @@ from lodestone.functions.vectors import get_embedder
 from lodestone.operators.catalog import Catalog, listing, lookup_authors, review, seed, term_groups
 from lodestone.operators.documents import search
 from lodestone.output import lines
-from lodestone.plans.index import Index, index_name
+from lodestone.plans.index import Index, index_name, skipped
 from lodestone.session import get_spark
-from lodestone.sources.files import extract_text, make_source
+from lodestone.sources.files import directory_arrivals, extract_text, make_source
+from lodestone.streaming.ingest import ingest
 
 
 def stop_time(at: str, now: datetime | None = None) -> datetime:
@@ -44,6 +45,12 @@ def _search(spark, index: Index, text: str, args):
     return lines(search(index.tables(), asked, embed, args.n, args.agg, not args.no_hybrid, not args.no_dedup, tags, authors, types), args.json)
 
 
+def _report(index: Index) -> str:
+    """What the last run did, and the files that have no text or failed."""
+    lines = ["processed: " + (", ".join(f"{n} {k}" for k, n in sorted(index.report.items())) or "nothing")]
+    return "\n".join([*lines, *(f"skipped: {r['path']} ({r['status']})" for r in skipped(index.table("files")).collect())])
+
+
 def facet_groups(spark, catalog: Catalog, tags: list[str], authors: list[str], doc_type: str | None) -> tuple[list[list[str]], list[list[str]], list[str] | None]:
     """Facet values with the equivalent names that the catalog has; an unknown one stands for itself."""
     asked = [("tag", t) for t in tags] + ([("doctype", doc_type)] if doc_type else [])
@@ -84,6 +91,7 @@ def run(argv: list[str]) -> int:
             p.add_argument("--source", default="auto")
             p.add_argument("--limit", type=int)
             p.add_argument("--stop-at")
+            p.add_argument("--arrivals", action="store_true", help="take only the files that arrived since the last such run")
         if name == "catalog":
             p.add_argument("action", choices=["list", "pending", "approve", "reject", "seed"])
             p.add_argument("value", nargs="?", help="a kind, a merge's number, or a vocabulary file")
@@ -102,14 +110,20 @@ def run(argv: list[str]) -> int:
     spark = get_spark()
     if args.command == "index":
         index = _index(spark, args, create=True)
-        source = make_source(spark, os.path.abspath(args.directory), args.source)
-        text = extract_text(F.col("content"), F.col("path"), F.col("content_type"))
+        text = extract_text(F.col("content"), F.col("path"), F.col("content_type"), errors=True)
         settings = {"chunker": args.chunker, "embedder": args.embedder, "model": args.model}
+        if args.arrivals:
+            arrived = directory_arrivals(spark, os.path.abspath(args.directory), args.limit or 1000)
+            ingest(index, arrived, text, "arrivals", f"{index.path}/arrivals", **settings).awaitTermination()
+            print(_report(index), file=sys.stderr)
+            return 0
+        source = make_source(spark, os.path.abspath(args.directory), args.source)
         until = stop_time(args.stop_at) if args.stop_at else None
         counts = index.sync(source, text, limit=args.limit or (100 if until else None), **settings)
         while until and datetime.now() < until and counts["new"] + counts["changed"] + counts["retry"]:
             counts = index.sync(source, text, limit=100, **settings)
         print(", ".join(f"{n} {k}" for k, n in counts.items()), file=sys.stderr)
+        print(_report(index), file=sys.stderr)
     elif args.command == "catalog":
         print("\n".join(_catalog(spark, _index(spark, args), args)))
     elif args.command == "search":

@@ -10,6 +10,7 @@ from lodestone.operators import catalog as cat
 from lodestone.operators import documents as doc_ops
 from lodestone.operators import evaluation as ev
 from lodestone.operators.chunking import chunk_rows, get_chunker
+from lodestone.operators.passages import holders
 from lodestone.output import tsv_line
 from lodestone.plans import index as ix
 from lodestone.functions.vectors import cosine, hashed_words
@@ -363,7 +364,7 @@ def mrr_eval_whole(spark, sf_dir):
 
 def _mrr(spark, sf_dir, passage):
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pairs = b.select(F.col("item_id").alias("qid"), passage.alias("head")).join(d.select("doc_id", F.col("text").alias("body")), F.contains(F.col("body"), F.col("head")))
+    pairs = holders(d, b.select(F.col("item_id").alias("qid"), passage.alias("passage")))
     truth = pairs.groupBy("qid").agg(F.min("doc_id").alias("chunk_id"))
     ranks = truth.join(_text_hits(spark, sf_dir, 50), ["qid", "chunk_id"], "left").select((F.col("qid") % 4).alias("grp"), F.col("fts_rank").alias("rank"))
     return ev.mean_reciprocal_rank(ranks, ["grp"])
