@@ -53,6 +53,11 @@ def index_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(strip_accents(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def joined_terms(text: Column) -> Column:
+    """The words of index_terms() with spaces between and around them."""
+    return F.regexp_replace(F.lower(strip_accents(text)), r"[^\p{L}\p{N}]+", " ")
+
+
 def year_of(date: Column) -> Column:
     """The first four-digit number, as a string."""
     return F.nullif(F.regexp_extract(date, r"\b(\d{4})\b", 1), F.lit(""))

@@ -10,16 +10,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.functions.text import index_terms, query_terms
+from lodestone.functions.text import joined_terms, query_terms
 
 #: Queries that are sent to the tasks at once, and hits that a task keeps for them; more are answered block by block.
 QUERY_BLOCK, HITS_BLOCK = 4096, 4_000_000
 #: Folders of stored postings, by a hash of the term: a search reads those of its words.
 BUCKETS = 64
+#: Bytes of words that a task counts at once; weights of asked words that are broadcast at most.
+COUNTED_BYTES, BROADCAST_WEIGHTS = 1 << 21, 200_000
 RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
 
@@ -74,14 +78,32 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= k)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, chunk_id, tf, len) of (chunk_id, words joined by spaces), COUNTED_BYTES of words or one longer text at a time."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COUNTED_BYTES, "right")))
+            lists = pc.ascii_split_whitespace(texts.slice(start, stop - start))
+            words = pc.list_flatten(lists)
+            full = pc.greater(pc.binary_length(words), 0)
+            row = pc.list_parent_indices(lists).filter(full).to_numpy(zero_copy_only=False)
+            coded = words.filter(full).dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            found, tf = np.unique(row.astype(np.int64) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row_of = found // n
+            length = np.bincount(row, minlength=stop - start)[row_of]
+            columns = [coded.dictionary.take(pa.array(found % n)), batch.column(0).take(pa.array(row_of + start)), pa.array(tf.astype(np.int64)), pa.array(length.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "chunk_id", "tf", "len"])
+            start = stop
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, len) of (chunk_id, text), one row for each chunk.  Words are sorted and counted within the row, without a shuffle."""
-    words = chunks.select("chunk_id", F.sort_array(index_terms(F.col("text"))).alias("words")).where(F.size("words") > 0)
-    new = lambda i: (i == 1) | (F.element_at("words", i) != F.get("words", i - 2))
-    runs = words.select("chunk_id", "words", F.filter(F.sequence(F.lit(1), F.size("words")), new).alias("starts"))
-    run = lambda at, i: F.struct(F.element_at("words", at).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("words") + 1) - at).cast("long").alias("tf"))
-    counted = runs.select("chunk_id", F.size("words").alias("len"), F.explode(F.transform("starts", run)).alias("run"))
-    return counted.select("run.term", "chunk_id", "run.tf", "len")
+    """(term, chunk_id, tf, len) of (chunk_id, text), one row for each chunk.  Words are counted within the row, without a shuffle."""
+    made = T.StructType().add("term", "string").add("chunk_id", chunks.schema["chunk_id"].dataType).add("tf", "long").add("len", "integer")
+    return chunks.select("chunk_id", joined_terms(F.col("text")).alias("words")).mapInArrow(_counted, made)
 
 
 def bucket_of(term: Column) -> Column:
@@ -95,16 +117,17 @@ def bm25(index: DataFrame, queries: DataFrame, k: int, n_chunks: int, total_len:
     weighs 1e-6.  Of an index stored by `bucket`, only the folders of asked words are read.
     """
     words = queries.select("qid", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    sent = F.broadcast if words.count() <= BROADCAST_WEIGHTS else lambda df: df
     if "bucket" in index.columns:
         asked_buckets = [r[0] for r in words.select(bucket_of(F.col("term"))).distinct().collect()]  # BUCKETS at most
         index = index.where(F.col("bucket").isin(asked_buckets)).drop("bucket")
-    asked = index.join(words.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    df = index.join(sent(words.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.select("term", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
+    weights = words.join(df, "term").select("qid", "term", (F.col("times") * F.when(idf > 0, idf).otherwise(F.lit(1e-6))).alias("weight"))
     mean = total_len / max(1, n_chunks)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.lit(mean or 1.0)))
-    scored = words.join(weighed, "term").join(asked, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 9).alias("bm25"))
+    part = F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.lit(mean or 1.0)))
+    # Weights go to the postings: a chunk's words lie together, so its sums are made before anything is shuffled.
+    scored = index.join(sent(weights), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 9).alias("bm25"))
     order = Window.partitionBy("qid").orderBy(F.desc("bm25"), "chunk_id")
     return scored.withColumn("fts_rank", F.row_number().over(order)).where(F.col("fts_rank") <= k)
 
