@@ -9,6 +9,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import catalog as cat
 from lodestone.operators import documents as doc_ops
 from lodestone.operators import evaluation as ev
+from lodestone.operators import spelling
 from lodestone.operators.chunking import chunk_rows, get_chunker
 from lodestone.operators.passages import holders
 from lodestone.output import tsv_line
@@ -279,6 +280,16 @@ def author_compat_match(spark, sf_dir):
     return cat.compatible_authors(asked, authors).select("asked", "name")
 
 
+def heading_variants(spark, sf_dir):
+    """Headings of pages (the first two words of a title) that are spelled alike, as pairs of different spellings (checked by brute force)."""
+    heading = F.regexp_extract("html", r"<title>\s*(\S+\s+[^\s<]+)", 1)
+    got = spelling.variants(table(spark, sf_dir, "pages").select(spelling.spelling(heading).alias("spelling")))
+    return got.select("name", "other", F.round("ratio", 9).alias("ratio"))
+
+
+query()(heading_variants)
+
+
 def resolve_terms(spark, sf_dir):
     """Ordered resolution of terms with vectors into entities and aliases (a sequential fold; checked by unit tests)."""
     e = table(spark, sf_dir, "embeddings").where("vec_id < 200")
