@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,9 @@ from lodestone.operators.documents import IndexTables
 from lodestone.operators.retrieval import bucket_of, postings
 from lodestone.plans.materialize import cut, release
 
+if TYPE_CHECKING:
+    from lodestone.sources.ocr import OcrStore
+
 SCHEMA_VERSION = 3
 #: Parts of each table, fixed when an index is made.
 PARTS = 128
@@ -71,15 +75,22 @@ def part_of(key: Column | str, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def diff(current: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, state): new, changed, retry, unchanged or removed, of (path, fingerprint) against (path, fingerprint, status)."""
+def diff(current: DataFrame, known: DataFrame, recognised: DataFrame | None = None) -> DataFrame:
+    """(path, state): new, changed, retry, unchanged or removed, of (path, fingerprint) against (path, fingerprint, status).
+
+    A file without text is tried again if it is one of recognised (path).
+    """
     c = current.select("path", F.col("fingerprint").alias("now"), F.lit(True).alias("here"))
     k = known.select("path", F.col("fingerprint").alias("then"), "status", F.lit(True).alias("there"))
+    again = F.col("status") == "llm_pending"
+    if recognised is not None:
+        k = k.join(recognised.select("path", F.lit(True).alias("found")), "path", "left")
+        again = again | (F.col("status") == "no_text") & F.col("found").isNotNull()
     state = (
         F.when(F.col("here").isNull(), "removed")
         .when(F.col("there").isNull(), "new")
         .when(~F.col("now").eqNullSafe(F.col("then")), "changed")
-        .when(F.col("status") == "llm_pending", "retry")
+        .when(again, "retry")
         .otherwise("unchanged")
     )
     return c.join(k, "path", "full_outer").select("path", state.alias("state"))
@@ -215,6 +226,7 @@ class Index:
         limit: int | None = None,
         chunk_settings: dict | None = None,
         tags: Callable[[DataFrame], DataFrame] | None = None,
+        ocr: OcrStore | None = None,
     ) -> dict[str, int]:
         """Brings the index up to date with source (key, title, path, fingerprint[, meta, content ...]) and returns counts of files by what they needed.
 
@@ -223,18 +235,20 @@ class Index:
         With a limit only so many new or changed files are processed, by path; while more are left nothing is removed,
         and the next run resumes.  tags(documents) may give (document_id, tag) of the documents that are new or
         changed.  An embedder whose vectors have another dimension than the stored ones is an error, and the index
-        stays as it was.
+        stays as it was.  With a store of recognised texts, files of the source (with path, content_type and content)
+        have a column `sidecar` for `text` to use, and files without text whose text is now stored are taken again.
         """
         rows = self._with_meta(source)
-        states = cut(diff(rows.select("path", "fingerprint"), self.table("files")), "index-states")
+        states = cut(diff(rows.select("path", "fingerprint"), self.table("files"), ocr.recognised() if ocr else None), "index-states")
         todo = states.where("state in ('new', 'changed', 'retry')")
         if limit is not None:
             todo = todo.orderBy("path").limit(limit)
         counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
         finished = limit is None or sum(counts.get(s, 0) for s in ("new", "changed", "retry")) <= limit
         gone = states.where("state = 'removed'").select("path") if finished else states.where("false").select("path")
+        work = rows.join(todo.select("path"), "path", "left_semi")
         with self._restored():
-            self._update(rows, rows.join(todo.select("path"), "path", "left_semi"), gone, text, chunker, embedder, model, chunk_settings, tags)
+            self._update(rows, ocr.attach(work) if ocr else work, gone, text, chunker, embedder, model, chunk_settings, tags)
         release(states)
         return {s: counts.get(s, 0) for s in ("new", "changed", "retry", "unchanged", "removed")}
 
