@@ -198,12 +198,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from lodestone.plans import catalogue_streams, catalogue_tables  # noqa: F401  register their queries
+    from lodestone.plans import catalogue_models, catalogue_streams, catalogue_tables  # noqa: F401  register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodestone.plans import catalogue_streams, catalogue_tables  # noqa: F401  register their queries
+    from lodestone.plans import catalogue_models, catalogue_streams, catalogue_tables  # noqa: F401  register their queries
 
     return dict(SQL)

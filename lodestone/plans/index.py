@@ -38,6 +38,7 @@ from lodestone.operators.retrieval import bucket_of, postings
 from lodestone.plans.materialize import cut, release
 
 if TYPE_CHECKING:
+    from lodestone.plans.enrich import Enricher
     from lodestone.sources.ocr import OcrStore
 
 SCHEMA_VERSION = 3
@@ -227,6 +228,7 @@ class Index:
         chunk_settings: dict | None = None,
         tags: Callable[[DataFrame], DataFrame] | None = None,
         ocr: OcrStore | None = None,
+        enrich: Enricher | None = None,
     ) -> dict[str, int]:
         """Brings the index up to date with source (key, title, path, fingerprint[, meta, content ...]) and returns counts of files by what they needed.
 
@@ -236,7 +238,9 @@ class Index:
         and the next run resumes.  tags(documents) may give (document_id, tag) of the documents that are new or
         changed.  An embedder whose vectors have another dimension than the stored ones is an error, and the index
         stays as it was.  With a store of recognised texts, files of the source (with path, content_type and content)
-        have a column `sidecar` for `text` to use, and files without text whose text is now stored are taken again.
+        have a column `sidecar` for `text` to use, and files without text whose text is now stored are taken again.  An
+        enricher adds chunks of kinds `figure` and `view`, summaries, tags and types, and what it learns to the catalog;
+        a file on which one of its calls fails is `llm_pending` and has no chunks until a later run.
         """
         rows = self._with_meta(source)
         states = cut(diff(rows.select("path", "fingerprint"), self.table("files"), ocr.recognised() if ocr else None), "index-states")
@@ -248,7 +252,7 @@ class Index:
         gone = states.where("state = 'removed'").select("path") if finished else states.where("false").select("path")
         work = rows.join(todo.select("path"), "path", "left_semi")
         with self._restored():
-            self._update(rows, ocr.attach(work) if ocr else work, gone, text, chunker, embedder, model, chunk_settings, tags)
+            self._update(rows, ocr.attach(work) if ocr else work, gone, text, chunker, embedder, model, chunk_settings, tags, enrich)
         release(states)
         return {s: counts.get(s, 0) for s in ("new", "changed", "retry", "unchanged", "removed")}
 
@@ -280,25 +284,38 @@ class Index:
     def _with_meta(source: DataFrame) -> DataFrame:
         return source if "meta" in source.columns else source.withColumn("meta", F.create_map().cast("map<string,string>"))
 
-    def _update(self, listing: DataFrame, work: DataFrame, gone: DataFrame, text: Column, chunker: str | None = None, embedder: str | None = None, model: str | None = None, chunk_settings: dict | None = None, tags: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def _update(self, listing: DataFrame, work: DataFrame, gone: DataFrame, text: Column, chunker: str | None = None, embedder: str | None = None, model: str | None = None, chunk_settings: dict | None = None, tags: Callable[[DataFrame], DataFrame] | None = None, enrich: Enricher | None = None) -> None:
         """Processes the files of work, forgets those of gone, and takes titles and meta of changed documents from the listing."""
         chunk = get_chunker(self.setting("chunker", chunker, "paragraph"), **(chunk_settings or {}))
         embed = get_embedder(self.setting("embedder", embedder, "hashed-words"), self.setting("model", model, "hashed-words-32"))
         n = self.manifest["n_parts"]
         read = work.withColumn("__text", text)
         both = isinstance(read.schema["__text"].dataType, StructType)
-        read = read.select("key", "path", "fingerprint", "title", (F.col("__text.text") if both else F.col("__text")).alias("text"), (F.col("__text.error") if both else F.lit(None).cast("string")).alias("error"))
+        is_pdf = (F.col("content_type") == "application/pdf") | F.lower("path").endswith(".pdf") if "content_type" in work.columns else F.lower("path").endswith(".pdf")
+        read = read.select("key", "path", "fingerprint", "title", F.col("meta")["type"].alias("hint"), (F.col("__text.text") if both else F.col("__text")).alias("text"), (F.col("__text.error") if both else F.lit(None).cast("string")).alias("error"))
         pieces = F.when(F.col("text").isNotNull() & F.col("error").isNull(), chunk(F.col("text"), F.col("title")))
         status = F.when(F.col("error").isNotNull(), "error").when(F.col("text").isNull(), "no_text").when(F.col("pieces").isNull(), "llm_pending").when(F.size("pieces") == 0, "no_text").otherwise("ok")
-        made = read.select(stable_id("key").alias("document_id"), stable_id("path").alias("file_id"), "path", "fingerprint", "text", "error", pieces.alias("pieces"))
-        made = cut(made.withColumn("status", status).drop("text", "error"), "index-texts")
+        made = read.select(stable_id("key").alias("document_id"), stable_id("path").alias("file_id"), "path", "fingerprint", "title", "hint", "text", "error", pieces.alias("pieces"))
+        made = cut(made.withColumn("status", status).drop("error", *([] if enrich else ["title", "hint", "text"])), "index-texts")
+        texts, found = [made], None
+        if enrich:
+            scans = work.where(is_pdf).select("path", (F.col("content") if "content" in work.columns else F.lit(None).cast("binary")).alias("content"))
+            ready = made.where("status = 'ok'").select("file_id", "document_id", "path", "title", "text", "hint")
+            found = enrich.run(ready, scans, self.catalog())
+            extra = cut(found.files, "index-extra")
+            state = F.when(F.col("pending"), F.lit("llm_pending")).otherwise(F.col("status"))
+            made = made.join(extra.select("file_id", "pending", "extra"), "file_id", "left").withColumn("status", state)
         new_files = made.select("file_id", "document_id", "path", "fingerprint", "status")
         split = made.where("status = 'ok'").select("file_id", F.posexplode("pieces").alias("seq", "text"))
-        new_chunks = split.select(stable_id("file_id", "seq").alias("chunk_id"), "file_id", "seq", "text", F.lit("body").alias("kind"))
+        split = split.withColumn("kind", F.lit("body"))
+        if found:
+            more = made.where("status = 'ok'").select("file_id", F.size("pieces").alias("n"), F.posexplode("extra").alias("i", "x"))
+            split = split.unionByName(more.select("file_id", (F.col("n") + F.col("i")).alias("seq"), "x.text", "x.kind"))
+        new_chunks = split.select(stable_id("file_id", "seq").alias("chunk_id"), "file_id", "seq", "text", "kind")
         new_chunks = cut(new_chunks.withColumn("embedding", embed(F.col("text"))), "index-chunks")
         dims = {r["d"]: r["n"] for r in new_chunks.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).limit(2).collect()}
         if len({*dims, *([self.manifest["meta"]["dim"]] if "dim" in self.manifest["meta"] else [])}) > 1:
-            release(made, new_chunks)
+            release(*texts, new_chunks)
             raise UsageError("the embedder changed its dimension; index into a new directory")
         if dims:
             self.manifest["meta"]["dim"] = next(iter(dims))
@@ -315,6 +332,10 @@ class Index:
         touched = self._touched(affected.select(part_of("document_id", n)), DOCUMENT_TABLES)
         stored = self.table("documents", touched)
         fresh = listed.join(affected, "document_id", "left_semi").join(stored.select("document_id", "doc_type", "summary"), "document_id", "left")
+        if found:
+            told = extra.where("not pending").select("document_id", F.col("doc_type").alias("__type"), F.col("summary").alias("__summary"))
+            fresh = fresh.join(told, "document_id", "left")
+            fresh = fresh.withColumns({"doc_type": F.coalesce("__type", "doc_type"), "summary": F.coalesce("__summary", "summary")}).drop("__type", "__summary")
         kept = stored.join(fresh.select("document_id"), "document_id", "left_anti")
         documents = prune(fresh.unionByName(kept), self._other_files(parts["files"]).unionByName(parted["files"].select("document_id")))
         documents = cut(documents.withColumn("part", part_of("document_id", n)), "index-changed")
@@ -322,14 +343,19 @@ class Index:
         mine = documents.join(fresh.select("document_id"), "document_id", "left_semi")
         named = mine.select("document_id", F.posexplode(F.array_distinct(names)).alias("seq", "author")).select("document_id", "author", "seq")
         tagged = tags(mine.drop("part")).select("document_id", "tag").distinct() if tags else None
+        if found:
+            tagged = found.tags if tagged is None else tagged.unionByName(found.tags).distinct()
         for name, rows in (("doc_authors", named), ("doc_tags", tagged)):
             old = self.table(name, touched)
             if rows is not None:
                 old = old.join(rows.select("document_id").distinct(), "document_id", "left_anti").unionByName(rows.select(*old.columns))
             parted[name] = old.join(documents.select("document_id", "part"), "document_id")
         parted["documents"] = documents
+        if found:
+            c = found.catalog
+            parted |= {"entities": c.entities, "aliases": c.aliases, "term_vectors": c.vectors, "merges": c.merges}
         self.commit(parted, parts | dict.fromkeys(DOCUMENT_TABLES, touched))
-        release(made, new_chunks, affected, documents)
+        release(*texts, new_chunks, affected, documents, *([extra, *found.tables] if found else []))
 
     def _touched(self, found: DataFrame, tables: tuple[str, ...]) -> list[int]:
         """The parts found; all of them if the index still has these tables as a whole."""
