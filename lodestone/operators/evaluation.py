@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.likeness import fidelity
+from lodestone.functions.text import locate, normalize
 from lodestone.operators.retrieval import QUERY_BLOCK
 
 
@@ -44,6 +46,23 @@ def anchor_metrics(positions: Column) -> Column:
     return F.struct(F.size(positions).alias("anchors"), F.size(found).alias("found"), rate(F.size(found), F.size(positions)).alias("hit_rate"), rate(kept, F.size(found)).alias("in_order_rate"))
 
 
+def rewrite_report(rewrites: DataFrame, key: str) -> DataFrame:
+    """(key, n_chunks, length_ratio, fidelity, anchors) of texts that a model rewrote as chunks: (key, text, chunks).
+
+    The chunks joined are compared with the text; anchors, see anchor_metrics(), are where the first eight words of each
+    chunk stand in it.  Blank chunks have no words and aren't counted as anchors.
+    """
+    text = F.coalesce("text", F.lit(""))
+    chunks = F.coalesce("chunks", F.array().cast("array<string>"))
+    joined = normalize(F.array_join(chunks, " "))
+    said = F.filter(F.transform(chunks, normalize), lambda c: F.length(c) > 0)
+    eight = F.transform(said, lambda c: F.substring_index(c, " ", 8))
+    made = rewrites.select(key, text.alias("text"), F.size(chunks).alias("n_chunks"), joined.alias("joined"), eight.alias("eight"))
+    found = F.transform("eight", lambda a: locate(a, F.col("text")))
+    ratio = F.round(F.length("joined") / F.greatest(F.length("text"), F.lit(1)), 3)
+    return made.select(key, "n_chunks", ratio.alias("length_ratio"), fidelity(F.col("text"), F.col("joined")).alias("fidelity"), anchor_metrics(found).alias("anchors"))
+
+
 def pair_means(vectors: DataFrame, by: str, similarity: Column) -> DataFrame:
     """(a, b, mean) over `by` of a similarity of columns x and y, for each pair of views a < b of (by, view, vec)."""
     x = vectors.select(by, F.col("view").alias("a"), F.col("vec").alias("x"))

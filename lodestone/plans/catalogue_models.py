@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestone.functions.answers import ask
+from lodestone.operators.evaluation import rewrite_report
 from lodestone.plans.catalogue import query, table
 from lodestone.plans.enrich import Enricher
+from lodestone.plans.experiments import Results
 from lodestone.plans.index import Index
 from lodestone.plans.materialize import shared_dir
 
@@ -67,3 +69,38 @@ def enriched_documents(spark, sf_dir):
     tags = index.table("doc_tags").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ";").alias("tags"))
     documents = index.table("documents").join(tags, "document_id", "left").join(views, "document_id", "left")
     return documents.select("key", "summary", "doc_type", F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("views", F.lit(0)).cast("long").alias("views"))
+
+
+@query("""WITH t AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+s AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS whole, array_to_string(w[1:(2 * len(w)) // 3], ' ') AS kept FROM t)
+SELECT item_id, 2 AS n_chunks, round(length(kept)::DOUBLE / greatest(length(whole), 1), 3) AS length_ratio,
+CASE WHEN whole = '' THEN 1.0 ELSE round(2.0 * length(kept) / (length(whole) + length(kept)), 4) END::DOUBLE AS fidelity, ((n >= 2)::INT + (n >= 3)::INT)::INT AS cuts FROM s""")
+def rewrite_fidelity(spark, sf_dir):
+    """How much of each benchmark passage a rewriting keeps that cuts off the last third and gives the rest as two chunks."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    kept = F.floor(2 * F.size("words") / 3).cast("int")
+    half = F.ceil(kept / 2).cast("int")
+    chunks = F.array(F.array_join(F.slice("words", F.lit(1), half), " "), F.array_join(F.slice("words", half + 1, kept - half), " "))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words")).select("item_id", F.array_join("words", " ").alias("text"), chunks.alias("chunks"))
+    return rewrite_report(rows, "item_id").select("item_id", "n_chunks", "length_ratio", "fidelity", F.col("anchors.found").alias("cuts"))
+
+
+def _counted(row: dict) -> dict:
+    """Words of a turn; every seventh turn, from the third, fails."""
+    if row["turn"] % 7 == 3:
+        raise ValueError("no result")
+    return {"words": len(_WORD.findall(row["text"] or ""))}
+
+
+@query("""SELECT 'c' || conv_id || '/' || turn AS ckpt, CASE WHEN turn % 7 <> 3 THEN len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) END::INT AS words,
+CASE WHEN turn % 7 = 3 THEN 'ValueError: no result' END AS error, (CASE WHEN turn % 7 = 3 THEN 2 ELSE 1 END)::BIGINT AS records FROM conversations""")
+def experiment_resumed(spark, sf_dir):
+    """An experiment over all turns of conversations, run twice: done once, what failed in the first run tried again."""
+    d = table(spark, sf_dir, "conversations")
+    ckpt = F.concat(F.lit("c"), F.col("conv_id"), F.lit("/"), F.col("turn"))
+    work = d.select(ckpt.alias("ckpt"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("fingerprint"), "turn", "text")
+    results = Results(spark, f"{shared_dir(spark)}/experiment-{uuid.uuid4().hex}", "words int")
+    for _ in range(2):
+        results.run(work, _counted, per_round=1_000_000)
+    times = results.records().groupBy("ckpt").agg(F.count("*").alias("records"))
+    return results.latest().join(times, "ckpt").select("ckpt", "result.words", "error", "records")
