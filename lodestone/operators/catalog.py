@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.errors import UsageError
+from lodestone.functions.nearest import Best, unit
 from lodestone.functions.text import fold, fold_text, given_compatible, given_words, strip_variants, surname
 
 KINDS = ("tag", "author", "doctype")
 #: Similarity from which a new term is an alias, and from which an adjudicator is asked.
 AUTO, GRAY = 0.97, 0.80
-#: Terms that are sent to the tasks at once; more are answered block by block.
-TERM_BLOCK = 4096
+#: Terms, and components of their vectors, that are sent to the tasks at once; more are answered block by block.
+TERM_BLOCK, SENT_BLOCK = 32_768, 1 << 22
 _NEAREST = "term string, name string, similarity double"
 #: Spelling ratio of names from which a merge is proposed.
 FUZZY = 0.84
@@ -81,26 +82,22 @@ def listing(c: Catalog, kind: str) -> DataFrame:
 def _best(batches: Iterator[pa.RecordBatch], shared: Broadcast, n: int) -> Iterator[pa.RecordBatch]:
     """(term, name, similarity): the n best names of this task for each asked vector, kept while the batches go by."""
     asked = shared.value
-    best = {dim: (np.zeros((len(terms), 0)), np.zeros((len(terms), 0), str)) for dim, (terms, _) in asked.items()}
+    best = {dim: Best(queries, n) for dim, (_, queries) in asked.items()}
     for batch in batches:
         names, sizes = batch.column(0).to_numpy(zero_copy_only=False).astype(str), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-        for dim, (_, queries) in asked.items():
+        for dim, kept in best.items():
             mine = np.flatnonzero(sizes == dim)
-            for at in range(0, len(mine), 2048):
-                part = mine[at : at + 2048]
-                scores = np.concatenate([best[dim][0], np.round(queries @ _unit(batch.column(1).take(pa.array(part)), dim).T, 12)], 1)
-                here = np.concatenate([best[dim][1], np.broadcast_to(names[part], (len(queries), len(part)))], 1)
-                place = np.searchsorted(np.unique(np.concatenate([best[dim][1].reshape(-1), names[part]])), here)
-                order = np.lexsort((place, -scores), axis=1)[:, :n]
-                best[dim] = np.take_along_axis(scores, order, 1), np.take_along_axis(here, order, 1)
+            if len(mine):
+                kept.add(names[mine], _unit(batch.column(1).take(pa.array(mine)), dim))
     for dim, (terms, _) in asked.items():
-        scores, names = best[dim]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(terms, scores.shape[1]), pa.string()), pa.array(names.reshape(-1).tolist(), pa.string()), pa.array(scores.reshape(-1), from_pandas=True)], names=["term", "name", "similarity"])
+        scores, names = best[dim].result()
+        for a in range(0, len(terms), 8192):
+            part = scores[a : a + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(terms[a : a + 8192], part.shape[1]), pa.string()), pa.array(names[a : a + 8192].reshape(-1).tolist(), pa.string()), pa.array(part.reshape(-1), from_pandas=True)], names=["term", "name", "similarity"])
 
 
 def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
-    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    return unit(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
 
 
 def nearest(terms: DataFrame, vectors: DataFrame, n: int = 5) -> DataFrame:
@@ -113,7 +110,8 @@ def nearest(terms: DataFrame, vectors: DataFrame, n: int = 5) -> DataFrame:
     spark = terms.sparkSession
     rows = vectors.where("name is not null and size(vec) > 0").select("name", F.col("vec").cast("array<double>"))
     asked = terms.where("size(vec) > 0").select(F.col("term").cast("string"), F.col("vec").cast("array<double>"))
-    blocks = max(1, -(-asked.count() // TERM_BLOCK))
+    count, sent = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-count // TERM_BLOCK), -(-sent // SENT_BLOCK))
     found = spark.createDataFrame([], _NEAREST)
     for i in range(blocks):
         table = (asked.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow().combine_chunks()

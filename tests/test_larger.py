@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
+from lodestone.functions.nearest import Best, unit
+from lodestone.operators import catalog as cat
+from lodestone.operators import retrieval
 from lodestone.plans import catalogue
 
 
@@ -36,3 +42,54 @@ def test_attachments_whose_ids_are_those_of_orders(spark, tmp_path):
     spark.createDataFrame([(*items[0], 0), *[(*i, 0) for i in items[1:]], (1, 8, 9, "N", 0)], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, n int").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, "c", "BUILDING")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     assert (1_000_014, 1, "storage/A1000014/f6.pdf") in same_as_sql(spark, tmp_path, "stored_attachments")
+
+
+class Sent:
+    """Stands for a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def vectors_in_batches(rng, n, dim, keys):
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[: n // 4] = x[0]  # a large group of copies
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(x.reshape(-1)))
+    return x, [pa.RecordBatch.from_arrays([keys.slice(i, 10_000), column.slice(i, 10_000)], names=["key", "vec"]) for i in range(0, n, 10_000)]
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_best_equals_a_full_sort():
+    rng = np.random.default_rng(0)
+    x, q = rng.integers(-2, 3, (900, 3)).astype(float), rng.integers(-2, 3, (40, 3)).astype(float)  # many ties
+    x[7], q[3] = np.nan, np.nan
+    keys = rng.permutation(900)
+    for k in (1, 5, 200):
+        for kind in (np.int64, str):
+            best = Best(q, k)
+            for a in range(0, 900, 250):
+                best.add(keys[a : a + 250].astype(kind), x[a : a + 250])
+            scores, found = best.result()
+            products = np.round(q @ x.T, 12)
+            for i in range(len(q)):
+                want = sorted(((-s if s == s else np.inf), t) for s, t in zip(products[i], keys.astype(kind).tolist(), strict=True))[:k]
+                assert [t for _, t in want] == found[i].tolist() and [None if s == np.inf else -s for s, _ in want] == [None if s != s else s for s in scores[i].tolist()]
+
+
+def test_nearest_searches_hold_few_products_at_once():
+    rng = np.random.default_rng(1)
+    ids = pa.array(np.arange(20_000))
+    x, batches = vectors_in_batches(rng, 20_000, 16, ids)
+    q = unit(rng.normal(size=(4096, 16)))
+    assert peak_mb(lambda: list(retrieval._top(iter(batches), Sent((np.arange(4096), q)), 5))) < 150
+    names = pa.array([f"v{i}" for i in range(20_000)])
+    x, batches = vectors_in_batches(rng, 20_000, 16, names)
+    assert peak_mb(lambda: list(cat._best(iter(batches), Sent({16: (np.arange(4096).astype(str), q)}), 5))) < 150
