@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.likeness import fidelity
 from lodestone.functions.text import locate, normalize
 from lodestone.operators.retrieval import QUERY_BLOCK
 
+#: Queries, and components of their vectors, that go to a pool's tasks at once; scores that a task keeps.
+POOL_BLOCK, SENT_BLOCK, POOLED_SCORES = 32_768, 1 << 22, 4_000_000
+
 
 def mean_reciprocal_rank(ranks: DataFrame, by: list[str]) -> DataFrame:
     """(by..., queries, mrr) of (by..., rank); a null rank counts as not found."""
@@ -82,6 +90,68 @@ def pool_scores(queries: DataFrame, pool: DataFrame, similarity: Column) -> Data
     return pairs.groupBy("qid", "document_id").agg(F.coalesce(F.max(F.when(F.col("y").isNotNull(), similarity)), F.lit(-1.0)).alias("score"))
 
 
+def _pooled(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(qid, document_id, score): the best cosine of this task for each query and document, null without any, POOLED_SCORES at a time."""
+    qids, dims = shared.value
+    kind, best = None, {}
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for document, scores in best.items():
+            yield pa.RecordBatch.from_arrays([qids, pa.array([document] * len(qids), kind), pa.array(scores, mask=np.isneginf(scores))], names=["qid", "document_id", "score"])
+        best.clear()
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        coded = batch.column(0).dictionary_encode()
+        codes, documents = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), [*coded.dictionary.to_pylist(), None]
+        sizes = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        for code in np.unique(codes):
+            if documents[code] not in best:
+                if (len(best) + 1) * len(qids) > POOLED_SCORES:
+                    yield from flushed()
+                best[documents[code]] = np.full(len(qids), -np.inf)
+            scores = best[documents[code]]
+            for dim, (at, queries, lengths) in dims.items():
+                mine = np.flatnonzero((codes == code) & (sizes == dim))
+                for i in range(0, len(mine), 2048):
+                    y = batch.column(1).take(pa.array(mine[i : i + 2048])).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(mine[i : i + 2048]), dim)
+                    own = np.sqrt((y * y).sum(1))
+                    for j in range(0, len(at), 512):
+                        found = queries[j : j + 512] @ y.T / np.maximum(lengths[j : j + 512, None] * own, 1e-12)
+                        here = at[j : j + 512]
+                        scores[here] = np.maximum(scores[here], found.max(1))
+    yield from flushed()
+
+
+def pool_cosines(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """pool_scores() by the cosine of x and y: one matrix product for each block of queries and vectors of a document.
+
+    Vectors that are null, hold a null or are of another length have no cosine.  The pool is read once for each block of
+    POOL_BLOCK queries at most and never shuffled; each task returns its best of each query and document.
+    """
+    spark = queries.sparkSession
+    whole = lambda c: F.when(~F.exists(c, lambda v: v.isNull()), F.col(c).cast("array<double>"))
+    asked, rows = queries.select("qid", whole("x").alias("x")), pool.select("document_id", whole("y").alias("y"))
+    count, sent = asked.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("x"), F.lit(0)).cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-count // POOL_BLOCK), -(-sent // SENT_BLOCK))
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("document_id", pool.schema["document_id"].dataType), T.StructField("score", T.DoubleType())])
+    found = spark.createDataFrame([], schema)
+    for i in range(blocks):
+        table = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow().combine_chunks()
+        if not len(table):
+            continue
+        x = table["x"].combine_chunks()
+        sizes = x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        dims = {}
+        for d in np.unique(sizes[sizes >= 0]).tolist():
+            at = np.flatnonzero(sizes == d)
+            vectors = x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+            dims[d] = (at, vectors, np.sqrt((vectors * vectors).sum(1)))
+        shared = spark.sparkContext.broadcast((table["qid"].combine_chunks(), dims))
+        found = found.unionByName(rows.mapInArrow(partial(_pooled, shared=shared), schema))
+    return found.groupBy("qid", "document_id").agg(F.coalesce(F.max("score"), F.lit(-1.0)).alias("score"))
+
+
 def stage_rollup(calls: DataFrame) -> DataFrame:
     """(stage, calls, mean_s, mean_tokens_s, mean_tokens) of (stage, seconds, tokens); nulls are left out of means."""
     return calls.groupBy("stage").agg(F.count("*").alias("calls"), F.round(F.avg("seconds"), 3).alias("mean_s"), F.round(F.avg(F.col("tokens") / F.col("seconds")), 3).alias("mean_tokens_s"), F.round(F.avg("tokens"), 3).alias("mean_tokens"))

@@ -8,9 +8,12 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lodestone.functions.nearest import Best, unit
+from lodestone.functions.vectors import cosine
 from lodestone.operators import catalog as cat
+from lodestone.operators import evaluation as ev
 from lodestone.operators import retrieval
 from lodestone.plans import catalogue
 
@@ -93,3 +96,23 @@ def test_nearest_searches_hold_few_products_at_once():
     names = pa.array([f"v{i}" for i in range(20_000)])
     x, batches = vectors_in_batches(rng, 20_000, 16, names)
     assert peak_mb(lambda: list(cat._best(iter(batches), Sent({16: (np.arange(4096).astype(str), q)}), 5))) < 150
+
+
+def test_pooled_cosines_equal_those_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vector = lambda i: None if i % 11 == 5 else [] if i % 29 == 3 else rng.normal(size=2 + (i % 7 == 0)).tolist()
+    queries = spark.createDataFrame([(i, vector(i)) for i in range(20)] + [(20, [0.0, 0.0]), (21, [1.0, None])], "qid long, x array<float>")
+    pool = spark.createDataFrame([(None if i % 6 == 0 else f"d{i % 6}", vector(i)) for i in range(60)] + [("none", None), ("null", [None, 1.0])], "document_id string, y array<float>").repartition(3)
+    rows = lambda df: {(r.qid, r.document_id): round(r.score, 9) for r in df.collect()}
+    same = F.size("x") == F.size("y")
+    want = rows(ev.pool_scores(queries, pool, F.when(same, cosine(F.col("x"), F.col("y")))))
+    assert rows(ev.pool_cosines(queries, pool)) == want and len(want) == 22 * 8
+    monkeypatch.setattr(ev, "POOL_BLOCK", 7)
+    assert rows(ev.pool_cosines(queries, pool)) == want
+
+
+def test_pool_best_makes_no_row_for_each_pair(spark, tmp_path):
+    spark.createDataFrame([(i, [1.0, float(i)], i % 3) for i in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert len(same_as_sql(spark, tmp_path, "pool_best")) == 9
+    plan = catalogue.queries()["pool_best"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
