@@ -206,14 +206,18 @@ class State:
         """The name most alike and its ratio, the most used one of equals."""
         return max(((ratio(name, n), n) for n in self.ordered()), key=lambda x: x[0], default=(0.0, ""))
 
-    def resolve_term(self, raw: str, vec: list[float] | None, adjudicate: Callable[[str, str, list[str]], str | None] | None = None) -> str:
-        """The entity a term belongs to: by name or alias, by similarity, by decision, or a new one."""
+    def resolve_term(self, raw: str, vec: list[float] | None, adjudicate: Callable[[str, str, list[str]], str | None] | None = None, candidates: list[str] | None = None) -> str:
+        """The entity a term belongs to: by name or alias, by similarity, by decision, or a new one.
+
+        Of candidates, if given, only those are compared; they hold every entity that could be chosen.
+        """
         term = fold_text(raw)
         if not term:
             raise UsageError(f"empty {self.kind} name")
         name = self.find(term)
         if name is None and vec is not None and self.vectors:
-            near = sorted(((_cosine(vec, v), n) for n, v in self.vectors.items() if len(v) == len(vec)), key=lambda x: (-x[0], x[1]))[:5]
+            found = ((n, self.vectors[n]) for n in candidates if n in self.vectors) if candidates is not None else self.vectors.items()
+            near = sorted(((_cosine(vec, v), n) for n, v in found if len(v) == len(vec)), key=lambda x: (-x[0], x[1]))[:5]
             if near and near[0][0] >= AUTO:
                 name = near[0][1]
             elif near and near[0][0] >= GRAY and adjudicate is not None:
@@ -283,6 +287,79 @@ def _cosine(a: list[float], b: list[float]) -> float:
     return dot / max((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 1e-12)
 
 
+class Near:
+    """Finds the entities that a mention could be compared with, for a block of mentions at once.
+
+    Entities' unit vectors lie in arrays that grow, one for each length.  The products of a block with all entities
+    before it and with itself are made together; `least` less MARGIN is what a candidate reaches, and of these the
+    five best and their equals are named, so that the exact comparison sees what it would choose of all.
+    """
+
+    BLOCK, MARGIN, MOST = 512, 1e-9, 5
+
+    def __init__(self, least: float):
+        self.least = least - self.MARGIN
+        self.names: dict[int, list[str]] = {}
+        self.units: dict[int, np.ndarray] = {}
+
+    def add(self, name: str, vec: list[float]) -> None:
+        names = self.names.setdefault(len(vec), [])
+        units = self.units.setdefault(len(vec), np.empty((1024, len(vec))))
+        if len(names) == len(units):
+            units = self.units[len(vec)] = np.concatenate([units, np.empty_like(units)])
+        units[len(names)] = unit(np.asarray(vec, np.float64)[None])[0]
+        names.append(name)
+
+    def before(self, vectors: list) -> list[list[tuple[float, str]]]:
+        """For each vector (or None) of a block the (product, name) of entities so far that reach `least`."""
+        found: list[list[tuple[float, str]]] = [[] for _ in vectors]
+        for dim, names in self.names.items():
+            mine = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+            if not mine:
+                continue
+            asked = unit(np.array([vectors[i] for i in mine], np.float64))
+            for a in range(0, len(names), 4096):
+                products = asked @ self.units[dim][a : min(a + 4096, len(names))].T
+                for row, column in zip(*np.nonzero(products >= self.least), strict=True):
+                    found[mine[row]].append((float(products[row, column]), names[a + column]))
+        return found
+
+    def candidates(self, vec: list[float], before: list[tuple[float, str]], since: dict[int, int]) -> list[str]:
+        """The names to compare: of those before the block and of those that came in it."""
+        dim = len(vec)
+        names, start = self.names.get(dim, []), since.get(dim, 0)
+        found = list(before)
+        if len(names) > start:
+            products = self.units[dim][start : len(names)] @ unit(np.asarray(vec, np.float64)[None])[0]
+            found += [(float(products[j]), names[start + j]) for j in np.flatnonzero(products >= self.least)]
+        if len(found) > self.MOST:
+            edge = sorted((p for p, _ in found), reverse=True)[self.MOST - 1] - self.MARGIN
+            found = [x for x in found if x[0] >= edge]
+        return [n for _, n in found]
+
+
+def _resolved(state: State, rows: list, adjudicate: Callable | None) -> Iterator[str | None]:
+    """The names of mentions in their order, None for blank terms."""
+    near = Near(AUTO if adjudicate is None else GRAY)
+    for name, vec in state.vectors.items():
+        near.add(name, vec)
+    for at in range(0, len(rows), Near.BLOCK):
+        block = rows[at : at + Near.BLOCK]
+        terms = [fold_text(r.term) if (r.term or "").strip() else None for r in block]
+        vectors = [None if r.vec is None or t is None or state.find(t) is not None else r.vec for r, t in zip(block, terms, strict=True)]
+        before, since = near.before(vectors), {d: len(n) for d, n in near.names.items()}
+        for row, term, earlier in zip(block, terms, before, strict=True):
+            if term is None:
+                yield None
+                continue
+            vec = None if row.vec is None else row.vec.tolist()
+            new = vec is not None and state.find(term) is None
+            name = state.resolve_term(row.term, vec, adjudicate, near.candidates(vec, earlier, since) if new else [])
+            if new and name == term and name in state.vectors:
+                near.add(name, vec)
+            yield name
+
+
 _FOLDED = "what string, kind string, name string, other string, number long, vec array<double>"
 
 
@@ -297,14 +374,12 @@ def _fold(key: tuple, mentions: pd.DataFrame, known: pd.DataFrame, adjudicate: C
             state.pending.add((row.name_, row.other))
         elif row.what == "vector":
             state.vectors[row.name_] = list(row.vec)
-    out = []
-    for row in mentions.sort_values("pos").itertuples():
-        if not (row.term or "").strip():
-            out.append(("mention", key[0], None, row.term, int(row.pos), None))
-            continue
-        vec = None if row.vec is None else list(row.vec)
-        name = state.resolve_author(row.term) if key[0] == "author" else state.resolve_term(row.term, vec, adjudicate)
-        out.append(("mention", key[0], name, row.term, int(row.pos), None))
+    rows = list(mentions.sort_values("pos").itertuples())
+    if key[0] == "author":
+        names = (state.resolve_author(r.term) if (r.term or "").strip() else None for r in rows)
+    else:
+        names = _resolved(state, rows, adjudicate)
+    out = [("mention", key[0], name, r.term, int(r.pos), None) for r, name in zip(rows, names, strict=True)]
     out += [("entity", key[0], n, None, u, None) for n, u in state.usage.items()]
     out += [("alias", key[0], n, a, 0, None) for a, n in state.alias.items()]
     out += [("vector", key[0], n, None, 0, v) for n, v in state.vectors.items()]

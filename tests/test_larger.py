@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -116,3 +117,21 @@ def test_pool_best_makes_no_row_for_each_pair(spark, tmp_path):
     assert len(same_as_sql(spark, tmp_path, "pool_best")) == 9
     plan = catalogue.queries()["pool_best"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_resolution_compares_few_entities_and_equals_the_plain_fold(monkeypatch):
+    plain = cat._cosine
+    for adjudicate in (None, lambda kind, term, names: names[len(term) % len(names)] if len(term) % 3 else None):
+        rng = np.random.default_rng(5)
+        base = rng.normal(size=(40, 4))
+        rows = [(f"Term {rng.integers(0, 900)}" if i % 50 else " ", i, None if i % 37 == 0 else base[i % 40] + rng.normal(size=4) * 0.15) for i in range(1500)]
+        state = cat.State("tag")
+        want = [state.resolve_term(t, None if v is None else v.tolist(), adjudicate) if t.strip() else None for t, _, v in rows]
+        calls = []
+        monkeypatch.setattr(cat, "_cosine", lambda a, b: calls.append(1) or plain(a, b))  # noqa: B023
+        known = pd.DataFrame(columns=["what", "name_", "other", "number", "vec", "pos"])
+        got = cat._fold(("tag",), pd.DataFrame(rows, columns=["term", "pos", "vec"]), known, adjudicate)
+        monkeypatch.setattr(cat, "_cosine", plain)
+        assert got[got.what == "mention"].name.tolist() == want
+        assert {r.name: r.number for r in got[got.what == "entity"].itertuples()} == state.usage
+        assert len(calls) < 10 * len(rows)
