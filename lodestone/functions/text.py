@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,9 @@ from pyspark.sql import types as T
 #: Letters below U+0250 whose decomposition is one letter and marks, with that letter: accents go without a UDF.
 _ACCENTED = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(c))) > 1 and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])}
 
+#: Bytes of texts that a function of batches takes at once.
+SLICE_BYTES = 1 << 21
+
 
 def fold_text(text: str) -> str:
     """Decomposed, without marks, lower case, single spaces."""
@@ -20,9 +26,22 @@ def fold_text(text: str) -> str:
     return " ".join(plain.lower().split())
 
 
-@F.pandas_udf(T.StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_text, na_action="ignore")
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in parts of so many bytes, or one longer text; one empty part if there are none."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts) or not len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield texts.slice(start, stop - start)
+        if not len(texts):
+            return
+        start = stop
+
+
+@F.arrow_udf(T.StringType())
+def fold(texts: pa.Array) -> pa.Array:
+    """fold_text() of each text; only the texts of one slice are Python strings at once."""
+    return pa.concat_arrays([pa.array([None if t is None else fold_text(t) for t in part.to_pylist()], pa.string()) for part in slices(texts)])
 
 
 def strip_accents(text: Column) -> Column:
