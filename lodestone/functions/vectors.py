@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.errors import UsageError
+from lodestone.functions.text import slices
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,14 +34,28 @@ def to_float32(a: Column) -> Column:
 
 
 def hashed_words(text: Column, dim: int = 32) -> Column:
-    """A deterministic embedding: words counted by the first byte of their SHA-256 modulo dim, brought to unit length."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    slots = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % dim)
-    # transform over a one-element array binds a value, which would else be computed again wherever it is used
-    counted = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double"))
-    counts = F.transform(F.array(slots), counted)[0]
-    scaled = lambda c: F.transform(F.array(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))), lambda n: F.transform(c, lambda v: F.when(n > 0, v / n).otherwise(0.0)))[0]
-    return F.transform(F.array(counts), scaled)[0]
+    """A deterministic embedding: words counted by the first byte of their SHA-256 modulo dim, brought to unit length; zeros without words.
+
+    Spark splits the text; the words of some texts are counted together by an Arrow function, each different one hashed once.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_counts(part, dim) for part in slices(texts)])
+
+    return counted(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+
+
+def _counts(texts: pa.Array, dim: int) -> pa.Array:
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    words = pc.list_flatten(lists)
+    full = pc.greater(pc.binary_length(words), 0)
+    row = pc.list_parent_indices(lists).filter(full).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.filter(full).dictionary_encode()
+    slot = np.fromiter((sha256(w.encode()).digest()[0] % dim for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    counts = np.bincount(row * dim + slot[coded.indices.to_numpy(zero_copy_only=False)], minlength=len(texts) * dim).reshape(-1, dim).astype(np.float64)
+    counts /= np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1.0)  # a word makes it 1 at least
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, dim, dtype=np.int32)), pa.array(counts.reshape(-1)))
 
 
 _EMBEDDERS: dict[str, Callable[[str], Callable[[Column], Column]]] = {"hashed-words": lambda model: hashed_words}

@@ -11,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as tx
+from lodestone.functions import vectors
 from lodestone.functions.nearest import Best, unit
 from lodestone.functions.vectors import cosine
 from lodestone.operators import catalog as cat
@@ -135,3 +137,22 @@ def test_resolution_compares_few_entities_and_equals_the_plain_fold(monkeypatch)
         assert got[got.what == "mention"].name.tolist() == want
         assert {r.name: r.number for r in got[got.what == "entity"].itertuples()} == state.usage
         assert len(calls) < 10 * len(rows)
+
+
+def test_folding_holds_few_texts_as_strings():
+    texts = pa.array([None, "", *(f"É{i} " * 1500 for i in range(6000))])  # 60 MB
+    made = []
+    assert peak_mb(lambda: made.append(tx.fold.func(texts))) < 30
+    assert len(made[0]) == len(texts) and made[0][0].as_py() is None and made[0][5].as_py() == tx.fold_text(texts[5].as_py())
+    assert tx.fold.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_equal_words_of_a_batch_are_hashed_once(spark, monkeypatch):
+    calls, plain = [], vectors.sha256
+    monkeypatch.setattr(vectors, "sha256", lambda w: calls.append(w) or plain(w))
+    found = vectors._counts(pa.array(["a b a", None, "", " b "] * 50), 32).to_pylist()
+    assert sorted(calls) == [b"a", b"b"] and found[1] == found[2] == [0.0] * 32 and sorted(found[0])[-1] == 2 / 5**0.5
+    monkeypatch.undo()
+    rows = [(0, None), (1, ""), (2, "A b_c İstanbul ΑΣ ß x\ty z ²³ 한국 éa"), (3, "..."), (4, "the the The")]
+    got = {r.i: r.e for r in spark.createDataFrame(rows, "i int, t string").select("i", vectors.hashed_words(F.col("t")).alias("e")).collect()}
+    assert got[0] == got[1] == got[3] == [0.0] * 32 and got[4][plain(b"the").digest()[0] % 32] == 1.0 and round(sum(x * x for x in got[2]), 9) == 1
