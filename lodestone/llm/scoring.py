@@ -438,7 +438,7 @@ def score_texts(docs: DataFrame, ranks_path: str, pattern: str, t: Training = Tr
     ranks = read_ranks(ranks_path)
     rows = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(held_col), F.lit(False)).alias("held"), column(text_col).cast("binary").alias("text"))
     made = rows.mapInArrow(partial(trimmed(_blocks), shared=spark.sparkContext.broadcast((ranks, pattern))), BLOCK)
-    blocks = cut(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks", compression="zstd")
+    blocks = cut(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks", compression="zstd", group_rows=1)
     names = [n for x in BLOCK.split(", ") if (n := x.split()[0]) != "keys"]  # what is read again and again
 
     found = blocks.select(*names).mapInArrow(_piece_counts, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary at most

@@ -49,11 +49,15 @@ def _cleanup() -> None:
             return
 
 
-def cut(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
-    """Write df to a new table in the shared folder and return a scan of it."""
+def cut(df: DataFrame, name: str = "cut", compression: str = "snappy", group_rows: int | None = None) -> DataFrame:
+    """Write df to a new table in the shared folder and return a scan of it.
+
+    group_rows is the number of rows that Parquet holds and reads at once, for rows of some MB.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    large = {} if group_rows is None else {"parquet.block.row.count.limit": str(group_rows), "parquet.page.row.count.limit": str(group_rows)}
+    df.write.options(**large).parquet(path, compression=compression)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path

@@ -9,6 +9,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -19,6 +21,7 @@ from lodestone.operators import catalog as cat
 from lodestone.operators import evaluation as ev
 from lodestone.operators import retrieval
 from lodestone.plans import catalogue
+from lodestone.plans.materialize import cut, release
 
 
 def same_as_sql(spark, folder, name):
@@ -156,3 +159,20 @@ def test_equal_words_of_a_batch_are_hashed_once(spark, monkeypatch):
     rows = [(0, None), (1, ""), (2, "A b_c İstanbul ΑΣ ß x\ty z ²³ 한국 éa"), (3, "..."), (4, "the the The")]
     got = {r.i: r.e for r in spark.createDataFrame(rows, "i int, t string").select("i", vectors.hashed_words(F.col("t")).alias("e")).collect()}
     assert got[0] == got[1] == got[3] == [0.0] * 32 and got[4][plain(b"the").digest()[0] % 32] == 1.0 and round(sum(x * x for x in got[2]), 9) == 1
+
+
+def test_rows_of_some_mb_are_written_and_read_one_by_one(spark):
+    made = cut(spark.range(0, 7, 1, 1).withColumn("x", F.repeat(F.lit("a"), 1000)), "large-rows", group_rows=1)
+    files = list(Path(made._lodestone_path.removeprefix("file://")).glob("*.parquet"))
+    assert made.count() == 7 and [g for f in files for g in range(pq.read_metadata(f).num_row_groups)] == list(range(7))
+    release(made)
+
+
+def test_blocks_of_the_language_model_are_rows_of_their_own(spark, monkeypatch):
+    scoring = pytest.importorskip("lodestone.llm.scoring")
+    asked = {}
+    monkeypatch.setattr(scoring, "cut", lambda df, name, **how: asked.setdefault(name, how) and None or cut(df, name, **how))
+    docs = spark.createDataFrame([(i, "a b c", False) for i in range(5)], "doc_id long, text string, held_out boolean")
+    ranks = {bytes([i]): i for i in range(256)}
+    monkeypatch.setattr(scoring, "read_ranks", lambda path: ranks)
+    assert scoring.score_texts(docs, "", r"\S+|\s+").count() == 5 and asked["lm-blocks"]["group_rows"] == 1
