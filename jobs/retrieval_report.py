@@ -27,7 +27,7 @@ from lodestone.errors import UsageError
 from lodestone.functions.vectors import get_embedder
 from lodestone.operators.evaluation import mean_reciprocal_rank
 from lodestone.operators.passages import holders
-from lodestone.operators.retrieval import bm25, bucket_of, corpus_size, knn, postings, rrf
+from lodestone.operators.retrieval import bm25, corpus_size, knn, listed_postings, rrf
 from lodestone.plans.materialize import cut, release
 
 log = logging.getLogger("jobs.retrieval_report")
@@ -57,7 +57,7 @@ def searched(docs: DataFrame, asked: DataFrame, config: ReportConfig) -> tuple[d
     made: list[DataFrame] = []
     text = vector = None
     if {"text", "hybrid"} & set(config.modes):
-        index = cut(postings(docs.select(F.col("doc_id").alias("chunk_id"), "text").where("text is not null")).select(bucket_of(F.col("term")).alias("bucket"), "term", "chunk_id", "tf", "len"), "report-postings")
+        index = cut(listed_postings(docs.select(F.col("doc_id").alias("chunk_id"), "text").where("text is not null")), "report-postings")
         text = cut(bm25(index, asked, config.depth, *corpus_size(index)), "report-text")
         found["text"] = text.select("qid", F.col("chunk_id").alias("doc_id"), F.col("fts_rank").alias("rank"), F.col("bm25").alias("score"))
         made += [index, text]

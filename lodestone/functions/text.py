@@ -77,6 +77,24 @@ def joined_terms(text: Column) -> Column:
     return F.regexp_replace(F.lower(strip_accents(text)), r"[^\p{L}\p{N}]+", " ")
 
 
+def unless_ascii(text: Column, joined: Column) -> Column:
+    """A text of ASCII characters as it is, for ascii_joined(), another one joined by Spark."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(joined)
+
+
+def ascii_joined(texts: pa.Array, also: bytes = b"") -> pa.Array:
+    """Of texts without nulls the ASCII letters in lower case, digits and `also` as they are, other ASCII characters as spaces.
+
+    Characters beyond ASCII stay, so a text that was joined already stays as it is.
+    """
+    table = bytes(c if c > 127 or c in also else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+    if not len(texts):
+        return texts
+    _, offsets, data = texts.buffers()
+    data = pa.py_buffer((b"" if data is None else data.to_pybytes()).translate(table))
+    return pa.StringArray.from_buffers(len(texts), offsets, data, None, 0, texts.offset)
+
+
 def year_of(date: Column) -> Column:
     """The first four-digit number, as a string."""
     return F.nullif(F.regexp_extract(date, r"\b(\d{4})\b", 1), F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.errors import UsageError
-from lodestone.functions.text import slices
+from lodestone.functions.text import ascii_joined, slices, unless_ascii
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,11 +43,11 @@ def hashed_words(text: Column, dim: int = 32) -> Column:
     def counted(texts: pa.Array) -> pa.Array:
         return pa.concat_arrays([_counts(part, dim) for part in slices(texts)])
 
-    return counted(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+    return counted(unless_ascii(text, F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")))
 
 
 def _counts(texts: pa.Array, dim: int) -> pa.Array:
-    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    lists = pc.split_pattern(ascii_joined(pa.concat_arrays([pc.fill_null(texts, "")]), b"_"), " ")
     words = pc.list_flatten(lists)
     full = pc.greater(pc.binary_length(words), 0)
     row = pc.list_parent_indices(lists).filter(full).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.errors import UsageError
 from lodestone.functions.ranking import parse_agg
 from lodestone.functions.text import fold, fold_text, strip_accents
-from lodestone.operators.retrieval import bm25, corpus_size, knn, postings, rrf
+from lodestone.operators.retrieval import bm25, corpus_size, knn, listed_postings, rrf
 
 #: Chunks asked for: FACTOR times the results wanted, at least LEAST, and LEAST_FILTERED if a facet filter follows.
 FACTOR, LEAST, LEAST_FILTERED = 10, 200, 2000
@@ -127,7 +127,7 @@ class IndexTables:
     vectors: DataFrame  # chunk_id, embedding
     doc_tags: DataFrame  # document_id, tag
     doc_authors: DataFrame  # document_id, author, seq
-    postings: DataFrame | None = None  # bucket, term, chunk_id, tf, len
+    postings: DataFrame | None = None  # bucket, term, chunk_id, tf, len; or chunk_id, len, terms, tfs
     size: tuple[int, int] | None = None  # chunks with any word, and words, of the postings
 
 
@@ -174,7 +174,7 @@ def search(
     allowed = filter_documents(t.documents, t.doc_tags, t.doc_authors, tags, authors, types)
     k = chunks_wanted(n, allowed is not None and not prefilter)
     owner = t.chunks.join(t.files.select("file_id", "document_id"), "file_id").select("chunk_id", "document_id")
-    vectors, words = t.vectors, t.postings if t.postings is not None else postings(t.chunks)
+    vectors, words = t.vectors, t.postings if t.postings is not None else listed_postings(t.chunks)
     size = t.size if t.size is not None and t.postings is not None else corpus_size(words)
     if allowed is not None and prefilter:
         inside = owner.join(allowed, "document_id", "left_semi").select("chunk_id")

@@ -11,7 +11,7 @@ from lodestone.functions import text as tx
 from lodestone.functions.ranking import parse_agg
 from lodestone.functions.vectors import cosine, hashed_words
 from lodestone.operators import documents as doc_ops
-from lodestone.operators.retrieval import bm25, bucket_of, corpus_size, knn, postings, rrf
+from lodestone.operators.retrieval import bm25, corpus_size, knn, listed_postings, postings, rrf
 from lodestone.plans.materialize import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,7 +140,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_id
 
 def stored_postings(chunks: DataFrame) -> DataFrame:
     """The postings of (chunk_id, text), written once: counts, document frequencies and hits read them."""
-    return cut(postings(chunks).select(bucket_of(F.col("term")).alias("bucket"), "term", "chunk_id", "tf", "len"), "postings")
+    return cut(listed_postings(chunks), "postings")
 
 
 def _text_hits(spark, sf_dir, k):

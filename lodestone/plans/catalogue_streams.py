@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import bm25, corpus_size
+from lodestone.operators.retrieval import bm25, corpus_size, frequencies
 from lodestone.plans.catalogue import _BM25, query, stored_postings, table
 from lodestone.plans.index import Index
-from lodestone.plans.materialize import shared_dir
+from lodestone.plans.materialize import cut, shared_dir
 from lodestone.streaming.ingest import ingest
 from lodestone.streaming.live import file_arrivals, live
 
@@ -42,13 +42,13 @@ SELECT md5(trim(text)) AS asked, fts_rank::INT AS rank, chunk_id AS doc_id FROM
 def live_replay(spark, sf_dir):
     """Lots of ten queries typed one after the other into a live session: each lot's last is answered, with its five best documents."""
     index = stored_postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
-    size = corpus_size(index)
+    size, counts = corpus_size(index), cut(frequencies(index), "frequencies")
     place = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     typed = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 10).alias("lot"), F.col("item_id").alias("n"), F.col("text").alias("query"))
     typed.repartition("lot").write.partitionBy("lot").json(f"{place}/in")  # a lot is one file, and so one micro-batch
 
     def search(asked):
-        hits = bm25(index, asked, 5, *size).join(asked, "qid")
+        hits = bm25(index, asked, 5, *size, counts).join(asked, "qid")
         return hits.select("qid", F.col("fts_rank").alias("rank"), F.concat_ws("\t", F.md5("query"), "fts_rank", "chunk_id").alias("line"))
 
     said: list[str] = []  # five lines for each lot

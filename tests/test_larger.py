@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tracemalloc
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -176,3 +177,46 @@ def test_blocks_of_the_language_model_are_rows_of_their_own(spark, monkeypatch):
     ranks = {bytes([i]): i for i in range(256)}
     monkeypatch.setattr(scoring, "read_ranks", lambda path: ranks)
     assert scoring.score_texts(docs, "", r"\S+|\s+").count() == 5 and asked["lm-blocks"]["group_rows"] == 1
+
+
+def test_a_search_makes_no_row_for_a_pair_of_word_and_query(spark, monkeypatch):
+    texts = [(i, f"same {'words ' * (i % 5)}here w{i % 7} É{i % 3}" if i % 11 else None if i % 2 else " ") for i in range(3000)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(q, f"same words here w{q % 9} e{q % 4} e1 absent") for q in range(300)] + [(998, "absent"), (999, None)], "qid long, query string")
+    monkeypatch.setattr(retrieval, "SCORED_QUERIES", 64)
+    rows, listed = retrieval.postings(chunks), cut(retrieval.listed_postings(chunks), "listed")
+    size = retrieval.corpus_size(listed)
+    assert size == retrieval.corpus_size(rows)
+    plain = {}
+    df, mean = rows.groupBy("term").count().rdd.collectAsMap(), size[1] / size[0]
+    for r in rows.collect():
+        for q in range(300):
+            times = f"same words here w{q % 9} e{q % 4} e1".split().count(r.term)
+            if times:
+                idf = np.log((size[0] - df[r.term] + 0.5) / (df[r.term] + 0.5))
+                plain.setdefault(q, Counter())[r.chunk_id] += times * max(idf, 1e-6) * r.tf * 2.2 / (r.tf + 1.2 * (0.25 + 0.75 * r.len / mean))
+    want = {(q, n + 1): (c, s) for q, sums in plain.items() for n, (s, c) in enumerate((-s, c) for s, c in sorted((-round(s, 9), c) for c, s in sums.items())[:8])}
+    counts = retrieval.frequencies(listed)
+    assert counts.rdd.collectAsMap() == df
+    for index, known in ((rows, None), (listed, None), (listed, counts), (rows, counts)):
+        hits = retrieval.bm25(index, queries, 8, *size, known)
+        got = {(r.qid, r.fts_rank): (r.chunk_id, r.bm25) for r in hits.collect()}
+        assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-9 for x in got)
+    # before, the texts' words were joined with all queries that ask for them
+    joins = retrieval.bm25(listed, queries, 8, *size)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in joins and "MapInArrow" in joins
+    monkeypatch.setattr(retrieval, "BROADCAST_WEIGHTS", 500)
+    again = {(r.qid, r.fts_rank): (r.chunk_id, r.bm25) for r in retrieval.bm25(listed, queries, 8, *size).collect()}
+    assert again == got
+
+
+def test_ascii_texts_are_joined_as_others_are(spark):
+    every = "".join(map(chr, range(128)))
+    rows = [(0, every), (1, every + "É"), (2, ""), (3, None), (4, "A_b C d ²"), (5, "x" * 9)]
+    d = spark.createDataFrame(rows, "chunk_id long, text string")
+    want = {r.chunk_id: Counter(r.words) for r in d.select("chunk_id", tx.index_terms(F.col("text")).alias("words")).where("text is not null").collect()}
+    got = {i: Counter() for i in want}
+    for r in retrieval.postings(d).collect():
+        got[r.chunk_id][r.term] += r.tf
+    assert got == want
+    assert tx.ascii_joined(pa.array(["q", "A_b-C", "é_É"]).slice(1), b"_").to_pylist() == ["a_b c", "é_É"]
