@@ -20,7 +20,7 @@ from lodestone.functions.nearest import Best, unit
 from lodestone.functions.vectors import cosine
 from lodestone.operators import catalog as cat
 from lodestone.operators import evaluation as ev
-from lodestone.operators import retrieval
+from lodestone.operators import passages, retrieval
 from lodestone.plans import catalogue
 from lodestone.plans.materialize import cut, release
 
@@ -220,3 +220,17 @@ def test_ascii_texts_are_joined_as_others_are(spark):
         got[r.chunk_id][r.term] += r.tf
     assert got == want
     assert tx.ascii_joined(pa.array(["q", "A_b-C", "é_É"]).slice(1), b"_").to_pylist() == ["a_b c", "é_É"]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_passages_are_found_in_one_pass_or_by_a_join(spark, monkeypatch, most):
+    monkeypatch.setattr(passages, "BROADCAST_ANCHORS", most)
+    docs = [(1, "a red\x0bwhale  sings ünder the sea"), (2, "red whale sings"), (3, None), (4, ""), (5, "x\x1cy red whale sings under the sea"), (6, "and a red whale sings at sea, a red whale sings"), (6, "and a red whale sings at sea, a red whale sings")]
+    asked = [(0, "a red\x0bwhale  sings ünd"), (1, "red whale sings"), (2, "d a red whale sings at s"), (3, "a red whale sings at s"), (4, None), (5, ""), (6, "y red whale sings under the sea"), (7, "an absent whale sings at sea"), (8, "whale")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "qid long, passage string")
+    want = {(q, i) for q, p in asked for i, t in docs if p and t and p in t}
+    found = passages.holders(d, q)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = passages.holders(d, q.where("qid in (0, 2, 3)"))._jdf.queryExecution().executedPlan().toString()
+    assert ("Join" in plan) == (most == 0)  # before, every three words of a text went into a join
