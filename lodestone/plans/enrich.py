@@ -57,8 +57,10 @@ class Enricher:
         an answer that doesn't fit adds nothing.
         """
         first = texts.groupBy("document_id").agg(F.min_by("file_id", "path").alias("file_id"))
-        plain = cut(texts.join(first.select("file_id"), "file_id", "left_semi"), "enrich-texts")
-        tables = [plain]
+        # Texts are read where they lie and never shuffled or copied as long as the files to leave out are few; these are stored, so that their size is known.
+        others = cut(texts.select("file_id").join(first.select("file_id"), "file_id", "left_anti"), "enrich-others")
+        plain = texts.join(others, "file_id", "left_anti")
+        tables = [others]
 
         def asked(*args, **named) -> DataFrame:
             tables.append(ask(*args, **named))
@@ -66,20 +68,24 @@ class Enricher:
 
         title = F.coalesce("title", F.lit(""))
         viewed = asked(plain, ["file_id"], "views", self.model, _filled(VIEWS_ASK, text=F.substring("text", 1, CONTEXT)))
-        seen = plain.join(viewed.select("file_id", F.col("answer").alias("views"), F.col("failure").alias("f_views")), "file_id")
+        seen = plain.drop("text").join(viewed.select("file_id", F.col("answer").alias("views"), F.col("failure").alias("f_views")), "file_id")
         figures = self._figures(plain, scans, asked)
 
         pending = F.col("f_views").isNotNull() | F.coalesce("f_figures", F.lit(False))
         so_far = cut(seen.join(figures, "file_id", "left").withColumn("pending", pending), "enrich-views")
         tables.append(so_far)
-        going = so_far.where("not pending and views is not null")
+        is_going = ~F.col("pending") & F.col("views").isNotNull()
+        going = so_far.where(is_going)
+        stopped = cut(so_far.where(~is_going).select("file_id"), "enrich-stopped")
+        tables.append(stopped)
+        going_texts = plain.join(stopped, "file_id", "left_anti")
         tag_names, type_names = _names(c, "tag"), _names(c, "doctype")
         shown = lambda names: F.lit("\n".join(names) or "(empty)")
         tagged = asked(going, ["file_id"], "tags", self.model, _filled(TAGS_ASK, vocabulary=shown(tag_names), title=title, summary=tagging_summary(F.col("views"))))
         about = {"title": title, "text": F.substring("text", 1, EXCERPT)}
-        typed = asked(going, ["file_id"], "doc_type", self.model, _filled(TYPE_ASK, vocabulary=shown(type_names), hint=F.coalesce(F.nullif("hint", F.lit("")), F.lit("unknown")), **about))
+        typed = asked(going_texts, ["file_id"], "doc_type", self.model, _filled(TYPE_ASK, vocabulary=shown(type_names), hint=F.coalesce(F.nullif("hint", F.lit("")), F.lit("unknown")), **about))
         typed = typed.select("file_id", F.col("answer.doc_type").alias("proposed"), F.col("failure").alias("f_type"))
-        unclear = going.join(typed.where("f_type is null").where(is_generic(F.col("proposed"))), "file_id", "left_semi")
+        unclear = going_texts.join(typed.where("f_type is null").where(is_generic(F.col("proposed"))), "file_id", "left_semi")
         if type_names:
             forced = asked(unclear, ["file_id"], "doc_type", self.model, _filled(TYPE_ASK, vocabulary=shown(type_names), hint=F.lit("choose the closest type of the vocabulary"), **about), choices=type_names)
             typed = typed.join(forced.select("file_id", F.col("answer.doc_type").alias("forced"), F.col("failure").alias("f_forced")), "file_id", "left")
@@ -89,7 +95,7 @@ class Enricher:
         every = so_far.join(raw, "file_id", "left").join(typed, "file_id", "left")
         failed = F.col("pending") | F.coalesce("f_tags", "f_type", "f_forced").isNotNull()
         every = every.withColumn("pending", failed).withColumn("raw_type", resolve_doc_type(F.col("proposed"), F.col("forced"), F.lit(len(type_names))))
-        every = cut(every.drop("text"), "enrich-answers")
+        every = cut(every, "enrich-answers")
 
         good = every.where("not pending")
         mentions = good.select("document_id", F.lit("tag").alias("kind"), F.explode("raw_tags").alias("term")).unionByName(good.select("document_id", F.lit("doctype").alias("kind"), F.col("raw_type").alias("term")))

@@ -44,6 +44,8 @@ if TYPE_CHECKING:
 SCHEMA_VERSION = 3
 #: Parts of each table, fixed when an index is made.
 PARTS = 128
+#: Chunks whose words a task sorts.
+TASK_CHUNKS = 20_000
 FILE_TABLES, DOCUMENT_TABLES = ("files", "chunks", "vectors", "postings"), ("documents", "doc_tags", "doc_authors")
 SCHEMAS = {
     "documents": "document_id long, key string, title string, meta map<string,string>, doc_type string, summary string",
@@ -195,7 +197,8 @@ class Index:
                 self.manifest["tables"][name] = place
                 continue
             order = ["part", "bucket", "term"] if name == "postings" else ["part"]
-            df.hint("rebalance", "part").sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/{place}")
+            dealt = df if name == "postings" else df.hint("rebalance", "part")  # postings were, as chunks
+            dealt.sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/{place}", compression="zstd")
             written = {s.getPath().getName()[5:] for s in self._fs.globStatus(self._p(f"{place}/part=*")) or []}
             placed = {k: p for k, p in self.manifest["parts"].get(name, {}).items() if int(k) not in set(changed[name])}
             self.manifest["parts"][name] = placed | {k: f"{place}/part={k}" for k in sorted(written, key=int)}
@@ -296,23 +299,27 @@ class Index:
         pieces = F.when(F.col("text").isNotNull() & F.col("error").isNull(), chunk(F.col("text"), F.col("title")))
         status = F.when(F.col("error").isNotNull(), "error").when(F.col("text").isNull(), "no_text").when(F.col("pieces").isNull(), "llm_pending").when(F.size("pieces") == 0, "no_text").otherwise("ok")
         made = read.select(stable_id("key").alias("document_id"), stable_id("path").alias("file_id"), "path", "fingerprint", "title", "hint", "text", "error", pieces.alias("pieces"))
-        made = cut(made.withColumn("status", status).drop("error", *([] if enrich else ["title", "hint", "text"])), "index-texts")
+        made = made.withColumn("status", status).withColumn("n_pieces", F.size("pieces")).drop("error", *([] if enrich else ["title", "hint", "text"]))
+        made = cut(made, "index-texts", compression="zstd")
         texts, found = [made], None
         if enrich:
             scans = work.where(is_pdf).select("path", (F.col("content") if "content" in work.columns else F.lit(None).cast("binary")).alias("content"))
             ready = made.where("status = 'ok'").select("file_id", "document_id", "path", "title", "text", "hint")
             found = enrich.run(ready, scans, self.catalog())
             extra = cut(found.files, "index-extra")
-            state = F.when(F.col("pending"), F.lit("llm_pending")).otherwise(F.col("status"))
-            made = made.join(extra.select("file_id", "pending", "extra"), "file_id", "left").withColumn("status", state)
-        new_files = made.select("file_id", "document_id", "path", "fingerprint", "status")
+            held = cut(extra.where("pending").select("file_id"), "index-held")
+            texts += [extra, held]
+            ready = made.drop("text", "pieces").join(extra.select("file_id", "pending", "extra"), "file_id", "left")
+            ready = ready.withColumn("status", F.when(F.col("pending"), F.lit("llm_pending")).otherwise(F.col("status")))
+        new_files = (ready if found else made).select("file_id", "document_id", "path", "fingerprint", "status")
         split = made.where("status = 'ok'").select("file_id", F.posexplode("pieces").alias("seq", "text"))
         split = split.withColumn("kind", F.lit("body"))
         if found:
-            more = made.where("status = 'ok'").select("file_id", F.size("pieces").alias("n"), F.posexplode("extra").alias("i", "x"))
+            split = split.join(held, "file_id", "left_anti")
+            more = ready.where("status = 'ok'").select("file_id", F.col("n_pieces").alias("n"), F.posexplode("extra").alias("i", "x"))
             split = split.unionByName(more.select("file_id", (F.col("n") + F.col("i")).alias("seq"), "x.text", "x.kind"))
         new_chunks = split.select(stable_id("file_id", "seq").alias("chunk_id"), "file_id", "seq", "text", "kind")
-        new_chunks = cut(new_chunks.withColumn("embedding", embed(F.col("text"))), "index-chunks")
+        new_chunks = cut(new_chunks.withColumn("embedding", embed(F.col("text"))), "index-chunks", compression="zstd")
         dims = {r["d"]: r["n"] for r in new_chunks.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).limit(2).collect()}
         if len({*dims, *([self.manifest["meta"]["dim"]] if "dim" in self.manifest["meta"] else [])}) > 1:
             release(*texts, new_chunks)
@@ -321,7 +328,7 @@ class Index:
             self.manifest["meta"]["dim"] = next(iter(dims))
         self.report = {r["status"]: r["n"] for r in new_files.groupBy("status").agg(F.count("*").alias("n")).collect()} | {"chunks": sum(dims.values())}
 
-        parted, parts = self._files(new_files.select("path").unionByName(gone), new_files, new_chunks)
+        parted, parts = self._files(new_files.select("path").unionByName(gone), new_files, new_chunks, self.report["chunks"])
         # Documents to look at: of processed and of forgotten files, and those whose title or meta is another now.
         known = self.table("documents")
         plain = lambda m: F.array_sort(F.map_entries(m))  # noqa: E731  maps can't be compared
@@ -355,7 +362,7 @@ class Index:
             c = found.catalog
             parted |= {"entities": c.entities, "aliases": c.aliases, "term_vectors": c.vectors, "merges": c.merges}
         self.commit(parted, parts | dict.fromkeys(DOCUMENT_TABLES, touched))
-        release(*texts, new_chunks, affected, documents, *([extra, *found.tables] if found else []))
+        release(*texts, new_chunks, affected, documents, *(found.tables if found else []))
 
     def _touched(self, found: DataFrame, tables: tuple[str, ...]) -> list[int]:
         """The parts found; all of them if the index still has these tables as a whole."""
@@ -368,8 +375,11 @@ class Index:
         rest = [p for p in range(self.manifest["n_parts"]) if p not in set(touched)]
         return (self.table("files", rest) if rest and not self.manifest["tables"].get("files") else self.table("files").where("false")).select("document_id")
 
-    def _files(self, replaced: DataFrame, new_files: DataFrame | None = None, new_chunks: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:
-        """(rows with their part, parts) of the tables of files: of the parts of the replaced paths, with new rows in place of old ones."""
+    def _files(self, replaced: DataFrame, new_files: DataFrame | None = None, new_chunks: DataFrame | None = None, n_chunks: int = 0) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:
+        """(rows with their part, parts) of the tables of files: of the parts of the replaced paths, with new rows in place of old ones.
+
+        Postings come dealt by their part: new ones are made of chunks that were dealt, as a text is smaller than its words.
+        """
         n = self.manifest["n_parts"]
         touched = self._touched(replaced.select(part_of(stable_id("path"), n)), FILE_TABLES)
         files = self.table("files", touched).join(replaced, "path", "left_anti")
@@ -377,13 +387,19 @@ class Index:
         chunks = self.table("chunks", touched).join(files.select("file_id"), "file_id", "left_semi").withColumn("part", part_of("file_id", n))
         places = chunks.select("chunk_id", "part")
         vectors, words = (self.table(t, touched).join(places, "chunk_id") for t in ("vectors", "postings"))
+        words = words.hint("rebalance", "part")
         files = files.withColumn("part", part_of("file_id", n))
         if new_files is not None and new_chunks is not None:
             mine = new_chunks.withColumn("part", part_of("file_id", n))
             files = files.unionByName(new_files.withColumn("part", part_of("file_id", n)))
             chunks = chunks.unionByName(mine.drop("embedding"))
             vectors = vectors.unionByName(mine.select("chunk_id", "embedding", "part"))
-            words = words.unionByName(self._postings(mine))
+            tasks = max(1, -(-n_chunks // TASK_CHUNKS))
+            pieces = -(-tasks // max(1, len(touched)))
+            if 2 * tasks > len(touched):
+                tasks = pieces * max(1, len(touched))
+            task = F.pmod(F.col("part") * pieces + F.pmod(F.col("chunk_id"), F.lit(pieces)), F.lit(tasks)).cast("int")
+            words = words.unionByName(self._postings(mine.select("chunk_id", "text", "part").repartitionById(tasks, task)))
         return {"files": files, "chunks": chunks, "vectors": vectors, "postings": words}, dict.fromkeys(FILE_TABLES, touched)
 
     @staticmethod

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.errors import EnvironmentFailure
 from lodestone.operators.catalog import Catalog
 from lodestone.plans.enrich import PAGES, Enricher, page_batches
+from lodestone.operators.retrieval import postings
 from lodestone.plans.index import Index, kind_counts
+from lodestone.plans.materialize import cut
 
 
 def source(spark, files):
@@ -132,3 +134,20 @@ def test_no_more_pages_than_asked_are_drawn():
 
     got = list(page_batches(iter([pd.DataFrame({"file_id": [1], "title": ["t"], "content": [b""]})]), many))
     assert [(int(g["start"][0]), len(g["images"][0])) for g in got] == [(s, 8) for s in range(0, PAGES, 8)] and len(drawn) == PAGES
+
+
+def test_texts_are_not_copied(spark, tmp_path, model, monkeypatch):
+    """What an enricher stores on its way has no texts, and of two files of a document only the first is asked about."""
+    from lodestone.plans import enrich, index as ix
+
+    stored, dealt = [], []
+    monkeypatch.setattr(enrich, "cut", lambda df, *a, **k: stored.append(set(df.columns)) or cut(df, *a, **k))
+    monkeypatch.setattr(ix, "postings", lambda chunks: dealt.append(chunks._jdf.queryExecution().analyzed().toString()) or postings(chunks))
+    rows = spark.createDataFrame([("d", "t", "b.txt", "1", "second " * 20), ("d", "t", "a.txt", "1", "first " * 20), ("e", "t", "c.txt", "1", "third " * 20)], "key string, title string, path string, fingerprint string, text string")
+    index = Index(spark, str(tmp_path / "i"), create=True, parts=4)
+    index.sync(rows, F.col("text"), enrich=Enricher(model[0]))
+    assert stored and not any("text" in columns for columns in stored)
+    assert all("Repartition" in plan for plan in dealt)  # chunks are shuffled, not their words
+    views = index.table("chunks").where("kind = 'view'").join(index.table("files"), "file_id")
+    assert {r.path for r in views.select("path").distinct().collect()} == {"a.txt", "c.txt"}
+    assert index.table("postings").where("term = 'second'").count() == 1
