@@ -11,16 +11,18 @@ The corpus is tokenized once into blocks (texts of some MB with a vocabulary of
 In each round every block is learned from alone, from the same start, by the windows of one lot; the mean of the
 blocks' weights is the next round's start.  After as many rounds as there are lots every window of the training
 texts was learned from once.  A block's part doesn't depend on the task or place that it falls to.  The unigram
-base scores come from word counts, which are joined with the vocabularies of the blocks.
+base scores come from word counts: vocabularies are counted in parts by hash, and a block gets its words' counts back.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import pairwise
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ from lodestone.plans.materialize import cut, release
 HEAD, CLUSTER, TRAINED = 128, 512, 8192
 WINDOW, OVERLAP = 32, 4
 STEP = WINDOW - OVERLAP
+#: Weights that Adam takes at once.
+PIECE = 16_384
 #: Texts and bytes of a block.
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 8 << 20
 
@@ -63,7 +67,7 @@ class Attention:
 
     def __init__(self, counts: np.ndarray, t: Training):
         rng = np.random.default_rng(t.seed)
-        d, self.slots = t.dim, len(counts)
+        d, self.slots, self.row = t.dim, len(counts), None
         small = lambda *shape: rng.normal(0, d**-0.5, shape).astype(np.float32)
         self.head = min(HEAD, self.slots)
         self.clusters = -(-(self.slots - self.head) // CLUSTER)
@@ -89,6 +93,7 @@ class Attention:
         }
         self.scale = np.float32(d**-0.5)
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.reshape(-1) for w in self.p.values()])
@@ -101,119 +106,203 @@ class Attention:
 
     def inputs(self, slots: np.ndarray) -> np.ndarray:
         """Input rows of slots: their own, one for all without, and BEGIN (slot -1)."""
-        return np.where(slots < 0, self.own + 1, np.minimum(slots, self.own))
+        rows = np.where(slots < 0, self.own + 1, np.minimum(slots, self.own))
+        return rows if self.row is None else self.row[rows]
+
+    def only(self, slots: np.ndarray) -> dict[str, np.ndarray]:
+        """Leave the input rows of these slots alone, as a row without gradients never moves; returns all rows for put()."""
+        full = {name: self.p[name] for name in ("now", "last")}
+        rows = np.flatnonzero(np.bincount(self.inputs(slots), minlength=self.own + 2))
+        self.row = np.zeros(self.own + 2, np.int32)
+        self.row[rows] = np.arange(len(rows))
+        self.rows = rows
+        for name, w in full.items():
+            self.p[name] = w[rows]
+        return full
+
+    def put(self, full: dict[str, np.ndarray]) -> None:
+        """Put the rows that only() left back among all."""
+        for name, w in full.items():
+            w[self.rows] = self.p[name]
+            self.p[name] = w
+        self.row = None
 
     def _forward(self, now: np.ndarray, last: np.ndarray) -> tuple:
+        """Of all positions behind each other; queries, keys, values and shares by window, shares not divided by their sums."""
         p = self.p
         d = p["o"].shape[0]
-        x = p["now"][now]
-        x += p["last"][last]
+        x = p["now"].take(now, 0)
+        x += p["last"].take(last, 0)
         x += p["place"]
-        qkv = x @ p["qkv"]
+        x = x.reshape(-1, d)
+        qkv = (x @ self._projection()).reshape(*now.shape, 3 * d)
         q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-        s = np.matmul(q * self.scale, k.transpose(0, 2, 1))
-        s += self.mask
-        s -= s.max(2, keepdims=True)
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        if not _exponent(s):
+            s += self.mask
+            s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        mixed = np.matmul(s, v)
-        y = x + mixed @ p["o"]
-        z = np.maximum(y @ p["m1"], 0)
-        return x, q, k, v, s, mixed, y, z, y + z @ p["m2"]
+        s *= self.seen
+        r = 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype))[:, None]
+        mixed = np.matmul(s, v).reshape(-1, d)
+        mixed *= r
+        y = mixed @ p["o"]
+        y += x
+        z = y @ p["m1"]
+        np.maximum(z, 0, out=z)
+        h = z @ p["m2"]
+        h += y
+        return x, q, k, v, s, r, mixed, y, z, h
+
+    def _projection(self) -> np.ndarray:
+        """To queries, keys and values, queries scaled."""
+        w = self.p["qkv"].copy()
+        w[:, : len(w)] *= self.scale
+        return w
 
     def _outcomes(self, h: np.ndarray, target: np.ndarray, learn: bool = False) -> tuple:
         """Natural log probabilities of the targets, and with learn the gradients of their negative sum."""
         p = self.p
+        d = h.shape[1]
         cluster = np.maximum(target - self.head, -1) // CLUSTER
         outcome = np.where(cluster < 0, target, self.head + cluster)
-        e = h @ p["first"].T
-        e += p["first_bias"]
+        one = np.ones((len(h), d + 1), h.dtype)  # the last column meets the biases
+        one[:, :d] = h
+        first = np.column_stack([p["first"], p["first_bias"]])
+        e = one @ first.T
         at = np.arange(len(h))
-        np.minimum(e, 60, out=e)  # logits start at log shares, so a sum of their exponentials neither overflows nor vanishes
+        if len(h) and e.max() > 60:
+            np.minimum(e, 60, out=e)  # logits start at log shares, so a sum of their exponentials neither overflows nor vanishes
         logp = e[at, outcome]
-        np.exp(e, out=e)
-        total = e.sum(1)
+        total = _sums(e)
         logp -= np.log(total)
         grads = dh = None
         if learn:
-            e /= total[:, None]
-            e[at, outcome] -= 1
-            dh = e @ p["first"]
-            grads = {"first": e.T @ h, "first_bias": e.sum(0), "inside": np.zeros_like(p["inside"]), "inside_bias": np.zeros_like(p["inside_bias"])}
+            dh, g = _unlearn(e, at, outcome, total, one, p["first"])
+            grads = {"first": g[:, :d], "first_bias": g[:, d], "inside": np.zeros_like(p["inside"]), "inside_bias": np.zeros_like(p["inside_bias"])}
         tail = np.flatnonzero(cluster >= 0)
-        tail = tail[np.argsort(cluster[tail], kind="stable")]
-        for mine in np.split(tail, np.flatnonzero(np.diff(cluster[tail])) + 1) if len(tail) else []:
-            a = int(cluster[mine[0]]) * CLUSTER
+        if not len(tail):
+            return logp, dh, grads
+        of = cluster[tail].astype(np.int16)
+        order = np.argsort(of, kind="stable")
+        tail, of = tail[order], of[order]
+        item, one, more = target[tail] - self.head, one[tail], np.zeros((len(tail), d), h.dtype)
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        part = np.empty(len(tail), h.dtype)
+        for i, j in pairwise(cuts):
+            a = int(of[i]) * CLUSTER
             b = min(a + CLUSTER, self.slots - self.head)
-            item = target[mine] - self.head
             if a >= self.own - self.head:
-                logp[mine] += self.fixed[item - (self.own - self.head)]
+                part[i:j] = self.fixed[item[i:j] - (self.own - self.head)]
                 continue
-            e = h[mine] @ p["inside"][a:b].T + p["inside_bias"][a:b]
-            e -= e.max(1, keepdims=True)
-            here = np.arange(len(mine))
-            logp[mine] += e[here, item - a]
-            np.exp(e, out=e)
-            total = e.sum(1)
-            logp[mine] -= np.log(total)
+            inside = p["inside"][a:b]
+            e = one[i:j] @ np.column_stack([inside, p["inside_bias"][a:b]]).T
+            if not _exponent(e):
+                e -= e.max(1, keepdims=True)
+            mine, here = item[i:j] - a, at[: j - i]
+            part[i:j] = e[here, mine]
+            total = _sums(e)
+            part[i:j] -= np.log(total)
             if learn:
-                e /= total[:, None]
-                e[here, item - a] -= 1
-                dh[mine] += e @ p["inside"][a:b]
-                grads["inside"][a:b], grads["inside_bias"][a:b] = e.T @ h[mine], e.sum(0)
+                more[i:j], g = _unlearn(e, here, mine, total, one[i:j], inside)
+                grads["inside"][a:b], grads["inside_bias"][a:b] = g[:, :d], g[:, d]
+        logp[tail] += part
+        if learn:
+            dh[tail] += more
         return logp, dh, grads
 
     def score(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Log probabilities of the counted positions of a batch of windows."""
-        return self._outcomes(self._forward(now, last)[-1][counted], target[counted])[0]
+        return self._outcomes(self._forward(now, last)[-1][counted.reshape(-1)], target[counted])[0]
 
     def gradients(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        x, q, k, v, s, mixed, y, z, h = self._forward(now, last)
-        _, part, grads = self._outcomes(h[counted], target[counted], learn=True)
-        d = h.shape[2]
-        two = lambda t: t.reshape(-1, t.shape[-1])
+        x, q, k, v, s, r, mixed, y, z, h = self._forward(now, last)
+        here = np.flatnonzero(counted)
+        _, part, grads = self._outcomes(h[here], target[counted], learn=True)
+        d = h.shape[1]
         dh = np.zeros_like(h)
-        dh[counted] = part
-        dz = (dh @ p["m2"].T) * (z > 0)
-        grads["m2"], grads["m1"] = two(z).T @ two(dh), two(y).T @ two(dz)
-        dy = dh + dz @ p["m1"].T
-        grads["o"] = two(mixed).T @ two(dy)
+        dh[here] = part
+        dz = dh @ p["m2"].T
+        dz *= z > 0
+        grads["m2"], grads["m1"] = z.T @ dh, y.T @ dz
+        dy = dz @ p["m1"].T
+        dy += dh
+        grads["o"] = mixed.T @ dy
         dmixed = dy @ p["o"].T
+        dmixed *= r
+        each = np.einsum("ij,ij->i", dmixed, mixed).reshape(*now.shape, 1)
+        dmixed = dmixed.reshape(*now.shape, d)
         ds = np.matmul(dmixed, v.transpose(0, 2, 1))
-        ds -= (ds * s).sum(2, keepdims=True)
+        ds -= each
         ds *= s
-        dqkv = np.concatenate([np.matmul(ds, k) * self.scale, np.matmul(ds.transpose(0, 2, 1), q) * self.scale, np.matmul(s.transpose(0, 2, 1), dmixed)], 2)
-        dx = dy + dqkv @ p["qkv"].T
-        grads |= {"qkv": two(x).T @ two(dqkv), "place": dx.sum(0)}
-        flat = two(dx)
+        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), dmixed)], 2).reshape(-1, 3 * d)
+        dx = dqkv @ self._projection().T
+        dx += dy
+        grads["qkv"] = x.T @ dqkv
+        grads["qkv"][:, :d] *= self.scale
+        grads["place"] = dx.reshape(*now.shape, d).sum(0)
         for name, rows in (("now", now), ("last", last)):
             grads[name] = np.zeros_like(p[name])
-            order = np.argsort(rows, axis=None, kind="stable")
-            some, starts = np.unique(rows.reshape(-1)[order], return_index=True)
-            grads[name][some] = np.add.reduceat(flat[order], starts, axis=0)
+            rows = rows.reshape(-1).astype(np.int16)  # sorted by radix
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            grads[name][rows[starts]] = np.add.reduceat(dx.take(order, 0), starts, axis=0)
         return grads
 
 
+def _exponent(e: np.ndarray) -> bool:
+    """Whether sums of exponentials of these neither overflow nor vanish."""
+    return -60 < e.min() and e.max() < 60
+
+
+def _sums(e: np.ndarray) -> np.ndarray:
+    """Makes e its exponentials and returns their sum by row."""
+    np.exp(e, out=e)
+    return e @ np.ones(e.shape[1], e.dtype)
+
+
+def _unlearn(e: np.ndarray, at: np.ndarray, outcome: np.ndarray, total: np.ndarray, one: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the negative log probabilities e[at, outcome] / total by the inputs, and by w and its biases; e is changed.
+
+    Sums divide the narrow side of each product.
+    """
+    e[at, outcome] -= total
+    dh = e @ w
+    dh /= total[:, None]
+    return dh, e.T @ (one / total[:, None])
+
+
 class Adam:
+    """m and v are held as 10 and 100 times the means, and renewed in pieces that stay in a CPU's cache."""
+
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.step = model, rate, 0
-        self.m, self.v = ({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
+        self.m, self.v = ({k: np.zeros(w.size, w.dtype) for k, w in model.p.items()} for _ in range(2))
+        self.spare = np.empty(PIECE, np.float32)
 
     def apply(self, grads: dict[str, np.ndarray], n: int, share: float = 1.0) -> None:
         """One step by the mean gradient of n outcomes, at `share` of the full rate."""
         self.step += 1
         rate = np.float32(self.rate * share * min(1.0, self.step / 20) * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step))
-        for k, g in grads.items():
-            g /= n
-            m, v = self.m[k], self.v[k]
-            m *= 0.9
-            m += 0.1 * g
-            g *= g
-            v *= 0.99
-            g *= 0.01
-            v += g
-            self.model.p[k] -= rate * m / (np.sqrt(v) + 1e-6)
+        for k, w in self.model.p.items():
+            flat, whole = w.reshape(-1), grads[k].reshape(-1)
+            for a in range(0, len(flat), PIECE):
+                part = slice(a, a + PIECE)
+                m, v, g = self.m[k][part], self.v[k][part], whole[part]
+                to = self.spare[: len(g)]
+                g *= np.float32(1 / n)
+                m *= 0.9
+                m += g
+                g *= g
+                v *= 0.99
+                v += g
+                np.sqrt(v, out=to)
+                to += 1e-5
+                np.divide(m, to, out=to)
+                to *= rate
+                flat[part] -= to
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,42 +313,62 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, k * STEP, np.where(k > 0, OVERLAP, 0)
 
 
-BLOCK = "ids binary, held binary, sizes binary, tokens binary, keys array<bigint>, trained array<bigint>, pieces binary, piece_sizes binary"
+BLOCK = "ids binary, held binary, sizes binary, tokens binary, keys binary, trained binary, pieces binary, piece_sizes binary"
+#: White space that can stand within a word.
+ODD = re.compile(r"[^\S ]")
+
+
+def _subwords(vocab: list[bytes], tokenizer: tiktoken.Encoding, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, each with a space before it, behind each other, and how many each word has; widths: the bytes of each id.
+
+    No match of the pattern goes on behind a word without white space when a space follows, so words are encoded in one text.
+    """
+    text = b" ".join([b"", *vocab])
+    try:
+        whole = not ODD.search(text.decode())
+    except UnicodeDecodeError:
+        whole = False
+    if whole:
+        ids = np.array(tokenizer.encode_ordinary(text.decode()) if vocab else [], np.int32)
+        ends, stops = np.cumsum(widths[ids]), np.cumsum(np.fromiter(map(len, vocab), np.int64, len(vocab)) + 1)
+        upto = np.searchsorted(ends, stops) + 1
+        return ids, np.diff(upto, prepend=0).astype(np.int32)
+    pieces = [tokenizer.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in vocab]
+    lengths = np.fromiter(map(len, pieces), np.int32, len(pieces))
+    return np.fromiter((x for p in pieces for x in p), np.int32, int(lengths.sum())), lengths
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(id, held, text) to one row for each block: word numbers of its texts, and of its vocabulary 64-bit hashes, training counts and subword ids."""
+    """(id, held, text) to one row for each block: word numbers of its texts, and of its vocabulary, in order of 64-bit hashes, these, training counts and subword ids."""
     ranks, pattern = shared.value
+    widths = np.zeros(max(ranks.values()) + 1, np.int64)
+    widths[list(ranks.values())] = [len(x) for x in ranks]
     tokenizer = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     for batch in batches:
         ids, held, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2)
         row = 0
         while row < len(texts):
-            number: dict[bytes, int] = {}
+            number: dict[bytes, int] = defaultdict(count().__next__)  # each new word gets the next number
             tokens, sizes, size, start = [], [], 0, row
             while row < len(texts) and row - start < BLOCK_ROWS and size < BLOCK_BYTES:
                 raw = texts[row].as_buffer().to_pybytes() if texts[row].is_valid else b""
                 words = raw.lower().split()
-                tokens.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int32, len(words)))
+                tokens.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 sizes.append(len(words))
                 size += len(raw)
                 row += 1
-            flat = np.concatenate(tokens)
-            learned = np.repeat(~held[start:row], sizes)
-            trained = np.bincount(flat[learned], minlength=len(number)).astype(np.int64)
             vocab = list(number)
-            pieces = [tokenizer.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in vocab]
-            lengths = np.fromiter(map(len, pieces), np.int32, len(pieces))
-            flat_pieces = np.fromiter((x for p in pieces for x in p), np.int32, int(lengths.sum()))
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab)).view(np.int64)
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab))
+            order = np.argsort(keys)
+            place = np.empty(len(vocab), np.int32)
+            place[order] = np.arange(len(vocab), dtype=np.int32)
+            flat = place[np.concatenate(tokens)]
+            learned = np.repeat(~held[start:row], sizes)
+            trained = np.bincount(flat[learned], minlength=len(number)).astype(np.int32)
+            flat_pieces, lengths = _subwords([vocab[i] for i in order], tokenizer, widths)
             own = ids.slice(start, row - start)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (own.fill_null(0).to_numpy(), np.stack([held[start:row], own.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8), np.array(sizes, np.int32), flat)),
-                    pa.array([keys], pa.list_(pa.int64())),
-                    pa.array([trained], pa.list_(pa.int64())),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (flat_pieces, lengths)),
-                ],
+                [pa.array([x.tobytes()], pa.binary()) for x in (own.fill_null(0).to_numpy(), np.stack([held[start:row], own.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8), np.array(sizes, np.int32), flat, keys[order], trained, flat_pieces, lengths)],
                 names=[x.split()[0] for x in BLOCK.split(", ")],
             )
 
@@ -291,7 +400,7 @@ class Block:
         self.ids = _ints(row["ids"], np.int64)
         self.held, self.no_id = _ints(row["held"], np.uint8).reshape(2, -1).astype(bool)
         self.words, self.tokens = _ints(row["sizes"]).astype(np.int64), _ints(row["tokens"])
-        self.trained = row["trained"].values.to_numpy()
+        self.trained = _ints(row["trained"])
         self.pieces, self.lengths = _ints(row["pieces"]), _ints(row["piece_sizes"]).astype(np.int64)
         if slots is not None:
             self._sequences(slots)
@@ -324,13 +433,13 @@ class Block:
         """(now, last, target, counted, flat positions) of some or all windows."""
         now, last = model.inputs(self.now), model.inputs(self.last)
         text, begin, scored = self.windows()
+        first, left, place = self.starts[text] + begin, self.sizes[text] - begin, np.arange(WINDOW)
         pick = np.arange(len(text)) if chosen is None else chosen
         for i in range(0, len(pick), size):
             w = pick[i : i + size]
-            place = begin[w][:, None] + np.arange(WINDOW)
-            real = place < self.sizes[text[w]][:, None]
-            at = np.where(real, self.starts[text[w]][:, None] + place, self.starts[text[w]][:, None])
-            yield now[at], last[at], self.target[at], real & (np.arange(WINDOW) >= scored[w][:, None]), at
+            left_w = left[w][:, None]
+            at = first[w][:, None] + np.minimum(place, left_w - 1)
+            yield now[at], last[at], self.target[at], (place < left_w) & (place >= scored[w][:, None]), at
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
@@ -348,21 +457,49 @@ def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(n[seen], (~b.held).sum()).astype(np.int64))], names=["piece", "n"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(block, keys, trained) to a row for each part of a block's vocabulary: words whose hashes begin with the same bits."""
+    for batch in batches:
+        for block, row in zip(batch.column(0).to_pylist(), _each(iter([batch])), strict=True):
+            keys, trained = _ints(row["keys"], np.uint64), _ints(row["trained"])
+            part, starts = np.unique(keys >> U64(64 - bits) if bits else keys * U64(0), return_index=True)
+            cuts = [*starts.tolist(), len(keys)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int64)), pa.array(np.full(len(part), block)), *(pa.array([x[a:b].tobytes() for a, b in pairwise(cuts)], pa.binary()) for x in (keys, trained))],
+                names=["part", "block", "keys", "trained"],
+            )
+
+
+COUNTS = "part long, block long, counts binary, v long, n long"
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """One part of all vocabularies, with the training counts of its words; in the first row how many of them have some, and their sum."""
+    keys = np.concatenate([_ints(x, np.uint64) for x in table["keys"]])
+    _, word = np.unique(keys, return_inverse=True)
+    total = np.bincount(word, weights=np.concatenate([_ints(x) for x in table["trained"]])).astype(np.int64)
+    cuts = np.cumsum([0, *(len(x.as_buffer()) // 8 for x in table["keys"])]).tolist()
+    first = np.arange(len(table)) == 0
+    return pa.table({"part": table["part"], "block": table["block"], "counts": pa.array([total[word[a:b]].tobytes() for a, b in pairwise(cuts)], pa.binary()), "v": pa.array(first * int((total > 0).sum())), "n": pa.array(first * int(total.sum()))})
+
+
 def train_block(b: Block, slots: Slots, start: np.ndarray | None, t: Training, turn: int) -> tuple[int, np.ndarray | None]:
     """(windows, weights): what a block's training windows of a round's lot make of the start."""
     text, begin, _ = b.windows()
     lot = mix(mix(b.ids.astype(U64)[text]) + begin.astype(U64)) % U64(t.rounds)
-    mine = np.flatnonzero(~b.held[text] & (lot == U64(turn)))
+    mine, learned = np.flatnonzero(~b.held[text] & (lot == U64(turn))), np.repeat(~b.held, b.sizes)
     if not len(mine):
         return 0, None
     model = Attention(slots.counts, t)
     if start is not None:
         model.load(start)
+    full = model.only(np.concatenate([b.now[learned], b.last[learned]]))
     adam, rng, done = Adam(model, t.rate), np.random.default_rng(t.seed + turn), 0
     for now, last, target, counted, _ in b.batches(model, rng.permutation(mine), t.batch):
         n = int(counted.sum())
         adam.apply(model.gradients(now, last, target, counted), max(1, n), 1 - 0.9 * (turn + done / len(mine)) / t.rounds)
         done += len(now)
+    model.put(full)
     return len(mine), model.flat()
 
 
@@ -393,12 +530,11 @@ def _by_heap(table: pa.Table) -> pa.Table:
 
 def score_block(b: Block, slots: Slots, model: Attention) -> np.ndarray:
     """The natural log probability of each text of a block."""
-    total = np.zeros(len(b.sizes))
-    owner = np.repeat(np.arange(len(b.sizes)), b.sizes)
+    each = np.empty(len(b.target))
     for now, last, target, counted, at in b.batches(model, None, 64):
-        logp = model.score(now, last, target, counted)
-        total += np.bincount(owner[at[counted]], weights=logp, minlength=len(total))
-    return total + slots.share * np.bincount(owner, weights=b.target == slots.rare, minlength=len(total))
+        each[at[counted]] = model.score(now, last, target, counted)
+    each[b.target == slots.rare] += slots.share
+    return np.bincount(np.repeat(np.arange(len(b.sizes)), b.sizes), weights=each, minlength=len(b.sizes))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -414,9 +550,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, n:
     for row in _each(batches):
         b = Block(row, slots)
         count = np.zeros(len(b.lengths), np.int64)
-        known = row["known"]
-        if known.is_valid and len(known):
-            count[known.values.field("at").to_numpy()] = known.values.field("c").to_numpy()
+        if row["known"].is_valid:
+            count = np.concatenate([_ints(x, np.int64) for x in row["known"].values.field("counts")])
         owner = np.repeat(np.arange(len(b.words)), b.words)
         base = np.bincount(owner, weights=log(count)[b.tokens], minlength=len(b.words)) + log(end_count)
         met = np.bincount(owner, weights=count[b.tokens] > 0, minlength=len(b.words)) + (end_count > 0)
@@ -456,10 +591,11 @@ def score_texts(docs: DataFrame, ranks_path: str, pattern: str, t: Training = Tr
             weights = _mean(parts)["weights"][0].values.to_numpy()
         shared.unpersist()
 
-    vocab = blocks.select("block", F.posexplode(F.arrays_zip("keys", "trained")).alias("at", "z")).select("block", "at", "z.keys", F.col("z.trained").alias("c"))
-    total = cut(vocab.where("c > 0").groupBy("keys").agg(F.sum("c").alias("c")), "lm-counts")
-    v, n = total.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    known = vocab.select("block", "at", "keys").join(total, "keys").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))
+    bits = (blocks.count() // 2).bit_length()  # as many parts as blocks at most, so a part has the words of a few
+    parts = blocks.select("block", "keys", "trained").mapInArrow(partial(_parts, bits=bits), "part long, block long, keys binary, trained binary")
+    total = cut(parts.groupBy("part").applyInArrow(_count, COUNTS), "lm-counts", compression="zstd")
+    v, n = total.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    known = total.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("known"))
     shared = spark.sparkContext.broadcast((slots, weights, ends))
     ready = blocks.join(known, "block", "left").select(*names, "known")
     out = cut(ready.mapInArrow(partial(trimmed(_score), shared=shared, t=t, n=int(n) + ends, v=int(v) + (ends > 0)), RESULT), "lm-scores")

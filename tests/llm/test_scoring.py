@@ -134,3 +134,77 @@ def test_gradients_of_the_attention_model():
         down = -model.score(now, last, target, counted).sum()
         w[spot] += 1e-5
         assert grads[name][spot] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6), name
+
+
+def test_rows_without_gradients_take_no_part_in_training(monkeypatch, blocks):
+    """A block's training holds the input rows of its training texts alone, and leaves all others as they were."""
+    made, slots = blocks
+    b = next(scoring.Block(r, slots) for r in scoring._each(iter(made)))
+    t, sizes = scoring.Training(), []
+    gradients = scoring.Attention.gradients
+
+    def noting(self, *batch):
+        sizes.append(len(self.p["now"]))
+        return gradients(self, *batch)
+
+    monkeypatch.setattr(scoring.Attention, "gradients", noting)
+    _, weights = scoring.train_block(b, slots, None, t, 0)
+    model = scoring.Attention(slots.counts, t)
+    learned = np.repeat(~b.held, b.sizes)
+    used = np.unique(model.inputs(np.concatenate([b.now[learned], b.last[learned]])))
+    assert set(sizes) == {len(used)} and len(used) < model.own + 2
+    start = {k: w.copy() for k, w in model.p.items()}
+    model.load(weights)
+    for name in ("now", "last"):
+        moved = np.flatnonzero((model.p[name] != start[name]).any(1))
+        assert len(moved) and np.isin(moved, used).all()
+
+
+def test_steps_equal_plain_adam():
+    rng = np.random.default_rng(2)
+    model = scoring.Attention(np.sort(rng.integers(1, 9, 900).astype(float))[::-1], scoring.Training())
+    adam, plain = scoring.Adam(model, 0.01), {k: w.astype(np.float64) for k, w in model.p.items()}
+    m, v = ({k: np.zeros(w.shape) for k, w in plain.items()} for _ in range(2))
+    assert model.p["now"].size > scoring.PIECE
+    for step in range(1, 6):
+        grads = {k: rng.normal(0, 1, w.shape).astype(np.float32) for k, w in model.p.items()}
+        rate = 0.01 * min(1.0, step / 20) * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+        for k, g in grads.items():
+            m[k] = 0.9 * m[k] + 0.1 * (g / 7.0)
+            v[k] = 0.99 * v[k] + 0.01 * (g / 7.0) ** 2
+            plain[k] -= rate * m[k] / (np.sqrt(v[k]) + 1e-6)
+        adam.apply(grads, 7)
+    assert all(np.allclose(model.p[k], plain[k], atol=1e-5) for k in plain)
+
+
+@pytest.mark.parametrize("words", [["one", "don't", "a1b22", "!!x", "été", "日本語", "ﬁn🙂", "'s", "-", "x" * 300], ["a\x1cb", " ", "x ", "y\x85z"], []])
+def test_words_encoded_together_equal_words_encoded_alone(words):
+    import public_tokenizers as p
+    import tiktoken
+
+    ranks = scoring.read_ranks(p.path("byte_bpe_multi_50k.tiktoken"))
+    tokenizer = tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    widths = np.zeros(max(ranks.values()) + 1, np.int64)
+    widths[list(ranks.values())] = [len(x) for x in ranks]
+    for vocab in ([w.encode() for w in words], [*(w.encode() for w in words), b"\xff\xfe", b"z"]):
+        ids, lengths = scoring._subwords(vocab, tokenizer, widths)
+        want = [tokenizer.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in vocab]
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 5])
+def test_words_are_counted_by_parts_of_blocks(blocks, bits):
+    """A row goes out for each part of a block, not for each word, and the counts come back in the order of the block's words."""
+    made, _ = blocks
+    rows = [pa.RecordBatch.from_arrays([pa.array([i]), m["keys"], m["trained"]], names=["block", "keys", "trained"]) for i, m in enumerate(made)]
+    sent = pa.Table.from_batches(list(scoring._parts(iter(rows), bits)))
+    assert len(sent) <= len(made) << bits
+    want: dict[int, int] = {}
+    for m in made:
+        for k, c in zip(scoring._ints(m["keys"][0], np.uint64).tolist(), scoring._ints(m["trained"][0]).tolist(), strict=True):
+            want[k] = want.get(k, 0) + c
+    got = pa.concat_tables([scoring._count(sent.filter(pa.array([x == part for x in sent["part"].to_pylist()]))) for part in set(sent["part"].to_pylist())]).to_pylist()
+    assert sum(r["n"] for r in got) == sum(want.values()) and sum(r["v"] for r in got) == sum(c > 0 for c in want.values())
+    for i, m in enumerate(made):
+        back = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted((r for r in got if r["block"] == i), key=lambda r: r["part"])])
+        assert back.tolist() == [want[k] for k in scoring._ints(m["keys"][0], np.uint64).tolist()]
