@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import count, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.broadcast import Broadcast
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import read_ranks
 from lodestone.llm.hashing import U64, mix
 from lodestone.llm.rows import column, trimmed
+from lodestone.llm.words import words
 from lodestone.plans.materialize import cut, release
 
 #: Slots that are outcomes of the first level, slots of a cluster, and slots (the most frequent) with vectors of their own.
@@ -43,6 +44,8 @@ WINDOW, OVERLAP = 32, 4
 STEP = WINDOW - OVERLAP
 #: Weights that Adam takes at once.
 PIECE = 16_384
+#: Windows that are scored at once.
+SCORED = 128
 #: Texts and bytes of a block.
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 8 << 20
 
@@ -67,7 +70,7 @@ class Attention:
 
     def __init__(self, counts: np.ndarray, t: Training):
         rng = np.random.default_rng(t.seed)
-        d, self.slots, self.row = t.dim, len(counts), None
+        d, self.slots, self.row, self.kept = t.dim, len(counts), None, {}
         small = lambda *shape: rng.normal(0, d**-0.5, shape).astype(np.float32)
         self.head = min(HEAD, self.slots)
         self.clusters = -(-(self.slots - self.head) // CLUSTER)
@@ -112,7 +115,8 @@ class Attention:
     def only(self, slots: np.ndarray) -> dict[str, np.ndarray]:
         """Leave the input rows of these slots alone, as a row without gradients never moves; returns all rows for put()."""
         full = {name: self.p[name] for name in ("now", "last")}
-        rows = np.flatnonzero(np.bincount(self.inputs(slots), minlength=self.own + 2))
+        seen = np.flatnonzero(np.bincount(slots + 1)) - 1
+        rows = np.flatnonzero(np.bincount(self.inputs(seen), minlength=self.own + 2))
         self.row = np.zeros(self.own + 2, np.int32)
         self.row[rows] = np.arange(len(rows))
         self.rows = rows
@@ -138,18 +142,21 @@ class Attention:
         qkv = (x @ self._projection()).reshape(*now.shape, 3 * d)
         q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
         s = np.matmul(q, k.transpose(0, 2, 1))
-        if not _exponent(s):
-            s += self.mask
-            s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
         s *= self.seen
-        r = 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype))[:, None]
+        total = s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype)
+        if not _fits(total):
+            np.matmul(q, k.transpose(0, 2, 1), out=s)
+            s += self.mask
+            s -= s.max(2, keepdims=True)
+            total = _exponentials(s.reshape(-1, WINDOW))
+        r = 1 / total[:, None]
         mixed = np.matmul(s, v).reshape(-1, d)
         mixed *= r
         y = mixed @ p["o"]
         y += x
         z = y @ p["m1"]
-        np.maximum(z, 0, out=z)
+        np.maximum(z, np.zeros_like(z), out=z)  # an array, as numpy is slower with a scalar
         h = z @ p["m2"]
         h += y
         return x, q, k, v, s, r, mixed, y, z, h
@@ -168,17 +175,9 @@ class Attention:
         outcome = np.where(cluster < 0, target, self.head + cluster)
         one = np.ones((len(h), d + 1), h.dtype)  # the last column meets the biases
         one[:, :d] = h
-        first = np.column_stack([p["first"], p["first_bias"]])
-        e = one @ first.T
-        at = np.arange(len(h))
-        if len(h) and e.max() > 60:
-            np.minimum(e, 60, out=e)  # logits start at log shares, so a sum of their exponentials neither overflows nor vanishes
-        logp = e[at, outcome]
-        total = _sums(e)
-        logp -= np.log(total)
-        grads = dh = None
+        logp, dh, g = _choose(one, self._joined("first"), outcome, learn)
+        grads = None
         if learn:
-            dh, g = _unlearn(e, at, outcome, total, one, p["first"])
             grads = {"first": g[:, :d], "first_bias": g[:, d], "inside": np.zeros_like(p["inside"]), "inside_bias": np.zeros_like(p["inside_bias"])}
         tail = np.flatnonzero(cluster >= 0)
         if not len(tail):
@@ -186,40 +185,47 @@ class Attention:
         of = cluster[tail].astype(np.int16)
         order = np.argsort(of, kind="stable")
         tail, of = tail[order], of[order]
-        item, one, more = target[tail] - self.head, one[tail], np.zeros((len(tail), d), h.dtype)
+        item, one, more = target[tail] - self.head, one.take(tail, 0), np.zeros((len(tail), d), h.dtype)
         cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-        part = np.empty(len(tail), h.dtype)
+        part, joined = np.empty(len(tail), h.dtype), self._joined("inside")
         for i, j in pairwise(cuts):
             a = int(of[i]) * CLUSTER
             b = min(a + CLUSTER, self.slots - self.head)
             if a >= self.own - self.head:
                 part[i:j] = self.fixed[item[i:j] - (self.own - self.head)]
                 continue
-            inside = p["inside"][a:b]
-            e = one[i:j] @ np.column_stack([inside, p["inside_bias"][a:b]]).T
-            if not _exponent(e):
-                e -= e.max(1, keepdims=True)
-            mine, here = item[i:j] - a, at[: j - i]
-            part[i:j] = e[here, mine]
-            total = _sums(e)
-            part[i:j] -= np.log(total)
+            part[i:j], dpart, g = _choose(one[i:j], joined[a:b], item[i:j] - a, learn)
             if learn:
-                more[i:j], g = _unlearn(e, here, mine, total, one[i:j], inside)
-                grads["inside"][a:b], grads["inside_bias"][a:b] = g[:, :d], g[:, d]
+                more[i:j], grads["inside"][a:b], grads["inside_bias"][a:b] = dpart, g[:, :d], g[:, d]
         logp[tail] += part
         if learn:
             dh[tail] += more
         return logp, dh, grads
 
+    def freeze(self) -> None:
+        """Weights stay as they are from now on."""
+        self.kept = {name: self._joined(name) for name in ("first", "inside")}
+
+    def _joined(self, name: str) -> np.ndarray:
+        """The vectors of outcomes, their biases as the last column."""
+        if name in self.kept:
+            return self.kept[name]
+        w, bias = self.p[name], self.p[f"{name}_bias"]
+        joined = np.empty((len(w), w.shape[1] + 1), w.dtype)
+        joined[:, :-1], joined[:, -1] = w, bias
+        return joined
+
+    @np.errstate(over="ignore", invalid="ignore")
     def score(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Log probabilities of the counted positions of a batch of windows."""
         return self._outcomes(self._forward(now, last)[-1][counted.reshape(-1)], target[counted])[0]
 
+    @np.errstate(over="ignore", invalid="ignore")
     def gradients(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         x, q, k, v, s, r, mixed, y, z, h = self._forward(now, last)
         here = np.flatnonzero(counted)
-        _, part, grads = self._outcomes(h[here], target[counted], learn=True)
+        _, part, grads = self._outcomes(h.take(here, 0), target.reshape(-1).take(here), learn=True)
         d = h.shape[1]
         dh = np.zeros_like(h)
         dh[here] = part
@@ -236,42 +242,59 @@ class Attention:
         ds = np.matmul(dmixed, v.transpose(0, 2, 1))
         ds -= each
         ds *= s
-        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), dmixed)], 2).reshape(-1, 3 * d)
+        dqkv = np.empty((*now.shape, 3 * d), h.dtype)
+        np.matmul(ds, k, out=dqkv[..., :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d : 2 * d])
+        np.matmul(s.transpose(0, 2, 1), dmixed, out=dqkv[..., 2 * d :])
+        dqkv = dqkv.reshape(-1, 3 * d)
         dx = dqkv @ self._projection().T
         dx += dy
         grads["qkv"] = x.T @ dqkv
         grads["qkv"][:, :d] *= self.scale
         grads["place"] = dx.reshape(*now.shape, d).sum(0)
+        pairs = dx if d % 2 else dx.view(np.result_type(dx, np.complex64))  # two numbers are added as one complex number
         for name, rows in (("now", now), ("last", last)):
-            grads[name] = np.zeros_like(p[name])
             rows = rows.reshape(-1).astype(np.int16)  # sorted by radix
             order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            grads[name][rows[starts]] = np.add.reduceat(dx.take(order, 0), starts, axis=0)
+            rows = rows.take(order)
+            starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+            grads[name] = np.zeros_like(p[name])
+            grads[name][rows.take(starts)] = np.add.reduceat(pairs.take(order, 0), starts, axis=0).view(dx.dtype)
         return grads
 
 
-def _exponent(e: np.ndarray) -> bool:
-    """Whether sums of exponentials of these neither overflow nor vanish."""
-    return -60 < e.min() and e.max() < 60
+def _fits(total: np.ndarray) -> bool:
+    """Whether sums of exponentials neither overflowed nor vanished."""
+    return not len(total) or (1e-25 < total.min() and total.max() < 1e25)
 
 
-def _sums(e: np.ndarray) -> np.ndarray:
+def _exponentials(e: np.ndarray) -> np.ndarray:
     """Makes e its exponentials and returns their sum by row."""
     np.exp(e, out=e)
     return e @ np.ones(e.shape[1], e.dtype)
 
 
-def _unlearn(e: np.ndarray, at: np.ndarray, outcome: np.ndarray, total: np.ndarray, one: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of the negative log probabilities e[at, outcome] / total by the inputs, and by w and its biases; e is changed.
+def _choose(one: np.ndarray, w: np.ndarray, outcome: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Log probabilities of one outcome for each row, and with learn the gradients of their negative sum by the inputs, and by w and its biases.
 
     Sums divide the narrow side of each product.
     """
-    e[at, outcome] -= total
-    dh = e @ w
-    dh /= total[:, None]
-    return dh, e.T @ (one / total[:, None])
+    at = np.arange(len(one)) * len(w) + outcome
+    e = one @ w.T
+    flat = e.reshape(-1)
+    logp, total = flat.take(at), _exponentials(e)
+    if not _fits(total):
+        np.matmul(one, w.T, out=e)
+        e -= e.max(1, keepdims=True)
+        logp, total = flat.take(at), _exponentials(e)
+    logp -= np.log(total)
+    if not learn:
+        return logp, None, None
+    flat[at] -= total
+    r = (1 / total)[:, None]
+    dh = e @ w[:, :-1]
+    dh *= r
+    return logp, dh, e.T @ (one * r)
 
 
 class Adam:
@@ -345,30 +368,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
     widths[list(ranks.values())] = [len(x) for x in ranks]
     tokenizer = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     for batch in batches:
-        ids, held, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2)
-        row = 0
+        ids, held, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), pc.fill_null(batch.column(2), b"")
+        ends, row = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
         while row < len(texts):
-            number: dict[bytes, int] = defaultdict(count().__next__)  # each new word gets the next number
-            tokens, sizes, size, start = [], [], 0, row
-            while row < len(texts) and row - start < BLOCK_ROWS and size < BLOCK_BYTES:
-                raw = texts[row].as_buffer().to_pybytes() if texts[row].is_valid else b""
-                words = raw.lower().split()
-                tokens.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                sizes.append(len(words))
-                size += len(raw)
-                row += 1
-            vocab = list(number)
+            start = row
+            row = min(start + BLOCK_ROWS, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK_BYTES)) + 1, len(texts))
+            found, sizes = words(pc.ascii_lower(texts.slice(start, row - start).view(pa.string())))
+            numbered = found.dictionary_encode()  # numbers are in the order of first places
+            vocab = numbered.dictionary.view(pa.binary()).to_pylist()
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab))
             order = np.argsort(keys)
             place = np.empty(len(vocab), np.int32)
             place[order] = np.arange(len(vocab), dtype=np.int32)
-            flat = place[np.concatenate(tokens)]
+            flat = place[numbered.indices.to_numpy(zero_copy_only=False)]
             learned = np.repeat(~held[start:row], sizes)
-            trained = np.bincount(flat[learned], minlength=len(number)).astype(np.int32)
+            trained = np.bincount(flat[learned], minlength=len(vocab)).astype(np.int32)
             flat_pieces, lengths = _subwords([vocab[i] for i in order], tokenizer, widths)
             own = ids.slice(start, row - start)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes()], pa.binary()) for x in (own.fill_null(0).to_numpy(), np.stack([held[start:row], own.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8), np.array(sizes, np.int32), flat, keys[order], trained, flat_pieces, lengths)],
+                [pa.array([x.tobytes()], pa.binary()) for x in (own.fill_null(0).to_numpy(), np.stack([held[start:row], own.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8), sizes.astype(np.int32), flat, keys[order], trained, flat_pieces, lengths)],
                 names=[x.split()[0] for x in BLOCK.split(", ")],
             )
 
@@ -493,7 +511,7 @@ def train_block(b: Block, slots: Slots, start: np.ndarray | None, t: Training, t
     model = Attention(slots.counts, t)
     if start is not None:
         model.load(start)
-    full = model.only(np.concatenate([b.now[learned], b.last[learned]]))
+    full = model.only(b.now[learned])  # what stands two before an id stands one before its own follower
     adam, rng, done = Adam(model, t.rate), np.random.default_rng(t.seed + turn), 0
     for now, last, target, counted, _ in b.batches(model, rng.permutation(mine), t.batch):
         n = int(counted.sum())
@@ -531,7 +549,7 @@ def _by_heap(table: pa.Table) -> pa.Table:
 def score_block(b: Block, slots: Slots, model: Attention) -> np.ndarray:
     """The natural log probability of each text of a block."""
     each = np.empty(len(b.target))
-    for now, last, target, counted, at in b.batches(model, None, 64):
+    for now, last, target, counted, at in b.batches(model, None, SCORED):
         each[at[counted]] = model.score(now, last, target, counted)
     each[b.target == slots.rare] += slots.share
     return np.bincount(np.repeat(np.arange(len(b.sizes)), b.sizes), weights=each, minlength=len(b.sizes))
@@ -546,6 +564,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: Training, n:
     model = Attention(slots.counts, t)
     if weights is not None:
         model.load(weights)
+    model.freeze()
     log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     for row in _each(batches):
         b = Block(row, slots)

@@ -208,3 +208,54 @@ def test_words_are_counted_by_parts_of_blocks(blocks, bits):
     for i, m in enumerate(made):
         back = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted((r for r in got if r["block"] == i), key=lambda r: r["part"])])
         assert back.tolist() == [want[k] for k in scoring._ints(m["keys"][0], np.uint64).tolist()]
+
+
+def test_large_logits_keep_their_probabilities():
+    """Logits beyond 60 that differ have different probabilities, and gradients, too."""
+    model = scoring.Attention(np.sort(np.random.default_rng(0).integers(1, 9, 300).astype(float))[::-1], scoring.Training(dim=6))
+    h = np.random.default_rng(1).normal(0, 1, (20, 6)).astype(np.float32)
+    target = np.arange(20) * 13
+    for factor in (1, 300, 3000):
+        big = (h * np.float32(factor)).astype(np.float32)
+        got, _, grads = model._outcomes(big, target, learn=True)
+        p = {k: w.astype(np.float64) for k, w in model.p.items()}
+        first = big.astype(np.float64) @ p["first"].T + p["first_bias"]
+        share = np.exp(first - first.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+        cluster = np.maximum(target - model.head, -1) // scoring.CLUSTER
+        outcome = np.where(cluster < 0, target, model.head + cluster)
+        head = cluster < 0
+        assert factor == 1 or first.max() > 60
+        want = first - first.max(1, keepdims=True)
+        want = want[np.arange(20), outcome] - np.log(np.exp(want).sum(1))
+        assert got[head] == pytest.approx(want[head], rel=1e-3, abs=1e-3)
+        moved = share.copy()
+        moved[np.arange(20), outcome] -= 1
+        assert grads["first_bias"] == pytest.approx(moved.sum(0), abs=1e-3)
+
+
+def test_frozen_weights_score_alike(blocks):
+    made, slots = blocks
+    b = next(scoring.Block(r, slots) for r in scoring._each(iter(made)))
+    model = scoring.Attention(slots.counts, scoring.Training())
+    want = scoring.score_block(b, slots, model)
+    model.freeze()
+    assert np.array_equal(scoring.score_block(b, slots, model), want)
+
+
+def test_large_attention_scores_keep_their_shares():
+    rng = np.random.default_rng(3)
+    model = scoring.Attention(np.sort(rng.integers(1, 9, 300).astype(float))[::-1], scoring.Training(dim=6))
+    now, last = (rng.integers(0, 300, (3, scoring.WINDOW)) for _ in range(2))
+    for factor in (1, 30, 300):
+        model.p["qkv"][:, :12] = scoring.Attention(np.ones(300), scoring.Training(dim=6)).p["qkv"][:, :12] * factor
+        p = {k: w.astype(np.float64) for k, w in model.p.items()}
+        with np.errstate(over="ignore", invalid="ignore"):
+            h = model._forward(now, last)[-1].reshape(3, scoring.WINDOW, 6)
+        x = p["now"][now] + p["last"][last] + p["place"]
+        q, k, v = np.split(x @ p["qkv"], 3, 2)
+        s = np.where(np.tri(scoring.WINDOW, dtype=bool), q @ k.transpose(0, 2, 1) / 6**0.5, -np.inf)
+        assert factor == 1 or s.max() > 60
+        s = np.exp(s - s.max(2, keepdims=True))
+        y = x + (s / s.sum(2, keepdims=True)) @ v @ p["o"]
+        assert h == pytest.approx(y + np.maximum(y @ p["m1"], 0) @ p["m2"], abs=2e-2)
