@@ -218,7 +218,8 @@ class Attention:
     @np.errstate(over="ignore", invalid="ignore")
     def score(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Log probabilities of the counted positions of a batch of windows."""
-        return self._outcomes(self._forward(now, last)[-1][counted.reshape(-1)], target[counted])[0]
+        here = np.flatnonzero(counted)
+        return self._outcomes(self._forward(now, last)[-1].take(here, 0), target.reshape(-1).take(here))[0]
 
     @np.errstate(over="ignore", invalid="ignore")
     def gradients(self, now: np.ndarray, last: np.ndarray, target: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
@@ -375,7 +376,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
             row = min(start + BLOCK_ROWS, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK_BYTES)) + 1, len(texts))
             found, sizes = words(pc.ascii_lower(texts.slice(start, row - start).view(pa.string())))
             numbered = found.dictionary_encode()  # numbers are in the order of first places
-            vocab = numbered.dictionary.view(pa.binary()).to_pylist()
+            vocab = numbered.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab))
             order = np.argsort(keys)
             place = np.empty(len(vocab), np.int32)
@@ -383,7 +384,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
             flat = place[numbered.indices.to_numpy(zero_copy_only=False)]
             learned = np.repeat(~held[start:row], sizes)
             trained = np.bincount(flat[learned], minlength=len(vocab)).astype(np.int32)
-            flat_pieces, lengths = _subwords([vocab[i] for i in order], tokenizer, widths)
+            flat_pieces, lengths = _subwords(vocab[order].tolist(), tokenizer, widths)
             own = ids.slice(start, row - start)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x.tobytes()], pa.binary()) for x in (own.fill_null(0).to_numpy(), np.stack([held[start:row], own.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8), sizes.astype(np.int32), flat, keys[order], trained, flat_pieces, lengths)],
@@ -418,7 +419,6 @@ class Block:
         self.ids = _ints(row["ids"], np.int64)
         self.held, self.no_id = _ints(row["held"], np.uint8).reshape(2, -1).astype(bool)
         self.words, self.tokens = _ints(row["sizes"]).astype(np.int64), _ints(row["tokens"])
-        self.trained = _ints(row["trained"])
         self.pieces, self.lengths = _ints(row["pieces"]), _ints(row["piece_sizes"]).astype(np.int64)
         if slots is not None:
             self._sequences(slots)
@@ -469,10 +469,11 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
 def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(piece, n): occurrences in training words; piece -1 counts the training texts."""
     for row in _each(batches):
-        b = Block(row)
-        n = np.bincount(b.pieces, weights=np.repeat(b.trained, b.lengths)) if len(b.pieces) else np.zeros(0)
+        held, _ = _ints(row["held"], np.uint8).reshape(2, -1)
+        pieces, trained = _ints(row["pieces"]), np.repeat(_ints(row["trained"]), _ints(row["piece_sizes"]))
+        n = np.bincount(pieces, weights=trained) if len(pieces) else np.zeros(0)
         seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(n[seen], (~b.held).sum()).astype(np.int64))], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(n[seen], (held == 0).sum()).astype(np.int64))], names=["piece", "n"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -593,9 +594,9 @@ def score_texts(docs: DataFrame, ranks_path: str, pattern: str, t: Training = Tr
     rows = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(held_col), F.lit(False)).alias("held"), column(text_col).cast("binary").alias("text"))
     made = rows.mapInArrow(partial(trimmed(_blocks), shared=spark.sparkContext.broadcast((ranks, pattern))), BLOCK)
     blocks = cut(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks", compression="zstd", group_rows=1)
-    names = [n for x in BLOCK.split(", ") if (n := x.split()[0]) != "keys"]  # what is read again and again
+    names = [n for x in BLOCK.split(", ") if (n := x.split()[0]) not in ("keys", "trained")]  # what is read again and again
 
-    found = blocks.select(*names).mapInArrow(_piece_counts, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary at most
+    found = blocks.select("held", "trained", "pieces", "piece_sizes").mapInArrow(_piece_counts, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary at most
     counts = np.zeros(max(ranks.values()) + 2)
     counts[found["piece"].to_numpy()] = found["n"].to_numpy()  # -1, the end, is the last
     slots, ends = Slots(counts), int(counts[-1])
