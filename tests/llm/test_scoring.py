@@ -259,3 +259,14 @@ def test_large_attention_scores_keep_their_shares():
         s = np.exp(s - s.max(2, keepdims=True))
         y = x + (s / s.sum(2, keepdims=True)) @ v @ p["o"]
         assert h == pytest.approx(y + np.maximum(y @ p["m1"], 0) @ p["m2"], abs=2e-2)
+
+
+def test_passes_need_their_columns_alone(blocks):
+    """Subword ids are counted without the texts' words, and texts are trained on and scored without the counts of training."""
+    made, slots = blocks
+    counts = np.zeros(len(slots.of))
+    for part in scoring._piece_counts(iter(b.select(["held", "trained", "pieces", "piece_sizes"]) for b in made)):
+        np.add.at(counts, part["piece"].to_numpy(), part["n"].to_numpy())
+    assert np.array_equal(np.sort(counts[counts > 0]), np.sort(slots.counts[slots.counts > 0]))
+    whole, less = (next(scoring._each(iter([b]))) for b in (made[0], made[0].drop_columns(["keys", "trained"])))
+    assert np.array_equal(scoring.Block(whole, slots).target, scoring.Block(less, slots).target)
